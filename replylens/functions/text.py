@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Character classes.
@@ -140,13 +140,15 @@ def signal_hits(body: Column, signals: dict[str, str] | None = None) -> Column:
         F.when(body.rlike(unicode_rx(rx)), F.lit(name)) for name, rx in signals.items()]))
 
 
-def hardness(text: Column, signals: dict[str, str] | None = None) -> Column:
-    """T4: struct(score, kind, reason) saying how awkward a message is, and why."""
-    body = strip_handles(F.coalesce(text, F.lit("")))
-    n_words = word_count(body)
+def add_hardness(df: DataFrame, text: str, name: str = "hardness",
+                 signals: dict[str, str] | None = None) -> DataFrame:
+    """T4: struct(score, kind, reason) saying how awkward a message is, and why.
+
+    The parts are columns of their own, so each text is cleaned and searched once.
+    """
+    body, n_words, hits = F.col("_body"), F.col("_n_words"), F.col("_hits")
     n_chars = F.length(body)
     foreign = n_chars - F.length(F.regexp_replace(body, r"[^\x00-\x7F]+", ""))
-    hits = signal_hits(body, signals)
     tests = [
         ("injection", body.rlike(unicode_rx(INJECTION)), F.lit(5),
          F.lit("looks like prompt injection")),
@@ -165,11 +167,16 @@ def hardness(text: Column, signals: dict[str, str] | None = None) -> Column:
         F.when(cond, F.struct((-weight).alias("neg"), F.lit(i).alias("ord"),
                               F.lit(kind).alias("kind"), reason.alias("reason")))
         for i, (kind, cond, weight, reason) in enumerate(tests)])))
-    score = -F.aggregate(fired, F.lit(0), lambda acc, t: acc + t["neg"])
-    return F.struct(
-        score.alias("score"),
-        F.coalesce(F.try_element_at(fired, F.lit(1))["kind"], F.lit("")).alias("kind"),
-        F.array_join(F.transform(fired, lambda t: t["reason"]), "; ").alias("reason"))
+    score = -F.aggregate(F.col("_fired"), F.lit(0), lambda acc, t: acc + t["neg"])
+    return (df.withColumn("_body", strip_handles(F.coalesce(F.col(text), F.lit(""))))
+            .withColumns({"_n_words": word_count(F.col("_body")),
+                          "_hits": signal_hits(F.col("_body"), signals)})
+            .withColumn("_fired", fired)
+            .withColumn(name, F.struct(
+                score.alias("score"),
+                F.coalesce(F.try_element_at("_fired", F.lit(1))["kind"], F.lit("")).alias("kind"),
+                F.array_join(F.transform("_fired", lambda t: t["reason"]), "; ").alias("reason")))
+            .drop("_body", "_n_words", "_hits", "_fired"))
 
 
 def redact(c: Column) -> Column:
@@ -227,7 +234,8 @@ def render_evidence(items: Column) -> Column:
     """Numbered past cases, in array order, as one block of text."""
     block = F.array_join(F.transform(items, lambda e, i: F.concat(
         F.lit("["), i.cast("string"), F.lit("] similarity "),
-        F.coalesce(F.format_number(e["similarity"], "0.00"), F.lit("nan")),
+        F.when(e["similarity"].isNull(), F.lit("nan")).otherwise(
+            F.format_string("%.2f", e["similarity"])),
         F.lit("\n    customer: "), F.coalesce(e["customer_text"], F.lit("")),
         F.lit("\n    brand replied: "), F.coalesce(e["brand_reply"], F.lit("")))), "\n\n")
     return F.when(F.size(F.coalesce(items, F.array())) == 0,

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replylens.functions import text as tx
 from replylens.operators import blocktopk as bt
@@ -202,5 +203,7 @@ def passage_evidence(messages: DataFrame, passages: DataFrame, k: int = TOP,
 
     asked = F.col(text) if previous is None else F.concat_ws(" ", text, previous)
     out = messages.withColumn("_terms", F.array_distinct(tx.tokens(asked)))
-    schema = messages.schema.add("evidence", "array<struct<id:string,score:double>>")
+    schema = T.StructType([*messages.schema.fields, T.StructField("evidence", T.ArrayType(
+        T.StructType([T.StructField("id", T.StringType()),
+                      T.StructField("score", T.DoubleType())])))])
     return out.mapInArrow(scan, schema)

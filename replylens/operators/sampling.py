@@ -137,7 +137,7 @@ def _round_robin(n: int):
                     row = queue.pop(0)
                     seen.add(pdf.at[row, "_key"])
                     taken.append(row)
-        out = pdf.loc[taken].copy()
+        out = pdf.loc[taken].drop(columns="_all")
         out["pick"] = range(1, len(out) + 1)
         return out
     return pick
@@ -151,9 +151,12 @@ def hard_stratum(df: DataFrame, id_col: str, text: str, n: int = N_HARD, seed: i
     other kinds, so the best 2n - 1 distinct keys per kind hold every possible pick. That
     bounded table (seven kinds) is the only thing the greedy step sees.
     """
-    scored = (df.select(F.col(id_col).cast("string").alias("_id"), F.col(text).alias("_text"),
-                        tx.hardness(F.col(text), signals).alias("h"))
-              .filter("h.score > 0")
+    slim = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text).alias("_text"))
+    # An exploded optional value drops the ordinary messages; a filter would be pushed
+    # below the scoring and score every message twice.
+    scored = (tx.add_hardness(slim, "_text", "_h", signals)
+              .select("_id", "_text", F.explode(F.when(
+                  F.col("_h.score") > 0, F.array("_h"))).alias("h"))
               .select("_id", F.col("h.score").alias("score"), F.col("h.kind").alias("kind"),
                       F.col("h.reason").alias("reason"), draw_key("_id", seed).alias("_draw"),
                       F.md5(tx.near_dup_key(F.col("_text"))).alias("_key")))
@@ -163,10 +166,10 @@ def hard_stratum(df: DataFrame, id_col: str, text: str, n: int = N_HARD, seed: i
     short = (best.withColumn("_rn", F.row_number().over(rank))
              .filter(F.col("_rn") <= 2 * n - 1)
              .select("kind", "_key", (-F.col("b.neg")).alias("score"), "b._draw", "b._id",
-                     "b.reason"))
+                     "b.reason", F.lit(1).alias("_all")))
     schema = ("kind string, _key string, score int, _draw string, _id string, reason string, "
               "pick long")
-    picked = short.groupBy(F.lit(1)).applyInPandas(_round_robin(n), schema)
+    picked = short.groupBy("_all").applyInPandas(_round_robin(n), schema)
     return picked.select(F.col("_id").alias(id_col), "kind", "score",
                          F.col("reason").alias("hard_reason"), "pick",
                          F.lit("hard").alias("stratum"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,25 +37,24 @@ def admit_stream(requests: DataFrame, out: str, state: str, checkpoint: str,
                  caps: ad.Caps = ad.Caps()) -> StreamingQuery:
     """ST4: the four caps and the repeat guard, batch by batch.
 
-    State is what was admitted in the last two days, bounded by the daily cap. Each batch
+    State is what was admitted since two days before the batch, bounded by the daily cap.
+    Each batch
     writes its verdicts and the state after it under its own number, so a batch that runs
     again overwrites itself. Batches are expected in time order.
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         kinds = batch.select("row", "client", "request_id", "ts")
-        try:
-            before = spark.read.schema(kinds.schema).parquet(
-                os.path.join(state, f"batch={number - 1}"))
-        except AnalysisException as exc:
-            if number > 0 and exc.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if number == 0:
             before = spark.createDataFrame([], kinds.schema)
+        else:
+            oldest = batch.agg(F.min("ts")).scalar() - 2 * ad.DAY
+            before = spark.read.schema(kinds.schema).parquet(
+                os.path.join(state, f"batch={number - 1}")).filter(F.col("ts") > oldest)
         rows = batch.persist()
         here = os.path.join(state, f"batch={number}")
         admitted = ad.admissions(rows.select(*kinds.columns), caps, before)
-        latest = admitted.agg(F.max("ts")).scalar()
-        admitted.filter(F.col("ts") > latest - 2 * ad.DAY).write.mode("overwrite").parquet(here)
+        admitted.write.mode("overwrite").parquet(here)
         now = spark.read.schema(kinds.schema).parquet(here)
         ad.with_verdict(rows, now).write.mode("overwrite").parquet(
             os.path.join(out, f"batch={number}"))
