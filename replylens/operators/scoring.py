@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 import unicodedata
 from collections.abc import Callable, Sequence
@@ -10,8 +11,9 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (IDF, CountVectorizer, IndexToString, NGram, Normalizer,
+from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, IndexToString, NGram, Normalizer,
                                 RegexTokenizer, SQLTransformer, StringIndexer)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 
 from replylens.functions import policy as po
 from replylens.functions import text as tx
+from replylens.functions import vectors as vx
 from replylens.operators.joins import only_split
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -102,7 +105,6 @@ def _sublinear(counts, scaled):
     if counts is None:
         return None
     idf = dict(zip(scaled.indices.tolist(), scaled.values.tolist()))
-    import math
     pairs = [(i, (1 + math.log(x)) * (idf.get(i, 0.0) / x + 1))
              for i, x in zip(counts.indices.tolist(), counts.values.tolist()) if x > 0]
     return SparseVector(counts.size, pairs)
@@ -142,8 +144,8 @@ def fit_text_classifier(labelled: DataFrame, split: str = "dev", label: str = "l
     fold = SQLTransformer(statement=(
         "SELECT *, regexp_replace(translate(text, '" + marked + "', '" + plain
         + "'), '\\\\p{Mn}', '') AS _plain FROM __THIS__"))
-    index = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(train)
+    index = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc").fit(
+        train)
     features = [
         fold,
         RegexTokenizer(inputCol="_plain", outputCol="_uni", pattern=r"(?U)\b\w\w+\b", gaps=False,
@@ -167,12 +169,44 @@ def fit_text_classifier(labelled: DataFrame, split: str = "dev", label: str = "l
 
 def classify_text(model: PipelineModel, items: DataFrame) -> DataFrame:
     """M2: items with ``pred`` and its probability as ``confidence``."""
-    from pyspark.ml.functions import vector_to_array
     scored = model.transform(items)
     return scored.select(*items.columns, "pred", F.array_max(
         vector_to_array("_probability")).alias("confidence"))
 
 
+# ---- text vectors ---------------------------------------------------------------------
+
+def encode_text(items: DataFrame, encoder: Callable[[pd.Series], list], text: str = "text",
+                vector: str = "vector") -> DataFrame:
+    """M3: unit vectors from a caller-supplied encoder, one call per Arrow batch.
+
+    ``encoder`` gets the texts of a batch and returns one vector per text; a model it needs
+    is loaded once per worker if it keeps it in module scope.
+    """
+    out = T.StructType([*items.schema.fields,
+                        T.StructField(vector, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for pdf in batches:
+            got = [[float(x) for x in v] for v in encoder(pdf[text].fillna(""))]
+            yield pdf.assign(**{vector: got})[out.fieldNames()]
+
+    return items.mapInPandas(run, out).withColumn(vector, vx.unit(F.col(vector)))
+
+
+def hashed_vectors(items: DataFrame, text: str = "text", vector: str = "vector",
+                   size: int = 256) -> DataFrame:
+    """M3 without a model: hashed word counts, idf weights, unit length."""
+    stages = [RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\b\w\w+\b",
+                             gaps=False),
+              HashingTF(inputCol="_words", outputCol="_hashed", numFeatures=size),
+              IDF(inputCol="_hashed", outputCol="_idf"),
+              Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)]
+    filled = items.fillna("", [text])
+    return Pipeline(stages=stages).fit(filled).transform(filled).select(
+        *items.columns, vector_to_array("_unit").alias(vector))
+
+
 # ---- baselines ------------------------------------------------------------------------
 
 def top_template(pairs: DataFrame, reply: str = "brand_reply_text",

@@ -304,14 +304,18 @@ dims as (
   where j.error is null)"""
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
+def request_log(events: DataFrame) -> DataFrame:
     """Events as a request log: the user is the client, the property is the request id."""
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("row"), F.col("user_id").alias("client"),
         F.get_json_object("props", "$.k").alias("request_id"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
 
 
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    return request_log(table(spark, sf, "events"))
+
+
 REQUESTS = """requests as (
   select event_id as "row", user_id as client, json_extract_string(props, '$.k') as request_id,
     epoch(date_trunc('second', ts))::bigint as ts from events)"""

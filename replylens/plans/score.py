@@ -1,0 +1,184 @@
+"""Scoring, classifier and baseline queries."""
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from replylens.operators import joins as jn
+from replylens.operators import metrics as me
+from replylens.operators import retrieval as rt
+from replylens.operators import scoring as sc
+from replylens.plans import bindings as b
+from replylens.plans.registry import query, table
+from replylens.session import scratch_path
+from replylens.sources import stores
+
+
+def _mark_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
+    if (pdf["doc_id"] % 50 == 0).any():
+        raise ValueError("no answer")
+    t = pdf["text"]
+    return pd.DataFrame({"pred": t.str.contains("the", regex=False).map({True: "en", False: "xx"}),
+                         "n_marks": t.str.count("e")})
+
+
+@query("M1_batch_scoring", """
+select doc_id, case when doc_id % 50 <> 0 then case when contains(text, 'the') then 'en' else 'xx' end end as pred,
+  case when doc_id % 50 <> 0 then len(text) - len(replace(text, 'e', '')) end as n_marks,
+  case when doc_id % 50 = 0 then 'ValueError: no answer' end as error from documents""")
+def batch_scoring(spark, sf):
+    """A scorer that fails on some rows; only those rows carry an error."""
+    d = b.documents(spark, sf).select("doc_id", "text")
+    return sc.score_batches(d, _mark_scorer, "pred string, n_marks long").select(
+        "doc_id", "pred", "n_marks", "error")
+
+
+def _judge_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
+    if (pdf["id"] % 90 == 0).any():
+        raise TimeoutError("judge")
+    n = pdf["n_chars"]
+    return pd.DataFrame({"grounded": n > 150, "addresses_ask": n > 260,
+                         "no_overpromise": n % 9 != 0, "tone_ok": n % 2 == 0})
+
+
+@query("M5_judge_stage", """
+select doc_id as id, case when doc_id % 90 <> 0 then n_chars > 260 and n_chars % 9 <> 0 end as acceptable,
+  case when doc_id % 90 = 0 then 'TimeoutError: judge' end as error from documents""")
+def _(spark, sf):
+    d = b.documents(spark, sf).select(F.col("doc_id").alias("id"), "n_chars")
+    return sc.judged(sc.score_batches(d, _judge_scorer, sc.VERDICT_FIELDS, concurrency=4)).select(
+        "id", "acceptable", "error")
+
+
+def _labelled(spark, sf):
+    return b.answer_key(spark, sf).select("id", "text", F.col("gold").alias("label"), "split")
+
+
+@query("M2_text_classifier")
+def text_classifier(spark, sf):
+    items = _labelled(spark, sf)
+    model = sc.fit_text_classifier(jn.of_split(items, "dev"), min_df=2.0, max_iter=50)
+    scored = sc.classify_text(model, jn.of_split(items, "test"))
+    return scored.select("id", "label", "pred", F.round("confidence", 3).alias("confidence"))
+
+
+@query("IO9_model_store")
+def _(spark, sf):
+    items = _labelled(spark, sf)
+    path = scratch_path(spark, "model")
+    stores.load_or_fit(path, lambda: sc.fit_text_classifier(
+        jn.of_split(items, "dev"), min_df=5.0, max_iter=10))
+    model = stores.load_or_fit(path, lambda: None)
+    return sc.classify_text(model, jn.of_split(items, "test")).select("id", "label", "pred")
+
+
+@query("M3_hashed_vectors")
+def _(spark, sf):
+    v = sc.hashed_vectors(b.documents(spark, sf).select("doc_id", "text"))
+    return v.select("doc_id", "vector")
+
+
+def _letters(texts: pd.Series) -> list:
+    return [[t.count(c) + 1 for c in "aeiou"] for t in texts]
+
+
+@query("M3_encoded_vectors", """
+with c as (select doc_id, [len(text) - len(replace(text, x, '')) + 1.0::double for x in ['a', 'e', 'i', 'o', 'u']] as v
+  from documents)
+select doc_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as a, round(v[5] / sqrt(list_dot_product(v, v)), 6) as u
+from c""")
+def encoded_vectors(spark, sf):
+    v = sc.encode_text(b.documents(spark, sf).select("doc_id", "text"), _letters)
+    return v.select("doc_id", F.round(F.get("vector", F.lit(0)), 6).alias("a"),
+                    F.round(F.get("vector", F.lit(4)), 6).alias("u"))
+
+
+def _baselines(spark, sf):
+    v = b.vectors(spark, sf)
+    items = v.select("id")
+    dev = v.filter(F.col("id") % 3 == 0)
+    canned = sc.top_template(b.documents(spark, sf), "text", "doc_id")
+    near = rt.nearest(v, v, 1, "id", "id")
+    reply = v.select(F.col("id").alias("neighbour_id"),
+                     F.concat(F.lit("case "), "label").alias("reply"))
+    retrieved = near.join(reply, "neighbour_id").select(
+        "id", "reply", F.col("similarity").alias("top_similarity"))
+    return sc.baseline_runs(items, me.majority_label(dev, "label"), canned, retrieved)
+
+
+# The largest reply template, exactly as the canned baseline picks it.
+_CANNED = r"""g as (select lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(text, '@[\p{L}\p{N}_]+', '', 'g'), 'https?://[^\s]+', '', 'g'),
+    '^\s+|\s+$', '', 'g'), '[/^-]\s*[A-Z]{1,3}\s*$', ''), '\p{Nd}+', '', 'g'), '\s+', ' ', 'g'))) as k,
+    count(*) as n, min(doc_id) as first_id from documents group by 1),
+canned as (select d.text as reply from (select * from g order by n desc, first_id limit 1) t
+  join documents d on d.doc_id = t.first_id),
+majority as (select label::varchar as label from embeddings where vec_id % 3 = 0 group by label
+  order by count(*) desc, label::varchar limit 1)"""
+
+BASELINES = f"""{b.KNN}, {_CANNED}, runs as (
+  select k.id, k.gold, (select label from majority) as pred, c.config,
+    case c.config when 'canned' then (select reply from canned)
+      when 'retrieval_verbatim' then concat('case ', k.pred) end as reply,
+    case c.config when 'trivial_always_escalate' then true when 'retrieval_verbatim' then null else false end as escalated,
+    case c.config when 'canned' then 'B1' when 'retrieval_verbatim' then 'B3' else 'B0' end as escalation_source,
+    case when c.config = 'retrieval_verbatim' then k.similarity end as top_similarity
+  from knn k, (values ('trivial_always_auto'), ('trivial_always_escalate'), ('canned'), ('retrieval_verbatim')) c(config))"""
+
+
+@query("R9_baseline_runs", f"""
+with {BASELINES} select config, id, pred, md5(reply) as reply_md5, escalated, escalation_source,
+  round(top_similarity, 4) as top_similarity from runs""")
+def baseline_runs(spark, sf):
+    return _baselines(spark, sf).select(
+        "config", "id", "pred", F.md5("reply").alias("reply_md5"), "escalated",
+        "escalation_source", F.round("top_similarity", 4).alias("top_similarity"))
+
+
+@query("M4_config_comparison", f"""
+with {BASELINES}, all_runs as (select config, gold, pred, escalated, reply, id % 7 = 0 as should from runs
+  union all select 'nearest_label', gold, pred, similarity < 0.35, null, id % 7 = 0 from knn)
+select config, count(*) as n, count(*) filter (where gold = pred) as acc_correct,
+  round(count(*) filter (where gold = pred) / count(*)::double, 6) as acc,
+  count(*) filter (where should and not escalated) as missed, count(reply) as replies from all_runs
+group by config""")
+def config_comparison(spark, sf):
+    """Baselines and a nearest-label classifier graded in one grouped aggregate."""
+    v = b.vectors(spark, sf)
+    key = v.select("id", F.col("label").alias("gold"), (F.col("id") % 7 == 0).alias("should_escalate"),
+                   F.lit(False).alias("is_hard"))
+    knn = rt.leave_one_out_label(v).select(
+        F.lit("nearest_label").alias("config"), "id", "pred",
+        (F.col("top_similarity") < 0.35).alias("escalated"), F.lit(None).cast("string").alias("reply"))
+    runs = _baselines(spark, sf).select("config", "id", "pred", "escalated", "reply").unionByName(knn)
+    zero = {"input_tokens": F.lit(0), "output_tokens": F.lit(0), "latency_s": F.lit(0.0),
+            "error": F.lit(None).cast("string")}
+    t = me.config_summary(jn.graded(key, runs).withColumns(zero), [str(i) for i in range(10)])
+    return t.select("config", "n", "acc_correct", F.round("acc", 6).alias("acc"),
+                    F.coalesce("esc_missed", F.lit(0).cast("long")).alias("missed"),
+                    F.round(F.col("reply_rate") * F.col("n")).cast("long").alias("replies"))
+
+
+@query("IO6_result_store", f"""
+with {b.RUNS}, attempts as (
+  select config, id, pred, error, 1 as run_ts from runs
+  union all select config, id, pred || '+', case when id % 4 = 0 then 'again' end, 2 from runs
+    where config = 'marks')
+select config, id, pred, run_ts from attempts where error is null
+qualify row_number() over (partition by config, id order by run_ts desc) = 1""")
+def result_store(spark, sf):
+    path = scratch_path(spark, "results")
+    runs = b.runs(spark, sf).select("config", "id", "pred", "error")
+    stores.append_results(runs, path, 1)
+    again = runs.filter("config = 'marks'").select(
+        "config", "id", F.concat("pred", F.lit("+")).alias("pred"),
+        F.when(F.col("id") % 4 == 0, "again").alias("error"))
+    stores.append_results(again, path, 2)
+    return stores.read_results(spark, path).select("config", "id", "pred", F.col("run_ts").cast("int"))
+
+
+@query("A3_training_classes", """
+select label::varchar as label, count(*) as n, round(count(*) / sum(count(*)) over ()::double, 6) as share
+from embeddings group by label""")
+def _(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("label"))
+    return me.value_counts(v, "label").withColumn("share", F.round("share", 6))

@@ -1,0 +1,80 @@
+"""Streaming queries: the given table as a stream, run until nothing is left."""
+
+from pyspark.sql import functions as F
+
+from replylens.functions import policy as po
+from replylens.plans import bindings as b
+from replylens.plans.decide import SMALL, SQL_REDACT
+from replylens.plans.registry import query, table
+from replylens.session import scratch_path
+from replylens.streaming import triage as tg
+from replylens.streaming import usage as us
+
+
+def stream(spark, sf, name):
+    """At most a gigabyte of input per micro-batch, which bounds what one trigger holds.
+    The pattern matches a table that is one file and a table that is a folder."""
+    schema = table(spark, sf, name).schema
+    return (spark.readStream.schema(schema).option("maxBytesPerTrigger", str(1 << 30))
+            .parquet(f"{sf}/{name}.parquet*"))
+
+
+def _run(spark, df, name, **kw):
+    path = scratch_path(spark, name)
+    tg.run_to_files(df, path, scratch_path(spark, f"{name}-log"), **kw)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query("ST1_stream_triage", f"""
+with v as (select conv_id, turn, {SQL_REDACT.format("regexp_replace(text, '^[ ]+|[ ]+$', '', 'g')")} as clean
+  from conversations where role = 'user'),
+t as (select *, {b.sql_rule('rule', 0, 'clean')} from v)
+select conv_id, turn, md5(clean) as message_md5, rule,
+  case when rule is not null then 'human_review' else 'to_draft' end as routing from t""")
+def stream_triage(spark, sf):
+    turns = stream(spark, sf, "conversations").filter("role = 'user'").select(
+        "conv_id", "turn", F.col("text").alias("message"),
+        F.array().cast("array<struct<role:string,text:string>>").alias("history"),
+        F.lit(None).cast("string").alias("policy"))
+    done = tg.triage(turns, b.RULES, po.risk_signals).select(
+        "conv_id", "turn", F.md5("message").alias("message_md5"),
+        F.col("verdict.rule").alias("rule"), "routing")
+    return _run(spark, done, "triage")
+
+
+def _timed(spark, sf):
+    return stream(spark, sf, "events").select(
+        F.col("event_id").alias("row"), F.col("user_id").alias("client"),
+        F.get_json_object("props", "$.k").alias("request_id"), "ts")
+
+
+@query("ST2_drop_repeats")
+def _(spark, sf):
+    kept = us.drop_repeats(_timed(spark, sf))
+    return _run(spark, kept, "repeats").select("client", "request_id").distinct()
+
+
+@query("ST3_stream_window_counts", """
+with last as (select max(ts) - interval 24 hours as mark from events),
+c as (select date_trunc('hour', ts) as start, user_id as client, count(*) as n from events group by all)
+select epoch(start)::bigint as start, client, n from c, last where start + interval 1 hour <= mark""")
+def stream_window_counts(spark, sf):
+    counts = us.window_counts(_timed(spark, sf), "1 hour").select(
+        F.unix_seconds("window.start").alias("start"), "client", "n")
+    return _run(spark, counts, "windows")
+
+
+@query("ST4_stream_admission")
+def _(spark, sf):
+    log = b.request_log(stream(spark, sf, "events"))
+    out, state = scratch_path(spark, "verdicts"), scratch_path(spark, "state")
+    us.admit_stream(log, out, state, scratch_path(spark, "admit-log"), SMALL)
+    return spark.read.parquet(out).select("row", "client", "request_id", "ts", "verdict")
+
+
+@query("ST5_stream_prior_messages", """
+select conv_id, turn, count(*) filter (where role = 'user') over (
+  partition by conv_id order by turn rows between unbounded preceding and 1 preceding)
+  as prior_messages from conversations""")
+def _(spark, sf):
+    return _run(spark, tg.running_prior_messages(stream(spark, sf, "conversations")), "prior")
