@@ -4,8 +4,8 @@ A block of queries meets one partition (or block) of the index at a time. Scores
 a small array inside the task and only the running best k per query leave it, so the
 shuffle carries queries x k x tasks rows instead of queries x rows.
 
-A query side of at most ``BLOCK`` rows (checked, not assumed) is broadcast and the index
-is read in place. Beyond that both sides are cut into hash blocks and every block pair is
+A query side of at most ``BLOCK`` rows and ``VALUES`` numbers or terms (counted, not
+assumed) is broadcast and the index is read in place. Beyond that both sides are cut into hash blocks and every block pair is
 one bounded group. Both ways are exact.
 """
 
@@ -15,13 +15,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BLOCK = 4096
 INDEX_BLOCK = 65_536
+VALUES = 16_000_000
 CELLS = 4_000_000
 
 
@@ -71,13 +72,20 @@ def _emit(block: pa.Table, best: RunningBest, schema: pa.Schema) -> pa.RecordBat
         pa.array(best.scores, type=pa.float64())], schema=schema)
 
 
+def size_of(queries: DataFrame, values: Column) -> tuple[int, int]:
+    """Rows of the query side and how many values they hold altogether."""
+    row = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(values.cast("long")).alias("v")).first()
+    return row["n"], row["v"] or 0
+
+
 def best_k(queries: DataFrame, index: DataFrame, k: int, prepare: Callable[[pa.Table], object],
-           score: Scorer, query_id: str, index_id: str, block: int = BLOCK,
-           index_block: int = INDEX_BLOCK) -> DataFrame:
+           score: Scorer, query_id: str, index_id: str, size: tuple[int, int],
+           block: int = BLOCK, index_block: int = INDEX_BLOCK) -> DataFrame:
     """(query_id, index_id, score, rank) for the best k index rows of each query.
 
-    The first column of each frame is its id, unique within the frame. ``prepare`` turns a
-    block of queries into whatever ``score`` wants, once per task.
+    The first column of each frame is its id, unique within the frame. ``size`` is the
+    ``size_of`` the queries. ``prepare`` turns a block of queries into whatever ``score``
+    wants, once per task.
     """
     spark = queries.sparkSession
     q_type = queries.schema[0].dataType
@@ -95,16 +103,16 @@ def best_k(queries: DataFrame, index: DataFrame, k: int, prepare: Callable[[pa.T
 
     arrow_out = to_arrow_schema(out)
 
-    head = queries.limit(block + 1).toArrow()
-    if head.num_rows <= block:
-        shared = spark.sparkContext.broadcast(head)
+    rows, values = size
+    if rows <= block and values <= VALUES:
+        shared = spark.sparkContext.broadcast(queries.toArrow())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield run(shared.value, batches, arrow_out)
 
         found = index.mapInArrow(scan, out)
     else:
-        n_q = -(-queries.count() // block)
+        n_q = max(-(-rows // block), -(-values // VALUES))
         n_i = max(1, -(-index.count() // index_block))
         q_first, i_first = queries.columns[0], index.columns[0]
         left = queries.withColumns({

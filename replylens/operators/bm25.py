@@ -144,7 +144,8 @@ def search(queries: DataFrame, docs: DataFrame, k: int = TOP, query_id: str = "q
     toks = docs.select(F.col(doc_order), tx.tokens(F.col(text)).alias("t"))
     corpus = toks.select(doc_order, "t",
                          (F.lit(1 - B) + F.lit(B) * F.size("t") / average.scalar()).alias("norm"))
-    return bt.best_k(weighted, corpus, k, _QueryBlock, _score, query_id, doc_order, block,
+    size = bt.size_of(queries, F.size(F.array_distinct(tx.tokens(F.col(text)))))
+    return bt.best_k(weighted, corpus, k, _QueryBlock, _score, query_id, doc_order, size, block,
                      index_block)
 
 

@@ -30,8 +30,7 @@ def confusion_counts(df: DataFrame, gold: str = "gold", pred: str = "pred",
 
 def label_domain(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Every label seen on either side."""
-    return (df.select(F.col(gold).alias("label"))
-            .union(df.select(F.col(pred).alias("label"))).distinct()
+    return (df.select(F.explode(F.array(gold, pred)).alias("label")).distinct()
             .filter(F.col("label").isNotNull()))
 
 

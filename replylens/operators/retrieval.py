@@ -64,7 +64,8 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = TOP_K, query_id: str
     q = queries.select(F.col(query_id), F.col(vector)).filter(F.col(vector).isNotNull())
     d = index.select(F.col(index_id), F.col(vector)).filter(F.col(vector).isNotNull())
     return (bt.best_k(q, d.withColumnRenamed(index_id, "_hit"), k, _prepare(exclude_self),
-                      _score, query_id, "_hit", block, index_block)
+                      _score, query_id, "_hit", bt.size_of(q, F.size(vector)), block,
+                      index_block)
             .select(query_id, F.col("_hit").alias("neighbour_id"),
                     F.col("score").alias("similarity"), "rank"))
 

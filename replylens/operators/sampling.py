@@ -93,9 +93,14 @@ def topup_plan(have: DataFrame, available: DataFrame, budget: int, per_class: in
     """
     spark = have.sparkSession
     domain = spark.createDataFrame([(c, i) for i, c in enumerate(classes)], f"{label} string, ord int")
-    plan = (domain
-            .join(F.broadcast(have.select(label, F.col("n").alias("have"))), label, "left")
-            .join(F.broadcast(available.select(label, F.col("n").alias("avail"))), label, "left")
+
+    def listed(counts: DataFrame, name: str) -> DataFrame:
+        # At most one row per class of the fixed list.
+        return F.broadcast(counts.filter(F.col(label).isin(*classes))
+                           .select(label, F.col("n").alias(name)))
+
+    plan = (domain.join(listed(have, "have"), label, "left")
+            .join(listed(available, "avail"), label, "left")
             .fillna(0, ["have", "avail"])
             .withColumn("need", F.greatest(
                 F.least(F.lit(per_class) - F.col("have"), F.col("avail")), F.lit(0))))

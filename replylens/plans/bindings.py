@@ -179,7 +179,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.explode(configs).alias("c"),
         fraction("c", "doc_id").alias("confidence"),
         fraction("m", "doc_id").alias("top_similarity"),
-        F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 40)).alias("reply"),
+        F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("reply"),
         F.col("n_chars").alias("input_tokens"), (F.col("n_chars") % 7).alias("output_tokens"),
         ((F.col("doc_id") % 8) / F.lit(8.0)).alias("latency_s")).select(
         "id", "c.*", "confidence", "top_similarity", "reply", "input_tokens", "output_tokens",
@@ -203,7 +203,7 @@ RUNS = rf"""runs as (
       when 'router' then n_chars % 2 = 0 else contains(text, 'thing') end as escalated,
     case when c.config = 'marks' and doc_id % 13 = 0 then 'timeout' end as error,
     {sql_fraction('c', 'doc_id')} as confidence, {sql_fraction('m', 'doc_id')} as top_similarity,
-    case when doc_id % 4 <> 0 then substr(text, 1, 40) end as reply,
+    case when doc_id % 4 <> 0 then text end as reply,
     n_chars as input_tokens, n_chars % 7 as output_tokens,
     (doc_id % 8) / 8.0::double as latency_s
   from documents, (values ('always_en'), ('marks'), ('router'), ('stops')) c(config))"""

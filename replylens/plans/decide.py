@@ -133,7 +133,7 @@ with r as (select doc_id, {SQL_RISKY} as t, text, doc_id % 4 = 1 as needs_human,
     {b.sql_fraction('c', 'doc_id')} as confidence, doc_id % 3 as n_cited,
     ([{', '.join(f"'{x}'" for x in po.INTENTS)}])[(doc_id % 11 + 1)::int] as intent from documents),
 shown as (select *, case when n_cited = 0 then case when doc_id % 2 = 0 then 'Which device?'
-    else '{po.NO_SUPPORT_ANSWER}' end else concat('Please try. ', substr(text, 1, 900)) end as shown from r),
+    else '{po.NO_SUPPORT_ANSWER}' end else concat('Please try. ', text) end as shown from r),
 flags as (select *, regexp_matches(shown, '(?i)https?://|[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[A-Za-z]{{2,}}')
   or regexp_matches(shown, '(?i)\\b(?:I(?:''ve| have)|we(?:''ve| have))\\s+(?:issued|processed|cancelled|canceled|deleted|reset|refunded|sent|updated|verified)\\b') as unsafe from shown),
 reasons as (select *, list_filter(list_concat({SQL_SIGNALS}, [
@@ -153,7 +153,7 @@ def routing(spark, sf):
     d = b.documents(spark, sf).select(i, po.route(
         _risky_text(), no_history, F.element_at(intents, (i % 11 + 1).cast("int")), i % 4 == 1,
         F.when(i % 8 == 1, "Ask billing").otherwise(""), b.fraction("c", "doc_id"),
-        F.size(cited), cited, F.concat(F.lit("Please try. "), F.substring("text", 1, 900)),
+        F.size(cited), cited, F.concat(F.lit("Please try. "), F.col("text")),
         F.when(i % 2 == 0, "Which device?").otherwise("")).alias("r"))
     return d.select("doc_id", "r.routing", F.array_join("r.routing_reasons", "|").alias("reasons"),
                     "r.needs_human", F.md5("r.answer").alias("answer_md5"))
@@ -165,21 +165,21 @@ select doc_id, concat_ws(',',
   case when broken or lang not in ('en', 'fr') then 'intent' end,
   case when broken or n_chars / 1000.0 > 1 then 'confidence' end,
   case when broken or len(text) > 1600 then 'answer' end,
-  case when broken or len(substr(text, 1, 360)) > 350 then 'summary' end,
+  case when broken or len(text) > 350 then 'summary' end,
   case when broken or doc_id % 7 = 0 then 'needs_human' end,
   case when broken then 'cited_doc_ids' end,
   case when broken or doc_id % 3 = 0 then 'unknown_citation' end,
-  case when broken or len(substr(text, 1, 351)) > 350 then 'handoff_reason' end,
+  case when broken or len(text) > 350 then 'handoff_reason' end,
   case when broken then 'clarification_question' end) as violations from o""")
 def output_checks(spark, sf):
     i = F.col("doc_id")
     good = F.to_json(F.struct(
         F.col("lang").alias("intent"), (F.col("n_chars") / 1000.0).alias("confidence"),
-        F.col("text").alias("answer"), F.substring("text", 1, 360).alias("summary"),
+        F.col("text").alias("answer"), F.col("text").alias("summary"),
         F.when(i % 7 != 0, True).alias("needs_human"),
         F.when(i % 3 == 0, F.array(F.lit("src0"), F.lit("fake"))).otherwise(
             F.array(F.lit("src0"))).alias("cited_doc_ids"),
-        F.substring("text", 1, 351).alias("handoff_reason"),
+        F.col("text").alias("handoff_reason"),
         F.lit("").alias("clarification_question")))
     raw = F.when(i % 5 == 0, F.lit("{oops")).otherwise(good)
     o = b.documents(spark, sf).select(i, po.parse_output(raw).alias("o"))

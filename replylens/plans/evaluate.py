@@ -1,5 +1,6 @@
 """Evaluation queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from replylens.functions import policy as po
@@ -306,31 +307,31 @@ def _(spark, sf):
 
 @query("A29_progress", f"""
 with {b.ANSWER_KEY}, {b.RUNS}, w as (select id from answer_key where split = 'test'),
-r as (select id, error from runs where config = 'marks' and id % 2 = 0)
+r as (select id, error from runs where config = 'marks' and confidence < 0.5)
 select count(*) as wanted, count(*) filter (where r.id is not null and error is null) as done,
   count(*) filter (where error is not null) as errored from w left join r on r.id = w.id""")
 def _(spark, sf):
     wanted = jn.of_split(b.answer_key(spark, sf), "test")
-    return jn.progress(wanted, b.runs(spark, sf).filter("config = 'marks' and id % 2 = 0"))
+    return jn.progress(wanted, b.runs(spark, sf).filter("config = 'marks' and confidence < 0.5"))
 
 
 @query("J3_work_remaining", f"""
 with {b.ANSWER_KEY}, {b.RUNS} select id from answer_key where id not in (
-  select id from runs where config = 'marks' and error is null and id % 3 <> 0)""")
+  select id from runs where config = 'marks' and error is null and confidence < 0.7)""")
 def _(spark, sf):
     return jn.work_remaining(b.answer_key(spark, sf), b.runs(spark, sf).filter(
-        "config = 'marks' and id % 3 <> 0")).select("id")
+        "config = 'marks' and confidence < 0.7")).select("id")
 
 
 @query("J6_optional_context", f"""
-with {b.RATINGS}, {b.RUNS} select h.id, h.acceptable as human, j.acceptable as judge, r.reply, r.pred
+with {b.RATINGS}, {b.RUNS} select h.id, h.acceptable as human, j.acceptable as judge, md5(r.reply) as reply_md5, r.pred
 from human h join judge j on j.id = h.id and j.error is null and h.acceptable <> j.acceptable
 left join runs r on r.id = h.id and r.config = 'marks' and r.pred is not null""")
 def _(spark, sf):
     odd = _raters(spark, sf).filter("human_acceptable <> judge_acceptable").select(
         "id", F.col("human_acceptable").alias("human"), F.col("judge_acceptable").alias("judge"))
     runs = b.runs(spark, sf).filter("config = 'marks' and pred is not null")
-    return jn.with_context(odd, runs.select("id", "reply", "pred"))
+    return jn.with_context(odd, runs.select("id", F.md5("reply").alias("reply_md5"), "pred"))
 
 
 @query("P8_split_filter", f"""
@@ -452,3 +453,14 @@ def _(spark, sf):
     t = me.accuracy(_counts(spark, sf), ["config"])
     return t.select("config", st.wilson(F.col("acc_correct"), F.col("acc_n")).alias("w")).select(
         "config", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
+
+
+@query("S5_ordered_report", f"""
+with {b.GRADED}, r as (select label_a, label_b, sum(n)::bigint as n from (
+    select least(gold, pred) as label_a, greatest(gold, pred) as label_b, n from counts where gold <> pred) group by all)
+select label_a, label_b, n, row_number() over (order by n desc, label_a, label_b) as place from r
+qualify place <= 5""")
+def _(spark, sf):
+    top = me.unstable_boundaries(_counts(spark, sf)).orderBy(F.desc("n"), "label_a", "label_b").limit(5)
+    place = Window.orderBy(F.desc("n"), "label_a", "label_b")
+    return top.withColumn("place", F.row_number().over(place))

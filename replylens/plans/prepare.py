@@ -156,8 +156,7 @@ select conv_id, turn, count(*) filter (where role = 'user') over (
   partition by conv_id order by turn rows between unbounded preceding and 1 preceding)
   as prior_messages from conversations""")
 def prior_messages(spark, sf):
-    # A narrow block here makes most conversations cross one.
-    return history.prior_messages(b.conversations(spark, sf), width=3).select(
+    return history.prior_messages(b.conversations(spark, sf)).select(
         "conv_id", "turn", "prior_messages")
 
 
@@ -166,7 +165,7 @@ select conv_id, turn, md5(last_value(case when role = 'user' then text end ignor
   partition by conv_id order by turn rows between unbounded preceding and 1 preceding))
   as previous_md5 from conversations""")
 def _(spark, sf):
-    return history.last_user_text(b.conversations(spark, sf), width=3).select(
+    return history.last_user_text(b.conversations(spark, sf)).select(
         "conv_id", "turn", F.md5("previous_user_text").alias("previous_md5"))
 
 
@@ -175,7 +174,7 @@ select conv_id, turn, coalesce(string_agg(concat(role, ':', md5(text)), '|') ove
   partition by conv_id order by turn rows between 4 preceding and 1 preceding), '') as history
 from conversations""")
 def recent_turns(spark, sf):
-    h = history.recent_turns(b.conversations(spark, sf), 4, width=5)
+    h = history.recent_turns(b.conversations(spark, sf), 4)
     return h.select("conv_id", "turn", F.array_join(F.transform(
         "history", lambda t: F.concat(t["role"], F.lit(":"), F.md5(t["text"]))), "|")
         .alias("history"))

@@ -95,7 +95,7 @@ def encoded_vectors(spark, sf):
 def _baselines(spark, sf):
     v = b.vectors(spark, sf)
     items = v.select("id")
-    dev = v.filter(F.col("id") % 3 == 0)
+    dev = v.filter(b.fraction("s", "id") < 0.3)
     canned = sc.top_template(b.documents(spark, sf), "text", "doc_id")
     near = rt.nearest(v, v, 1, "id", "id")
     reply = v.select(F.col("id").alias("neighbour_id"),
@@ -112,8 +112,8 @@ _CANNED = r"""g as (select lower(trim(regexp_replace(regexp_replace(regexp_repla
     count(*) as n, min(doc_id) as first_id from documents group by 1),
 canned as (select d.text as reply from (select * from g order by n desc, first_id limit 1) t
   join documents d on d.doc_id = t.first_id),
-majority as (select label::varchar as label from embeddings where vec_id % 3 = 0 group by label
-  order by count(*) desc, label::varchar limit 1)"""
+majority as (select label::varchar as label from embeddings where FRACTION < 0.3 group by label
+  order by count(*) desc, label::varchar limit 1)""".replace("FRACTION", b.sql_fraction("s", "vec_id"))
 
 BASELINES = f"""{b.KNN}, {_CANNED}, runs as (
   select k.id, k.gold, (select label from majority) as pred, c.config,

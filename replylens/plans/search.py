@@ -22,7 +22,7 @@ with {b.NEAREST} select id, neighbour_id, round(similarity, 4) as similarity, ra
 def _(spark, sf):
     """The same search with a query side past the broadcast bound."""
     v = b.vectors(spark, sf)
-    return rt.nearest(v, v, 4, "id", "id", block=150, index_block=200).withColumn(
+    return rt.nearest(v, v, 4, "id", "id", block=256, index_block=1024).withColumn(
         "similarity", F.round("similarity", 4))
 
 
@@ -123,7 +123,7 @@ def bm25_search(spark, sf):
 @query("T8_S4_bm25_search_blocked", SEARCH)
 def _(spark, sf):
     q = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
-    return bm25.search(q, b.documents(spark, sf), block=15, index_block=300)
+    return bm25.search(q, b.documents(spark, sf), block=32, index_block=512)
 
 
 @query("J9_live_passage_evidence", f"""

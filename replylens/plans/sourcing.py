@@ -133,12 +133,10 @@ def _(spark, sf):
 
 
 @query("IO13_review_export", """
-select doc_id as id, substr(text, 1, 40) as reply, 'Edits are not sent' as notice from documents
-where doc_id % 3 = 0""")
+select doc_id as id, md5(text) as reply_md5, 'Edits are not sent' as notice from documents""")
 def _(spark, sf):
     path = scratch_path(spark, "reviews")
-    reviews = b.documents(spark, sf).filter("doc_id % 3 = 0").select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("reply"))
+    reviews = b.documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("reply"))
     stores.export_reviews(reviews, path, "Edits are not sent")
-    return spark.read.schema(T.StructType([*reviews.schema.fields, T.StructField(
-        "notice", T.StringType())])).json(path)
+    stored = T.StructType([*reviews.schema.fields, T.StructField("notice", T.StringType())])
+    return spark.read.schema(stored).json(path).select("id", F.md5("reply").alias("reply_md5"), "notice")

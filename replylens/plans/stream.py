@@ -48,7 +48,8 @@ def _timed(spark, sf):
         F.get_json_object("props", "$.k").alias("request_id"), "ts")
 
 
-@query("ST2_drop_repeats")
+@query("ST2_drop_repeats", f"""
+with {b.REQUESTS} select distinct client, request_id from requests""")
 def _(spark, sf):
     kept = us.drop_repeats(_timed(spark, sf))
     return _run(spark, kept, "repeats").select("client", "request_id").distinct()
