@@ -11,7 +11,7 @@ one bounded group. Both ways are exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,39 @@ def size_of(queries: DataFrame, values: Column) -> tuple[int, int]:
     return row["n"], row["v"] or 0
 
 
+def _output(queries: DataFrame, index: DataFrame, query_id: str, index_id: str) -> T.StructType:
+    return T.StructType([T.StructField(query_id, queries.schema[0].dataType),
+                         T.StructField(index_id, index.schema[0].dataType),
+                         T.StructField("score", T.DoubleType())])
+
+
+def _runner(k: int, prepare: Callable[[pa.Table], object], score: Scorer, schema: pa.Schema):
+    def run(block: pa.Table, batches) -> pa.RecordBatch:
+        best = RunningBest(k, block.num_rows)
+        ready = prepare(block) if block.num_rows else None
+        for batch in batches:
+            if ready is not None and batch.num_rows:
+                score(ready, batch, best)
+        return _emit(block, best, schema)
+    return run
+
+
+def best_k_in_groups(left: DataFrame, right: DataFrame, group: Sequence[str], k: int,
+                     prepare: Callable[[pa.Table], object], score: Scorer, query_id: str,
+                     index_id: str) -> DataFrame:
+    """(query_id, index_id, score): best k per query inside each group of both sides.
+
+    The caller cuts the groups so that each side of one fits a task.
+    """
+    out = _output(left, right, query_id, index_id)
+    run = _runner(k, prepare, score, to_arrow_schema(out))
+
+    def pair(q_rows: pa.Table, i_rows: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([run(q_rows, [i_rows])])
+
+    return (left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(pair, out))
+
+
 def best_k(queries: DataFrame, index: DataFrame, k: int, prepare: Callable[[pa.Table], object],
            score: Scorer, query_id: str, index_id: str, size: tuple[int, int],
            block: int = BLOCK, index_block: int = INDEX_BLOCK) -> DataFrame:
@@ -87,28 +120,14 @@ def best_k(queries: DataFrame, index: DataFrame, k: int, prepare: Callable[[pa.T
     ``size_of`` the queries. ``prepare`` turns a block of queries into whatever ``score``
     wants, once per task.
     """
-    spark = queries.sparkSession
-    q_type = queries.schema[0].dataType
-    i_type = index.schema[0].dataType
-    out = T.StructType([T.StructField(query_id, q_type), T.StructField(index_id, i_type),
-                        T.StructField("score", T.DoubleType())])
-
-    def run(block_table: pa.Table, batches, schema: pa.Schema) -> pa.RecordBatch:
-        best = RunningBest(k, block_table.num_rows)
-        ready = prepare(block_table) if block_table.num_rows else None
-        for batch in batches:
-            if ready is not None and batch.num_rows:
-                score(ready, batch, best)
-        return _emit(block_table, best, schema)
-
-    arrow_out = to_arrow_schema(out)
-
     rows, values = size
     if rows <= block and values <= VALUES:
-        shared = spark.sparkContext.broadcast(queries.toArrow())
+        out = _output(queries, index, query_id, index_id)
+        run = _runner(k, prepare, score, to_arrow_schema(out))
+        shared = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield run(shared.value, batches, arrow_out)
+            yield run(shared.value, batches)
 
         found = index.mapInArrow(scan, out)
     else:
@@ -121,11 +140,7 @@ def best_k(queries: DataFrame, index: DataFrame, k: int, prepare: Callable[[pa.T
         right = index.withColumns({
             "_ib": F.pmod(F.xxhash64(i_first), F.lit(n_i)).cast("int"),
             "_qb": F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))})
-
-        def pair(q_rows: pa.Table, i_rows: pa.Table) -> pa.Table:
-            return pa.Table.from_batches([run(q_rows, [i_rows], arrow_out)])
-
-        found = (left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib"))
-                 .applyInArrow(pair, out))
+        found = best_k_in_groups(left, right, ["_qb", "_ib"], k, prepare, score, query_id,
+                                 index_id)
     rank = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(index_id))
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)

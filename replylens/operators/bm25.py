@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from replylens.functions import text as tx
 from replylens.operators import blocktopk as bt
+from replylens.session import materialise
 
 # Ranking constants and the number of passages kept.
 K1, B, TOP = 1.2, 0.75, 4
@@ -61,7 +62,8 @@ def _weighted_queries(queries: DataFrame, docs: DataFrame, query_id: str, text:
 
     One pass over the passages: the empty term stands for the passage itself, so its row
     carries the corpus totals. Terms are counted before they meet the query vocabulary, so
-    that join has one row per term.
+    that join has one row per term. The result, a row per query term, is stored because
+    three later steps read it.
     """
     terms = query_terms(queries, query_id, text)
     vocabulary = terms.select("term").distinct().unionByName(
@@ -69,9 +71,9 @@ def _weighted_queries(queries: DataFrame, docs: DataFrame, query_id: str, text:
     toks = docs.select(tx.tokens(F.col(text)).alias("t"))
     seen = toks.select(F.size("t").alias("len"), F.explode(
         F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
-    stats = (seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"),
-                                      F.sum("len").alias("total"))
-             .join(vocabulary, "term"))
+    stats = materialise(seen.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("len").alias("total")).join(vocabulary, "term"),
+        "terms")
     totals = stats.filter("term = ''")
     n_docs = totals.select("df").scalar()
     average = totals.select(F.col("total") / F.col("df"))

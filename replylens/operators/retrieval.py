@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replylens.functions import vectors as vx
 from replylens.operators import blocktopk as bt
@@ -70,25 +71,62 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = TOP_K, query_id: str
                     F.col("score").alias("similarity"), "rank"))
 
 
+def _sign_buckets(df: DataFrame, row_id: str, vector: str, planes: np.ndarray) -> DataFrame:
+    """Each row once per table, with the bucket its signs fall into."""
+    tables, bits, width = planes.shape
+    weight = 1 << np.arange(bits)
+
+    def hashed(batches):
+        for batch in batches:
+            m = _matrix(batch.column(1))
+            signs = (m @ planes.reshape(-1, width).T > 0).reshape(len(m), tables, bits)
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(np.full(len(m), t), pa.int32()),
+                     pa.array(signs[:, t] @ weight, pa.int32())],
+                    names=[*batch.schema.names, "table", "bucket"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("table", T.IntegerType()),
+                           T.StructField("bucket", T.IntegerType())])
+    return df.mapInArrow(hashed, schema)
+
+
 def nearest_approx(queries: DataFrame, index: DataFrame, k: int = TOP_K, query_id: str = "id",
                    index_id: str = "tweet_id", vector: str = "vector", tables: int = 4,
-                   bucket: float = 0.2, seed: int = 7) -> DataFrame:
-    """J8, approximate: hash-bucket candidates, exact rescoring. Recall is not guaranteed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    q = queries.select(F.col(query_id).alias("q_id"), F.col(vector).alias("q_vec"),
-                       array_to_vector(vector).alias("features"))
-    d = index.select(F.col(index_id).alias("d_id"), F.col(vector).alias("d_vec"),
-                     array_to_vector(vector).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=bucket,
-                                        numHashTables=tables, seed=seed).fit(d)
-    pairs = model.approxSimilarityJoin(q, d, 2.0, "distance").select(
-        F.col("datasetA.q_id").alias(query_id), F.col("datasetB.d_id").alias("neighbour_id"),
-        vx.dot(F.col("datasetA.q_vec"), F.col("datasetB.d_vec")).alias("similarity"))
-    rank = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.asc("neighbour_id"))
-    return (pairs.filter(F.col(query_id) != F.col("neighbour_id"))
-            .withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k))
+                   bits: int = 8, seed: int = 7, block: int = bt.BLOCK,
+                   index_block: int = bt.INDEX_BLOCK) -> DataFrame:
+    """J8, approximate: only index rows that share a sign bucket with the query are scored.
+
+    A bucket may hold most of the data, so it is cut into blocks on both sides and every
+    block pair is a bounded group that returns its best k. Recall is not guaranteed.
+    """
+    width = queries.select(F.size(vector)).first()[0]
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, width))
+    q = _sign_buckets(queries.select(F.col(query_id), F.col(vector)), query_id, vector, planes)
+    d = _sign_buckets(index.select(F.col(index_id).alias("_hit"), F.col(vector)), "_hit", vector,
+                      planes)
+    keys = ["table", "bucket"]
+
+    def parts(df: DataFrame, size: int, name: str) -> DataFrame:
+        # One row per bucket: at most tables x 2^bits.
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    cuts = F.broadcast(parts(q, block, "n_q").join(parts(d, index_block, "n_i"), keys))
+    left = (q.join(cuts, keys)
+            .withColumn("_qb", F.pmod(F.xxhash64(query_id), F.col("n_q")).cast("int"))
+            .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1))))
+    right = (d.join(cuts, keys)
+             .withColumn("_ib", F.pmod(F.xxhash64("_hit"), F.col("n_i")).cast("int"))
+             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))))
+    group = [*keys, "_qb", "_ib"]
+    found = bt.best_k_in_groups(
+        left.select(query_id, vector, *group), right.select("_hit", vector, *group), group, k,
+        _prepare(True), _score, query_id, "_hit")
+    # A pair can meet in several tables.
+    pairs = found.groupBy(query_id, "_hit").agg(F.max("score").alias("similarity"))
+    rank = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.asc("_hit"))
+    return (pairs.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+            .withColumnRenamed("_hit", "neighbour_id"))
 
 
 def ids_of(hits: DataFrame, query_id: str = "id") -> DataFrame:

@@ -37,9 +37,10 @@ def score_batches(items: DataFrame, scorer: Scorer, fields: T.StructType | str,
                   concurrency: int | None = None) -> DataFrame:
     """M1, M5: run ``scorer`` on Arrow batches and keep going past bad rows.
 
-    ``scorer`` gets a pandas batch and returns the ``fields`` columns, row for row. If a
-    batch fails it is retried row by row, so only the offending rows carry an ``error``
-    text; the others keep their result. ``concurrency`` bounds how many batches run at
+    ``scorer`` gets a pandas batch and returns the ``fields`` columns, row for row, and may
+    return an ``error`` column for rows it could not score. If it raises, the batch is
+    halved until only the offending rows are left to carry the error text. A scorer that
+    pays per call should catch its own errors, so that no row is scored twice. ``concurrency`` bounds how many batches run at
     once, which is how a rate-limited model host is protected. Store the result before
     using it twice, or the scorer runs twice.
     """
@@ -52,27 +53,29 @@ def score_batches(items: DataFrame, scorer: Scorer, fields: T.StructType | str,
 
     def timed(pdf: pd.DataFrame) -> pd.DataFrame:
         started = time.perf_counter()
-        got = scorer(pdf)[names].reset_index(drop=True)
+        got = scorer(pdf).reset_index(drop=True)
         if len(got) != len(pdf):
             raise ValueError(f"scorer returned {len(got)} rows for {len(pdf)}")
-        return got.assign(latency_s=(time.perf_counter() - started) / max(len(pdf), 1), error=None)
+        error = got["error"] if "error" in got else None
+        return got[names].assign(
+            latency_s=(time.perf_counter() - started) / max(len(pdf), 1), error=error)
 
-    def one(row: pd.DataFrame) -> pd.DataFrame:
+    def attempt(pdf: pd.DataFrame) -> list[pd.DataFrame]:
         try:
-            return timed(row)
+            return [timed(pdf.reset_index(drop=True))]
         except Exception as exc:  # a bad row is a result to record, not a reason to stop
-            failed = {n: [None] for n in names}
-            return pd.DataFrame({**failed, "latency_s": [0.0], "error": [
-                f"{type(exc).__name__}: {exc}"[:ERROR_CHARS]]})
+            if len(pdf) > 1:
+                half = len(pdf) // 2
+                return attempt(pdf.iloc[:half]) + attempt(pdf.iloc[half:])
+            return [pd.DataFrame({**{n: [None] for n in names}, "latency_s": [0.0], "error": [
+                f"{type(exc).__name__}: {exc}"[:ERROR_CHARS]]})]
 
     def run(batches):
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            try:
-                got = timed(pdf)
-            except Exception:
-                rows = [one(pdf.iloc[[i]].reset_index(drop=True)) for i in range(len(pdf))]
-                got = pd.concat([r.astype(object) for r in rows], ignore_index=True)
+            parts = attempt(pdf)
+            got = parts[0] if len(parts) == 1 else pd.concat(
+                [p.astype(object) for p in parts], ignore_index=True)
             yield pd.concat([pdf, got], axis=1)[out.fieldNames()]
 
     work = items.repartition(concurrency) if concurrency else items

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from replylens.functions.policy import INTENTS
 from replylens.plans.registry import table
+from replylens.session import spread
 
 # Words that occur in the given texts, so that rules and searches find something.
 CHANNEL = r"\b(thing|licen[cs]e)\b"
@@ -67,11 +68,11 @@ def sql_fraction(salt: str, id_col: str) -> str:
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations")
+    return spread(table(spark, sf, "conversations"))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:

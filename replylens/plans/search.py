@@ -100,10 +100,10 @@ with {BM25} select term, df::bigint as df, n::bigint as n_docs, round(average, 6
 from df, stats""")
 def _(spark, sf):
     d = b.documents(spark, sf)
-    size = bm25.corpus_size(d)
+    size = bm25.corpus_size(d).select(F.struct("n_docs", "avg_len")).scalar()
     return bm25.document_frequency(d).select(
-        "term", "df", size.select("n_docs").scalar().alias("n_docs"),
-        F.round(size.select("avg_len").scalar(), 6).alias("avg_len"))
+        "term", "df", size["n_docs"].alias("n_docs"),
+        F.round(size["avg_len"], 6).alias("avg_len"))
 
 
 SEARCH = f"""with {BM25}, scored as (
