@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import time
 import unicodedata
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -104,13 +104,11 @@ def accent_map() -> tuple[str, str]:
 
 @F.udf(VectorUDT())
 def _sublinear(counts, scaled):
-    # scaled = count * idf, so the inverse document frequency is scaled / count.
-    if counts is None:
-        return None
-    idf = dict(zip(scaled.indices.tolist(), scaled.values.tolist()))
-    pairs = [(i, (1 + math.log(x)) * (idf.get(i, 0.0) / x + 1))
-             for i, x in zip(counts.indices.tolist(), counts.values.tolist()) if x > 0]
-    return SparseVector(counts.size, pairs)
+    # scaled = count * idf on the same indices, so the inverse document frequency is
+    # scaled / count.
+    n = counts.values
+    return SparseVector(counts.size, counts.indices,
+                        (1 + np.log(n)) * (scaled.values / n + 1))
 
 
 class SublinearTfIdf(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable,
@@ -149,25 +147,35 @@ def fit_text_classifier(labelled: DataFrame, split: str = "dev", label: str = "l
         + "'), '\\\\p{Mn}', '') AS _plain FROM __THIS__"))
     index = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc").fit(
         train)
-    features = [
+    words = PipelineModel([
         fold,
         RegexTokenizer(inputCol="_plain", outputCol="_uni", pattern=r"(?U)\b\w\w+\b", gaps=False,
                        toLowercase=True),
         NGram(n=2, inputCol="_uni", outputCol="_bi"),
         SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _grams FROM __THIS__"),
-        CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=min_df, vocabSize=vocabulary),
-        IDF(inputCol="_tf", outputCol="_scaled"),
-        SublinearTfIdf(inputCols=["_tf", "_scaled"], outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_features", p=2.0),
-    ]
+    ])
+    count = CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=min_df,
+                            vocabSize=vocabulary)
+    weigh = [SublinearTfIdf(inputCols=["_tf", "_scaled"], outputCol="_weighted"),
+             Normalizer(inputCol="_weighted", outputCol="_features", p=2.0)]
     learn = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight",
                                family="multinomial", regParam=1.0 / n, elasticNetParam=0.0,
                                standardization=False, maxIter=max_iter, tol=tol,
                                predictionCol="_prediction", probabilityCol="_probability",
                                rawPredictionCol="_raw")
     name = IndexToString(inputCol="_prediction", outputCol="pred", labels=index.labels)
-    weighted = index.transform(train).withColumn("_weight", weight)
-    return Pipeline(stages=[*features, learn, name]).fit(weighted)
+    # Three fits read the word lists, so those are kept; a lost block is computed again.
+    grams = words.transform(index.transform(train).withColumn("_weight", weight)).select(
+        "_label", "_weight", "_grams").persist()
+    try:
+        counter = count.fit(grams)
+        tf = counter.transform(grams)
+        idf = IDF(inputCol="_tf", outputCol="_scaled").fit(tf)
+        features = PipelineModel(weigh).transform(idf.transform(tf))
+        classifier = learn.fit(features.select("_label", "_weight", "_features"))
+    finally:
+        grams.unpersist()
+    return PipelineModel([*words.stages, counter, idf, *weigh, classifier, name])
 
 
 def classify_text(model: PipelineModel, items: DataFrame) -> DataFrame:
