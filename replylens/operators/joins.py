@@ -37,6 +37,11 @@ def work_remaining(items: DataFrame, results: DataFrame, key: str = "id") -> Dat
     return items.join(usable(results).select(key).distinct(), key, "left_anti")
 
 
+def without_texts(runs: DataFrame) -> DataFrame:
+    """Runs with a ``replied`` flag in place of the reply text."""
+    return runs.withColumn("replied", F.nullif("reply", F.lit("")).isNotNull()).drop("reply")
+
+
 def graded(gold: DataFrame, runs: DataFrame) -> DataFrame:
     """Predictions for ids of the answer key, with the key's columns."""
     return runs.join(gold, "id")

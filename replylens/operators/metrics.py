@@ -173,8 +173,9 @@ def config_summary(graded: DataFrame, labels: Sequence[str]) -> DataFrame:
     """One row per config.
 
     ``graded`` is runs joined to the answer key: config, gold, pred, should_escalate,
-    escalated, is_hard, reply, input_tokens, output_tokens, latency_s, error. A score is
-    null for a config that never makes that kind of decision.
+    escalated, is_hard, replied, input_tokens, output_tokens, latency_s, error. A score is
+    null for a config that never makes that kind of decision. ``replied`` is a flag (see
+    ``joins.without_texts``), so that no reply text travels through the join.
     """
     has, right = F.col("pred").isNotNull(), F.col("gold") == F.col("pred")
     decided = F.col("escalated").isNotNull()
@@ -192,7 +193,7 @@ def config_summary(graded: DataFrame, labels: Sequence[str]) -> DataFrame:
         F.when(esc_n > 0, st.ratio(tp, tp + fn)).alias("esc_recall"),
         F.when(esc_n > 0, fn).alias("esc_missed"),
         st.ratio(F.count_if(~p), esc_n, None).alias("auto_rate"),
-        st.ratio(F.count_if(F.nullif("reply", F.lit("")).isNotNull()), n).alias("reply_rate"),
+        st.ratio(F.count_if("replied"), n).alias("reply_rate"),
         st.ratio(F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce(
             "output_tokens", F.lit(0))), n).alias("tokens"),
         F.avg(F.coalesce("latency_s", F.lit(0.0))).alias("latency"))

@@ -217,8 +217,8 @@ counts as (select config, gold, pred, count(*) as n from graded where pred is no
 
 
 def graded(spark: SparkSession, sf: str) -> DataFrame:
-    from replylens.operators.joins import graded as join_key
-    return join_key(answer_key(spark, sf), runs(spark, sf))
+    from replylens.operators import joins
+    return joins.graded(answer_key(spark, sf), joins.without_texts(runs(spark, sf)))
 
 
 def label_rows(spark: SparkSession, sf: str) -> DataFrame:

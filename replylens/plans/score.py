@@ -152,7 +152,7 @@ def config_comparison(spark, sf):
     runs = _baselines(spark, sf).select("config", "id", "pred", "escalated", "reply").unionByName(knn)
     zero = {"input_tokens": F.lit(0), "output_tokens": F.lit(0), "latency_s": F.lit(0.0),
             "error": F.lit(None).cast("string")}
-    t = me.config_summary(jn.graded(key, runs).withColumns(zero), [str(i) for i in range(10)])
+    t = me.config_summary(jn.graded(key, jn.without_texts(runs)).withColumns(zero), [str(i) for i in range(10)])
     return t.select("config", "n", "acc_correct", F.round("acc", 6).alias("acc"),
                     F.coalesce("esc_missed", F.lit(0).cast("long")).alias("missed"),
                     F.round(F.col("reply_rate") * F.col("n")).cast("long").alias("replies"))

@@ -120,11 +120,11 @@ def test_threshold_grid_equals_brute_force(spark):
 
 def test_config_without_a_decision_has_no_score(spark):
     df = spark.createDataFrame(
-        [("c", 1, "a", "a", True, None, False, None, 1, 1, 0.5, None),
-         ("c", 2, "a", None, False, None, True, "r", 1, 1, 0.5, "boom"),
-         ("d", 1, "a", None, True, False, False, None, 0, 0, 0.0, None)],
+        [("c", 1, "a", "a", True, None, False, False, 1, 1, 0.5, None),
+         ("c", 2, "a", None, False, None, True, True, 1, 1, 0.5, "boom"),
+         ("d", 1, "a", None, True, False, False, False, 0, 0, 0.0, None)],
         "config string, id int, gold string, pred string, should_escalate boolean, "
-        "escalated boolean, is_hard boolean, reply string, input_tokens int, output_tokens int, "
+        "escalated boolean, is_hard boolean, replied boolean, input_tokens int, output_tokens int, "
         "latency_s double, error string")
     got = {r["config"]: r for r in me.config_summary(df, ["a", "b"]).collect()}
     assert (got["c"]["n"], got["c"]["errors"], got["c"]["acc_n"], got["c"]["acc"]) == (2, 1, 1, 1.0)
