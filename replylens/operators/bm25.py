@@ -120,12 +120,20 @@ def _score(ready: _QueryBlock, batch, best: bt.RunningBest) -> None:
         pair, tf = np.unique(doc * len(ready.vocabulary) + code, return_counts=True)
         doc, code = np.divmod(pair, len(ready.vocabulary))
         weight = tf * (K1 + 1) / (tf + K1 * norm[doc])
+        score = np.zeros(ready.n * len(order))
         fan = ready.start[code + 1] - ready.start[code]
-        slot = np.repeat(ready.start[code], fan) + (
-            np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan))
-        cell = ready.owner[slot] * len(order) + np.repeat(doc, fan)
-        score = np.bincount(cell, np.repeat(weight, fan) * ready.idf[slot],
-                            minlength=ready.n * len(order)).reshape(ready.n, len(order))
+        reach = np.cumsum(fan)
+        lo = 0
+        while lo < len(code):  # as many postings at a time as fan out to CELLS additions
+            hi = max(lo + 1, int(np.searchsorted(reach, reach[lo] - fan[lo] + bt.CELLS, "right")))
+            f, c = fan[lo:hi], code[lo:hi]
+            slot = np.repeat(ready.start[c], f) + (
+                np.arange(f.sum()) - np.repeat(np.cumsum(f) - f, f))
+            cell = ready.owner[slot] * len(order) + np.repeat(doc[lo:hi], f)
+            score += np.bincount(cell, np.repeat(weight[lo:hi], f) * ready.idf[slot],
+                                 minlength=len(score))
+            lo = hi
+        score = score.reshape(ready.n, len(order))
         score = np.floor(score * 1000 + 0.5) / 1000
         floor = best.floor
         if len(order) >= best.k:
@@ -189,17 +197,19 @@ def passage_evidence(messages: DataFrame, passages: DataFrame, k: int = TOP,
     def scan(batches):
         vocabulary, weights, ids = shared.value
         names = np.array(ids, dtype=object)
+        step = max(1, bt.CELLS // max(1, len(vocabulary)))
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            code = pc.index_in(lists.flatten(), vocabulary)
-            known = code.is_valid().to_numpy(zero_copy_only=False)
-            owner = _owners(lists)[known]
-            score = np.zeros((batch.num_rows, len(ids)))
-            np.add.at(score, owner, weights[code.drop_null().to_numpy(zero_copy_only=False)])
-            score = np.floor(score * 1000 + 0.5) / 1000
-            ranked = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            found = [[{"id": names[j], "score": s[j]} for j in r if s[j] > 0]
-                     for r, s in zip(ranked, score)]
+            found = []
+            for at in range(0, batch.num_rows, step):
+                lists = batch.column(batch.num_columns - 1).slice(at, step)
+                code = pc.index_in(lists.flatten(), vocabulary)
+                owner = _owners(lists)[code.is_valid().to_numpy(zero_copy_only=False)]
+                said = np.zeros((len(lists), len(vocabulary)))
+                said[owner, code.drop_null().to_numpy(zero_copy_only=False)] = 1
+                score = np.floor(said @ weights * 1000 + 0.5) / 1000
+                ranked = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                found += [[{"id": names[j], "score": s[j]} for j in r if s[j] > 0]
+                          for r, s in zip(ranked, score)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(found, kind)],
                 names=[*batch.schema.names[:-1], "evidence"])

@@ -142,3 +142,23 @@ def test_passage_set_must_be_small(spark):
         bm25.passage_evidence(
             spark.createDataFrame([(1, "x")], "request_id long, message string"),
             spark.createDataFrame([], "ord long, id string, title string, text string"))
+
+
+def test_bm25_adds_in_bounded_pieces(spark, monkeypatch):
+    """The same scores whether postings are added at once or a few at a time."""
+    import pyarrow as pa
+    from replylens.operators import blocktopk as bt
+    kind = pa.list_(pa.struct([("term", pa.string()), ("idf", pa.float64())]))
+    block = pa.table([pa.array([0, 1, 2]), pa.array(
+        [[{"term": t, "idf": 1.0 + i} for t in terms] for i, terms in
+         enumerate([["a", "b"], ["b", "c", "d"], ["a", "d"]])], kind)], names=["q", "terms"])
+    docs = pa.table([pa.array(range(6)), pa.array(
+        [["a", "b", "b"], ["c"], [], ["d", "a", "z"], ["b", "d"], ["a"]], pa.list_(pa.string())),
+        pa.array([1.0] * 6)], names=["doc", "t", "norm"])
+    found = []
+    for cells in (bt.CELLS, 1, 3):
+        monkeypatch.setattr(bt, "CELLS", cells)
+        best = bt.RunningBest(3, 3)
+        bm25._score(bm25._QueryBlock(block), docs, best)
+        found.append(list(zip(best.rows.tolist(), best.ids.tolist(), best.scores.tolist())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 9
