@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+SALTS = 256
+PUSHED = 1000
 DAY = 86_400
 
 
@@ -51,14 +52,20 @@ class Caps:
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
             salts: int = SALTS) -> DataFrame:
-    """The first ``n`` rows per key. A hot key is cut into ``salts`` parts first, and the
-    first n of the parts' first n are the first n of the key."""
+    """The first ``n`` rows per key.
+
+    Up to ``PUSHED`` rows Spark cuts every map task to n per key by itself. Beyond that a
+    hot key is cut into ``salts`` parts first: the first n of the parts' first n are the
+    first n of the key.
+    """
     part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    return (df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-            .withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= n)
-            .withColumn("_rn", F.row_number().over(whole)).filter(F.col("_rn") <= n)
-            .drop("_salt", "_rn"))
+    if n > PUSHED:
+        df = (df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+              .withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= n)
+              .drop("_salt"))
+    return (df.withColumn("_rn", F.row_number().over(whole)).filter(F.col("_rn") <= n)
+            .drop("_rn"))
 
 
 def buckets(requests: DataFrame, caps: Caps = Caps()) -> DataFrame:

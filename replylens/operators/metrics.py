@@ -38,36 +38,46 @@ def _label_array(labels: Sequence[str]) -> Column:
     return F.array(*[F.lit(x) for x in labels])
 
 
+def _cells(counts: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row per group with its counts as an array.
+
+    Labels outside the list are folded into one first, so the array holds at most
+    (labels + 1)^2 cells. Zeros can then be added without a second look at the data.
+    """
+    def known(c: str) -> Column:
+        return F.when(F.col(c).isin(*labels), F.col(c)).otherwise(F.lit(OTHER)).alias(c)
+
+    folded = counts.groupBy(*by, known("gold"), known("pred")).agg(F.sum("n").alias("n"))
+    return folded.groupBy(*by).agg(F.collect_list(F.struct("gold", "pred", "n")).alias("cells"))
+
+
 def confusion_grid(counts: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """The dense grid with zeros; predictions outside the labels go to ``__other__``."""
-    spark = counts.sparkSession
-    groups = counts.select(*by).distinct() if by else spark.range(1).select()
-    cells = groups.select(*by, F.explode(_label_array(labels)).alias("gold")).select(
-        *by, "gold", F.explode(_label_array([*labels, OTHER])).alias("pred"),
-        F.lit(0).cast("long").alias("n"))
-    seen = (counts.filter(F.col("gold").isin(*labels))
-            .withColumn("pred", F.when(F.col("pred").isin(*labels), F.col("pred"))
-                        .otherwise(F.lit(OTHER))).select(*by, "gold", "pred", "n"))
-    return cells.unionByName(seen).groupBy(*by, "gold", "pred").agg(F.sum("n").alias("n"))
+    zeros = F.flatten(F.transform(_label_array(labels), lambda g: F.transform(
+        _label_array([*labels, OTHER]), lambda p: F.struct(
+            g.alias("gold"), p.alias("pred"), F.lit(0).cast("long").alias("n")))))
+    cells = _cells(counts, labels, by).select(*by, F.explode(F.concat("cells", zeros)).alias("c"))
+    return (cells.select(*by, "c.*").filter(F.col("gold") != OTHER)
+            .groupBy(*by, "gold", "pred").agg(F.sum("n").alias("n")))
 
 
 def per_class(counts: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Tp, fp, fn, support, precision, recall, f1 for every listed label."""
-    spark = counts.sparkSession
     zero = F.lit(0).cast("long")
-    same = F.col("gold") == F.col("pred")
 
     def side(label: Column, tp: Column, fp: Column, fn: Column) -> Column:
         return F.struct(label.alias("label"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
 
-    miss = F.when(same, 0).otherwise(F.col("n")).cast("long")
-    sides = counts.select(*by, F.explode(F.array(
-        side(F.col("gold"), F.when(same, F.col("n")).otherwise(0).cast("long"), zero, miss),
-        side(F.col("pred"), zero, miss, zero))).alias("s")).select(*by, "s.*")
-    groups = counts.select(*by).distinct() if by else spark.range(1).select()
-    empty = groups.select(*by, F.explode(_label_array(labels)).alias("label"),
-                          zero.alias("tp"), zero.alias("fp"), zero.alias("fn"))
-    table = (sides.unionByName(empty).filter(F.col("label").isin(*labels))
+    def sides(c: Column) -> Column:
+        hit = F.when(c["gold"] == c["pred"], c["n"]).otherwise(zero)
+        return F.array(side(c["gold"], hit, zero, c["n"] - hit),
+                       side(c["pred"], zero, c["n"] - hit, zero))
+
+    empty = F.transform(_label_array(labels), lambda x: side(x, zero, zero, zero))
+    table = (_cells(counts, labels, by)
+             .select(*by, F.explode(F.concat(F.flatten(F.transform("cells", sides)), empty))
+                     .alias("s")).select(*by, "s.*")
+             .filter(F.col("label") != OTHER)
              .groupBy(*by, "label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
                                         F.sum("fn").alias("fn")))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
@@ -92,9 +102,12 @@ def accuracy(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                                    st.ratio(right, total).alias("acc"))
 
 
-def agreement(counts: DataFrame, by: Sequence[str] = (), a: str = "gold",
-              b: str = "pred") -> DataFrame:
-    """Raw agreement, Cohen's kappa and its reading, from pair counts."""
+def agreement(counts: DataFrame, by: Sequence[str] = (), a: str = "gold", b: str = "pred",
+              positive=None) -> DataFrame:
+    """Raw agreement, Cohen's kappa and its reading, from pair counts.
+
+    With a ``positive`` label, also how often each rater gave it (``a_rate``, ``b_rate``).
+    """
     zero = F.lit(0).cast("decimal(19,0)")
     n = F.col("n").cast("decimal(19,0)")
     margins = (counts.select(*by, F.explode(F.array(
@@ -108,7 +121,10 @@ def agreement(counts: DataFrame, by: Sequence[str] = (), a: str = "gold",
     total = margins.groupBy(*by).agg(
         F.coalesce(F.sum("row"), zero).cast("long").alias("n"),
         F.coalesce(F.sum("agree"), zero).cast("long").alias("agree"),
-        F.sum(F.col("row") * F.col("col")).alias("_chance"))
+        F.sum(F.col("row") * F.col("col")).alias("_chance"),
+        *([] if positive is None else [
+            st.ratio(F.sum(F.when(F.col("label") == positive, F.col(c))), F.sum(c), None)
+            .cast("double").alias(name) for c, name in (("row", "a_rate"), ("col", "b_rate"))]))
     k = st.kappa(F.col("n"), F.col("agree"), F.col("_chance"))
     return (total.withColumns({"raw": st.ratio(F.col("agree"), F.col("n"), None), "kappa": k})
             .withColumns({"band": st.kappa_band(F.col("kappa")),
@@ -152,12 +168,9 @@ def long_dimensions(df: DataFrame, dims: Sequence[str] = DIMENSIONS,
 def dimension_agreement(df: DataFrame, dims: Sequence[str] = DIMENSIONS) -> DataFrame:
     """Per dimension raw agreement, kappa, band and both yes rates."""
     counts = long_dimensions(df, dims).groupBy("dim", "human", "judge").agg(_n())
-    yes = counts.groupBy("dim").agg(
-        st.ratio(F.sum(F.when(F.col("judge"), F.col("n")).otherwise(0)), F.sum("n"))
-        .alias("judge_yes"),
-        st.ratio(F.sum(F.when(F.col("human"), F.col("n")).otherwise(0)), F.sum("n"))
-        .alias("human_yes"))
-    return agreement(counts, ["dim"], "human", "judge").join(yes, "dim")
+    table = agreement(counts, ["dim"], "human", "judge", positive=True)
+    return table.withColumnsRenamed({"a_rate": "human_yes", "b_rate": "judge_yes"}).fillna(
+        0.0, ["human_yes", "judge_yes"])
 
 
 def dimension_pass_rates(df: DataFrame, dims: Sequence[str] = DIMENSIONS) -> DataFrame:
@@ -178,28 +191,71 @@ def config_summary(graded: DataFrame, labels: Sequence[str]) -> DataFrame:
     ``joins.without_texts``), so that no reply text travels through the join.
     """
     has, right = F.col("pred").isNotNull(), F.col("gold") == F.col("pred")
-    decided = F.col("escalated").isNotNull()
-    t, p = F.col("should_escalate"), F.col("escalated")
-    hard = has & F.coalesce(F.col("is_hard"), F.lit(False))
-    n, acc_n, esc_n = F.count(F.lit(1)), F.count_if(has), F.count_if(decided)
-    tp, fp, fn = F.count_if(t & p), F.count_if(~t & p), F.count_if(t & ~p)
-    base = graded.groupBy("config").agg(
-        n.alias("n"), F.count_if(F.nullif("error", F.lit("")).isNotNull()).alias("errors"),
-        acc_n.alias("acc_n"), F.count_if(has & right).alias("acc_correct"),
-        st.ratio(F.count_if(has & right), acc_n, None).alias("acc"),
-        F.count_if(hard).alias("n_hard"),
-        st.ratio(F.count_if(hard & right), F.count_if(hard), None).alias("acc_hard"),
+    hard = F.coalesce(F.col("is_hard"), F.lit(False))
+
+    def known(c: str) -> Column:
+        return F.when(F.col(c).isNull() | F.col(c).isin(*labels), F.col(c)).otherwise(F.lit(OTHER))
+
+    # One pass over the runs; what is left has a row per config and kind of outcome.
+    outcomes = graded.groupBy(
+        "config", known("gold").alias("gold"), known("pred").alias("pred"),
+        F.coalesce(has & right, F.lit(False)).alias("right"), hard.alias("hard"),
+        F.col("should_escalate").alias("t"), F.col("escalated").alias("p")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.nullif("error", F.lit("")).isNotNull()).alias("errors"),
+        F.count_if("replied").alias("replies"),
+        F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))
+        .alias("tokens"), F.sum(F.coalesce("latency_s", F.lit(0.0))).alias("latency"))
+
+    def total(condition: Column | None = None, of: str = "n") -> Column:
+        value = F.col(of) if condition is None else F.when(condition, F.col(of))
+        return F.coalesce(F.sum(value), F.lit(0))
+
+    t, p = F.col("t"), F.col("p")
+    n, acc_n, esc_n = total(), total(has), total(p.isNotNull())
+    n_hard, hits = total(has & F.col("hard")), total(F.col("right"))
+    tp, fp, fn = total(t & p), total(~t & p), total(t & ~p)
+    table = outcomes.groupBy("config").agg(
+        n.alias("n"), total(of="errors").alias("errors"), acc_n.alias("acc_n"),
+        hits.alias("acc_correct"), st.ratio(hits, acc_n, None).alias("acc"),
+        n_hard.alias("n_hard"),
+        st.ratio(total(F.col("right") & F.col("hard")), n_hard, None).alias("acc_hard"),
         F.when(esc_n > 0, st.ratio(tp, tp + fp)).alias("esc_precision"),
         F.when(esc_n > 0, st.ratio(tp, tp + fn)).alias("esc_recall"),
         F.when(esc_n > 0, fn).alias("esc_missed"),
-        st.ratio(F.count_if(~p), esc_n, None).alias("auto_rate"),
-        st.ratio(F.count_if("replied"), n).alias("reply_rate"),
-        st.ratio(F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce(
-            "output_tokens", F.lit(0))), n).alias("tokens"),
-        F.avg(F.coalesce("latency_s", F.lit(0.0))).alias("latency"))
-    f1s = averaged_f1(per_class(confusion_counts(graded, by=["config"]), labels, ["config"]),
-                      ["config"])
-    return base.join(f1s, "config", "left")
+        st.ratio(total(~p), esc_n, None).alias("auto_rate"),
+        st.ratio(total(of="replies"), n).alias("reply_rate"),
+        st.ratio(F.sum("tokens"), n).alias("tokens"),
+        st.ratio(F.sum("latency"), n).alias("latency"),
+        F.collect_list(F.when(has, F.struct("gold", "pred", "n"))).alias("_cells"))
+    f1s = _f1_of_cells(F.col("_cells"), labels)
+    return (table.withColumn("_f1", F.when(F.col("acc_n") > 0, f1s))
+            .select(*[c for c in table.columns if c != "_cells"], "_f1.macro_f1",
+                    "_f1.weighted_f1"))
+
+
+def _f1_of_cells(cells: Column, labels: Sequence[str]) -> Column:
+    """Macro and weighted F1 from one small array of (gold, pred, n)."""
+    def add(acc: Column, x: Column, label: Column) -> Column:
+        gold, pred = x["gold"] == label, x["pred"] == label
+        return F.struct(
+            (acc["tp"] + F.when(gold & pred, x["n"]).otherwise(0)).alias("tp"),
+            (acc["one"] + F.when(gold, x["n"]).otherwise(0)
+             + F.when(pred, x["n"]).otherwise(0)).alias("one"),
+            (acc["support"] + F.when(gold, x["n"]).otherwise(0)).alias("support"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("tp"), zero.alias("one"), zero.alias("support"))
+    # 2 tp / (row + column) is the harmonic mean of precision and recall.
+    scores = F.transform(_label_array(labels), lambda c: F.aggregate(
+        cells, start, lambda acc, x: add(acc, x, c), lambda acc: F.struct(
+            st.ratio(2 * acc["tp"], acc["one"]).alias("f1"), acc["support"].alias("support"))))
+    plain = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x["f1"]) / len(labels)
+    weighted = F.aggregate(scores, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("w")),
+                           lambda a, x: F.struct((a["s"] + x["f1"] * x["support"]).alias("s"),
+                                                 (a["w"] + x["support"]).alias("w")),
+                           lambda a: st.ratio(a["s"], a["w"]))
+    return F.struct(plain.alias("macro_f1"), weighted.alias("weighted_f1"))
 
 
 def confused_pairs(counts: DataFrame, top: int = 8) -> DataFrame:
@@ -287,11 +343,12 @@ def threshold_what_if(cases: DataFrame, taus: Sequence[float], sigmas: Sequence[
     along_j = Window.partitionBy("i").orderBy(F.desc("j")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     kept = names[:2]
-    summed = table.select("i", "j", *[F.sum(c).over(along_i).alias(c) for c in kept])
-    summed = summed.select("i", "j", *[F.sum(c).over(along_j).alias(c) for c in kept])
-    totals = hist.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    pos = F.coalesce(totals.select("p").scalar(), zero)
-    neg = F.coalesce(totals.select("q").scalar(), zero)
+    # The whole grid is a few thousand rows, so its totals are one small window.
+    everything = Window.partitionBy()
+    summed = table.select("i", "j", *[F.sum(c).over(along_i).alias(c) for c in kept],
+                          *[F.sum(c).over(everything).alias(c) for c in names[2:]])
+    summed = summed.select("i", "j", *[F.sum(c).over(along_j).alias(c) for c in kept], *names[2:])
+    pos, neg = F.col("pos"), F.col("neg")
     grid = (summed.filter((F.col("i") > 0) & (F.col("j") > 0))
             .select(F.element_at(F.array(*[F.lit(float(t)) for t in taus]), F.col("i")).alias("tau"),
                     F.element_at(F.array(*[F.lit(float(s)) for s in sigmas]), F.col("j"))
