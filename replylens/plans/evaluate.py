@@ -464,3 +464,14 @@ def _(spark, sf):
     top = me.unstable_boundaries(_counts(spark, sf)).orderBy(F.desc("n"), "label_a", "label_b").limit(5)
     place = Window.orderBy(F.desc("n"), "label_a", "label_b")
     return top.withColumn("place", F.row_number().over(place))
+
+
+@query("J11_threshold_grid", f"""
+with {b.GRADED}, t as (select range / 20.0::double as tau from range(21)),
+s as (select range / 20.0::double as sigma from range(21))
+select tau, sigma, count(*) filter (where coalesce(escalated, false) or confidence < tau
+  or top_similarity < sigma) as review from graded, t, s where config = 'marks' group by all""")
+def _(spark, sf):
+    steps = [i / 20 for i in range(21)]
+    return me.threshold_what_if(b.graded(spark, sf).filter("config = 'marks'"), steps, steps).select(
+        "tau", "sigma", "review")

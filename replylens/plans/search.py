@@ -154,3 +154,38 @@ def live_passage_evidence(spark, sf):
     return found.filter(F.size("evidence") > 0).select("conv_id", "turn", F.array_join(F.transform(
         "evidence", lambda e: F.concat(e["id"], F.lit(":"), F.format_string("%.3f", e["score"]))),
         "|").alias("evidence"))
+
+
+@query("T9_T8_own_policy_evidence", f"""
+with c as (select conv_id, turn, role, text, last_value(case when role = 'user' then text end ignore nulls)
+  over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as message
+  from conversations),
+a as (select * from c where role = 'assistant'),
+p as (select conv_id, turn, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) as p,
+  generate_subscripts(regexp_split_to_array(text, '\\n\\s*\\n'), 1) as i from a),
+s as (select conv_id, turn, i, j, substr(p, j * 900 + 1, 900) as s
+  from p, lateral unnest(range(0, ((len(p) + 899) // 900)::int)) r(j)),
+n as (select *, row_number() over (partition by conv_id, turn order by i, j) as n
+  from s where regexp_matches(s, '[^\\s]') qualify n <= 20),
+t as (select conv_id, turn, n, {SQL_TOKENS.format("concat('Your support policy · section ', n, ' ', s)")} as t from n),
+stats as (select conv_id, turn, count(*)::double as docs, avg(len(t)) as average from t group by all),
+e as (select conv_id, turn, n, len(t) as length, unnest(t) as term from t),
+tf as (select conv_id, turn, n, length, term, count(*)::double as tf from e group by all),
+df as (select conv_id, turn, term, count(*)::double as df from tf group by all),
+q as (select conv_id, turn, unnest(list_distinct({SQL_TOKENS.format('message')})) as term from a),
+r as (select tf.conv_id, tf.turn, tf.n, round(sum(ln(1 + (docs - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
+    / (tf + 1.2::double * (0.25::double + 0.75::double * length / average))), 3) as score
+  from q join tf on tf.conv_id = q.conv_id and tf.turn = q.turn and tf.term = q.term
+  join df on df.conv_id = tf.conv_id and df.turn = tf.turn and df.term = tf.term
+  join stats on stats.conv_id = tf.conv_id and stats.turn = tf.turn group by all)
+select conv_id, turn, string_agg(concat('CUSTOM-', n, ':', printf('%.3f', score)), '|' order by score desc, n) as evidence
+from (select *, row_number() over (partition by conv_id, turn order by score desc, n) as place from r
+  where score > 0 qualify place <= 4) group by all""")
+def own_policy_evidence(spark, sf):
+    """Each answer of the assistant stands for a policy, the turn before it for the message."""
+    asked = history.last_user_text(b.conversations(spark, sf)).filter("role = 'assistant'").select(
+        "conv_id", "turn", F.col("previous_user_text").alias("message"), F.col("text").alias("policy"))
+    found = bm25.own_policy_evidence(asked)
+    return found.filter(F.size("evidence") > 0).select("conv_id", "turn", F.array_join(F.transform(
+        "evidence", lambda e: F.concat(e["id"], F.lit(":"), F.format_string("%.3f", e["score"]))),
+        "|").alias("evidence"))

@@ -60,7 +60,7 @@ def spread(df: DataFrame) -> DataFrame:
     row group is not split. A table in many files is left as it is and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def materialise(df, name: str):

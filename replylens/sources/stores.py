@@ -22,8 +22,8 @@ def export_reviews(reviews: DataFrame, path: str, notice: str) -> None:
 
 
 def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """IO7: pairs by brand. The round-robin step spreads a brand that holds most rows over
-    many tasks; partitioning by brand alone would give it to one."""
+    """IO7: pairs by brand. Every task writes its own rows of each brand; gathering a brand
+    first would give one that holds most rows to a single task."""
     writer = pairs.write.partitionBy("brand")
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')

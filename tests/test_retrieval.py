@@ -162,3 +162,16 @@ def test_bm25_adds_in_bounded_pieces(spark, monkeypatch):
         bm25._score(bm25._QueryBlock(block), docs, best)
         found.append(list(zip(best.rows.tolist(), best.ids.tolist(), best.scores.tolist())))
     assert found[0] == found[1] == found[2] and len(found[0]) == 9
+
+
+def test_own_policy(spark):
+    policy = "\n\n".join(DOCS[:5]) + "\n\n" + "long words " * 200
+    df = spark.createDataFrame([(0, QUERIES[0], policy), (1, "zzz", policy), (2, "songs", "")],
+                               "request_id long, message string, policy string")
+    got = {r["request_id"]: r["evidence"] for r in bm25.own_policy_evidence(df).collect()}
+    parts = DOCS[:5] + [("long words " * 200)[i:i + 900] for i in range(0, 2200, 900)]
+    want = py_bm25(QUERIES[0], [f"Your support policy section {i + 1} {p}" for i, p in
+                                enumerate(parts)], 4)
+    assert [(e["id"], pytest.approx(e["score"])) for e in got[0]] == \
+        [(f"CUSTOM-{i + 1}", s) for i, s in want]
+    assert got[1] == got[2] == []
