@@ -23,4 +23,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """One of the given tables. Their times carry no zone and mean UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
