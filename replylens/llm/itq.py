@@ -188,8 +188,9 @@ def _class_links(spark, classes: DataFrame, total: int, cosine: float, sample: i
     coded = stored(classes.select("node", "weight", "v")
                    .mapInArrow(encode, f"node long, weight long, v {_type(classes)}, codes array<int>"), "codes")
     keys = coded.select("node", F.posexplode("codes").alias("t", "code"))
-    crowded = (keys.groupBy("t", "code").agg(F.count("*").alias("n")).filter("n > 1")
-               .select("t", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    # stored, so that the join shuffles both sides and a hot bucket can be split
+    crowded = checkpoint(keys.groupBy("t", "code").agg(F.count("*").alias("n")).filter("n > 1")
+                         .select("t", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     met = keys.join(crowded, ["t", "code"])
     # block b of a bucket goes to every pair of blocks it is part of
     b = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -133,8 +133,9 @@ def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     named = checkpoint(_join(named, last, [*KEY, "level", "tail_at"]).drop("tail_at"))
     interval = ["n_lines", "head", "tail"]
     here = F.struct("doc_id", "version", "start")
-    firsts = (named.groupBy(*interval).agg(F.min(here).alias("first"), F.count("*").alias("n"))
-              .filter("n > 1").drop("n"))
+    # stored, so that the join shuffles both sides and a hot interval can be split
+    firsts = checkpoint(named.groupBy(*interval).agg(F.min(here).alias("first"), F.count("*").alias("n"))
+                        .filter("n > 1").drop("n"))
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.version") == F.col("version"))
     later = (named.join(firsts, interval)
              .filter(~(same & (F.col("start") < F.col("first.start") + F.col("n_lines")))))

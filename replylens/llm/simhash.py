@@ -129,8 +129,9 @@ def link_fingerprints(bits: DataFrame, radius: int = RADIUS) -> DataFrame:
             value = F.shiftleft(value, high - low).bitwiseOR(part)
         keys.append(value)
     keyed = bits.select("bits", F.explode(F.array(*keys)).alias("key"))
-    crowded = (keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-               .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    # stored, so that the join shuffles both sides and a hot key can be split
+    crowded = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+                         .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     met = (keyed.join(crowded, "key")
            .withColumn("b", F.pmod(F.xxhash64("bits"), F.col("blocks")).cast("int"))
            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replylens.llm.common import pieces_of, stored
+from replylens.llm.common import checkpoint, pieces_of, stored
 from replylens.session import scratch_path
 
 CHUNK = 1 << 16
@@ -46,8 +46,10 @@ def record_types(pages: DataFrame, min_bytes: int) -> DataFrame:
     """
     digests = pages.select("page_id", F.octet_length("html").alias("size"), F.sha1("html").alias("digest"))
     digests = digests.filter(F.col("size") >= min_bytes)
-    groups = (digests.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-              .filter("n > 1").drop("n"))
+    # stored, so that the join shuffles both sides and a hot payload can be split
+    groups = checkpoint(digests.groupBy("digest", "size")
+                        .agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+                        .filter("n > 1").drop("n"))
     return (digests.join(groups, ["digest", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
             .select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct())
 
