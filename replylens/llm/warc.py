@@ -7,13 +7,15 @@ already lies in the input.
 Writing: tasks stream records into archives in the shared folder. A task that runs twice
 writes another file under another name; the table of archives, which Spark commits, names
 one file per finished task, and readers use only those. Nothing depends on the disk of an
-executor.
+executor. Every record is a gzip member of its own, as is usual for such archives.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,8 +95,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, chunk:
                 if out is None:
                     store, base = open_store(folder)
                     store.create_dir(base, recursive=True)
-                    name = f"{uuid.uuid4().hex}.warc"
-                    out = store.open_output_stream(f"{base}/{name}")
+                    name = f"{uuid.uuid4().hex}.warc.gz"
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
                 payload = memoryview(html.as_buffer())
                 revisits = revisit.as_py()
                 page = page.as_py()
@@ -102,13 +104,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, chunk:
                                url.as_py().replace("\r", "").replace("\n", ""), len(payload), digest.as_py(),
                                refers.as_py() if revisits else None,
                                len(_HTTP) + (0 if revisits else len(payload)))
-                out.write(head + _HTTP)
-                written += len(head) + len(_HTTP) + 4
-                if not revisits:
-                    for at in range(0, len(payload), chunk):
-                        out.write(payload[at:at + chunk])
-                    written += len(payload)
-                out.write(b"\r\n\r\n")
+                member = zlib.compressobj(1, zlib.DEFLATED, 31)
+                parts = [member.compress(head + _HTTP)]
+                for at in range(0, 0 if revisits else len(payload), chunk):
+                    parts.append(member.compress(payload[at:at + chunk]))
+                    if sum(map(len, parts)) >= chunk:
+                        written += out.write(b"".join(parts))
+                        parts.clear()
+                parts += [member.compress(b"\r\n\r\n"), member.flush()]
+                written += out.write(b"".join(parts))
                 records += 1
         if out is not None:
             out.close()
@@ -208,7 +212,8 @@ def read_archives(spark: SparkSession, folder: str, archives: DataFrame, chunk:
             for name in batch.column("archive").to_pylist():
                 rows: list[tuple] = []
                 held = 0
-                with store.open_input_stream(f"{base}/{name}") as source:
+                with store.open_input_stream(f"{base}/{name}", compression=None) as packed, \
+                        gzip.GzipFile(fileobj=packed) as source:
                     for record in read_records(source, chunk):
                         held += len(record[7])
                         rows.append((*record[:7], record[7] if with_data else None, record[8], len(record[7])))
