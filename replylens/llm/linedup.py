@@ -37,8 +37,9 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("version"),
-                       F.split(text, "\n").alias("lines"), docs[text_col].isNull().alias("was_null"))
+    lines = F.split(text, "\n")
+    return docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("version"), lines.alias("lines"),
+                       _filled(lines).alias("filled"), docs[text_col].isNull().alias("was_null"))
 
 
 def _words(line: Column) -> Column:
@@ -158,12 +159,22 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     return marked.select("doc_id", *_kept())
 
 
+def _filled(lines: Column) -> Column:
+    """Places of the lines that are not blank."""
+    marked = F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i))
+    return F.filter(marked, lambda i: i.isNotNull())
+
+
 def _kept() -> list[Column]:
+    """Text and counts from the columns lines, filled, was_null and removed.
+
+    ``lines`` and ``filled`` must be columns of the input, not expressions: they are read
+    once per line here.
+    """
     size = F.size("lines")
-    numbers = F.sequence(F.lit(0), size - 1)
-    filled = F.filter(numbers, lambda i: F.trim(F.element_at("lines", i + 1)) != "")
-    gone = F.transform("removed", lambda j: F.element_at(filled, j + 1))
-    kept = F.transform(F.array_except(numbers, gone), lambda i: F.element_at("lines", i + 1))
+    gone = F.transform("removed", lambda j: F.element_at("filled", j + 1))
+    left = F.array_except(F.sequence(F.lit(0), size - 1), gone)
+    kept = F.transform(left, lambda i: F.element_at("lines", i + 1))
     text = F.when(F.col("was_null"), F.lit(None)).when(
         F.col("removed").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(kept, "\n"))
     return [text.alias("text"), size.cast("long").alias("n_lines"),
@@ -175,26 +186,26 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     """``docs`` with all its columns, later copies of repeated runs removed from its texts.
 
     Documents that lose lines and have only blanks left go. ``size_col``, if there is one,
-    becomes the new length. Texts that lose nothing, null ones too, stay as they are.
+    becomes the new length where lines were lost. Texts that lose nothing stay as they are.
     """
-    gone = later_copies(docs, min_words, id_col, text_col)
-    marks = gone.select(F.col("doc_id").alias("__doc_id"), F.col("version").alias("__version"),
-                        F.col("removed").alias("__removed"))
-    text = docs[text_col]
-    joined = docs.join(marks, docs[id_col].eqNullSafe(marks["__doc_id"])
-                       & (F.xxhash64(F.coalesce(text, F.lit(""))) == marks["__version"]), "left")
-    lines = F.split(text, "\n")
-    filled = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.element_at(lines, i + 1)) != "")
-    lost = F.transform(marks["__removed"], lambda j: F.element_at(filled, j + 1))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
-    after = F.when(marks["__removed"].isNull(), text).otherwise(
-        F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
-    kept = joined.filter(marks["__removed"].isNull() | (F.trim(F.regexp_replace(after, "\n", "")) != ""))
-    new = {text_col: after}
-    if size_col in docs.columns:
-        new[size_col] = F.when(marks["__removed"].isNull(), docs[size_col]).otherwise(
-            F.length(after).cast(docs.schema[size_col].dataType))
-    return kept.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+    rest = F.struct(*[docs[c] for c in docs.columns if c != text_col])
+    lines = F.split(F.coalesce(docs[text_col], F.lit("")), "\n")
+    source = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("version"),
+                         lines.alias("lines"), _filled(lines).alias("filled"),
+                         docs[text_col].isNull().alias("was_null"), rest.alias("rest"))
+    marked = _join(source, later_copies(docs, min_words, id_col, text_col), KEY, "left")
+    marked = marked.select("rest", *_kept())
+    marked = marked.filter((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n", "")) != ""))
+    out = []
+    for c in docs.columns:
+        if c == text_col:
+            out.append(F.col("text").alias(c))
+        elif c == size_col:
+            length = F.length("text").cast(docs.schema[c].dataType)
+            out.append(F.when(F.col("n_removed") == 0, F.col("rest")[c]).otherwise(length).alias(c))
+        else:
+            out.append(F.col("rest")[c].alias(c))
+    return marked.select(*out)
 
 
 def sql(min_words: int = 50) -> str:
