@@ -32,6 +32,7 @@ WALKS = 4
 TABLES = 48
 SAMPLED = 3
 ITEM_CHARS = 4_000_000      # a block of items
+CELLS = 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 GAP = 0                     # the word id of everything that no item holds
 
@@ -41,6 +42,11 @@ def edits_allowed(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
+def spacing(edits: int) -> int:
+    """Steps between windows: more than one only where far more edits are allowed anyway."""
+    return max(1, edits // 8)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -118,8 +124,10 @@ class ItemIndex:
         for t, item in enumerate(self.items):
             n, k = len(item), edits_allowed(len(item), similarity)
             size = min(3, -(-(n - k) // (k + 1)))
+            own = {}        # of equal runs near each other in an item, one places the windows
             for q in range(n - size + 1):
-                runs[size].append((self.code(item[q:q + size]), t, q))
+                own.setdefault((self.code(item[q:q + size]), q // spacing(k)), q)
+            runs[size] += [(code, t, q) for (code, _), q in own.items()]
         for size, found in runs.items():
             found.sort()
             codes, ts, qs = (np.array(c, np.int64) for c in zip(*found))
@@ -199,8 +207,9 @@ class ItemIndex:
         out = {}
         for n, parts in found.items():
             k = edits_allowed(n, self.similarity)
-            around = np.unique(np.concatenate(parts))[:, None] + np.arange(-k, k + 1)[None, :]
-            starts = np.unique(around)
+            step = spacing(k)
+            grid = np.unique(np.concatenate(parts) // step)[:, None] + np.arange(-(-(-k // step)), -(-k // step) + 1)
+            starts = np.unique(grid) * step
             out[n] = starts[(starts >= 0) & (starts < len(words))]
         return out
 
@@ -230,7 +239,11 @@ class ItemIndex:
         return both[:, 0], both[:, 1]
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, edits, end) of verified candidates; ``words`` ends in gaps (-1) between texts."""
+        """(item, edits, end) of verified candidates; -1 in ``words`` ends a text.
+
+        Candidates of an item whose surroundings overlap are verified as one region.
+        """
+        gaps = np.flatnonzero(words < 0)
         by_item = defaultdict(list)
         for t, start in zip(*(c.tolist() for c in self.candidates(words))):
             by_item[t].append(start)
@@ -238,27 +251,31 @@ class ItemIndex:
         for t, starts in by_item.items():
             item = self.items[t]
             n, k = len(item), edits_allowed(len(item), self.similarity)
-            for at in range(0, len(starts), 4096):
-                part = np.array(sorted(starts[at:at + 4096]), np.int64)
-                spread = part[:, None] + np.arange(-k, n + k)[None, :]
-                region = words[np.clip(spread, 0, len(words) - 1)]
-                region = np.where((spread >= 0) & (spread < len(words)), region, -1)
-                # a stretch must not reach over the end of a text
-                edits, end = stretch_distance(item, _own_text(region, k))
-                for s, e, stop in zip(part, edits, end):
+            starts, margin = np.sort(np.array(starts, np.int64)), k + spacing(k)
+            ends = np.append(gaps, len(words))[np.searchsorted(gaps, starts)]
+            opens = np.append(-1, gaps)[np.searchsorted(gaps, starts)] + 1
+            low, high = np.maximum(starts - margin, opens), np.minimum(starts + n + margin, ends)
+            fresh = np.r_[True, low[1:] > np.maximum.accumulate(high)[:-1]]
+            low, high = low[fresh], np.maximum.reduceat(high, np.flatnonzero(fresh))
+            order = np.argsort(high - low, kind="stable")
+            low, high = low[order], high[order]
+            at = 0
+            while at < len(low):    # regions of like width, CELLS words at most
+                width = int(high[at] - low[at])
+                some = at + max(1, CELLS // max(1, 2 * width))
+                some = min(some, int(np.searchsorted(high - low, 2 * width, side="right")), len(low))
+                some = max(some, at + 1)
+                columns = np.arange(int((high - low)[some - 1]))
+                places = low[at:some, None] + columns
+                region = np.where(places < high[at:some, None], words[np.minimum(places, len(words) - 1)], -1)
+                edits, end = stretch_distance(item, region)
+                for first, e, stop in zip(low[at:some], edits, end):
                     if e <= k:
-                        out.append((t, int(e), int(s) - k + int(stop)))
+                        out.append((t, int(e), int(first) + int(stop)))
+                at = some
         return out
 
 
-def _own_text(region: np.ndarray, middle: int) -> np.ndarray:
-    """Words before the last and after the first gap around the window's start become gaps."""
-    gaps = region < 0
-    before = np.flip(np.logical_or.accumulate(np.flip(gaps[:, :middle], axis=1), axis=1), axis=1)
-    after = np.logical_or.accumulate(gaps[:, middle:], axis=1)
-    return np.where(np.concatenate([before, after], axis=1), -1, region)
-
-
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
                text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, n_words, end_word) of items found in documents.
