@@ -201,13 +201,17 @@ def route(message: Column, history: Column, intent: Column, needs_human: Column,
         reasons.alias("routing_reasons"), F.lit(True).alias("review_required"))
 
 
+# Fixed value: characters of a message or of an earlier turn.
+MAX_MESSAGE = 2000
+
+
 def request_violations(message: Column, history: Column, policy: Column) -> Column:
     """Codes of the input limits a request breaks; empty means accepted."""
     bad_turn = F.exists(history, lambda t: F.coalesce(
-        ~t["role"].isin("user", "assistant") | (F.length(t["text"]) > 2000)
+        ~t["role"].isin("user", "assistant") | (F.length(t["text"]) > MAX_MESSAGE)
         | t["role"].isNull() | t["text"].isNull(), F.lit(True)))
     return F.array_compact(F.array(
-        F.when(F.coalesce((F.length(uni_trim(message)) < 4) | (F.length(message) > 2000),
+        F.when(F.coalesce((F.length(uni_trim(message)) < 4) | (F.length(message) > MAX_MESSAGE),
                           F.lit(True)), F.lit("invalid_message")),
         F.when(F.length(policy) > 8000, F.lit("invalid_policy")),
         F.when(F.coalesce((F.size(history) > 4) | bad_turn, F.lit(False)),

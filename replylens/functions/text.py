@@ -87,6 +87,11 @@ def normal_id(c: Column) -> Column:
     return F.regexp_replace(uni_trim(c.cast("string")), r"\.0$", "")
 
 
+def float_id(c: Column) -> Column:
+    """P1 for an id column that was read as a floating-point number, without an exponent."""
+    return c.cast("decimal(38,0)").cast("string")
+
+
 def counted_words(c: Column) -> Column:
     """Words that are neither a mention nor a link."""
     return F.size(F.filter(words(F.lower(c)),
@@ -205,14 +210,20 @@ def tokens(c: Column) -> Column:
     return F.transform(kept, stem)
 
 
-def passages(c: Column, size: int = 900, limit: int = 20) -> Column:
-    """Blank-line paragraphs cut into slices, the first ``limit`` non-blank ones."""
+# Fixed value: sections of a policy that a live request may bring along.
+LIVE_SECTIONS = 20
+
+
+def passages(c: Column, size: int = 900, limit: int | None = None) -> Column:
+    """Blank-line paragraphs cut into slices, all non-blank ones or the first ``limit``."""
     paragraphs = F.filter(F.split(F.coalesce(c, F.lit("")), r"\n" + SPACE + r"*\n"),
                           lambda p: p != "")
     slices = F.flatten(F.transform(paragraphs, lambda p: F.transform(
         F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")),
         lambda i: F.substr(p, i * size + 1, F.lit(size)))))
-    kept = F.slice(F.filter(slices, lambda s: s.rlike(NONSPACE)), 1, limit)
+    kept = F.filter(slices, lambda s: s.rlike(NONSPACE))
+    if limit is not None:
+        kept = F.slice(kept, 1, limit)
     return F.transform(kept, lambda s, i: F.struct(
         F.concat(F.lit("CUSTOM-"), (i + 1).cast("string")).alias("id"),
         F.concat(F.lit("Your support policy · section "), (i + 1).cast("string")).alias("title"),

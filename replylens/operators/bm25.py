@@ -223,13 +223,14 @@ def passage_evidence(messages: DataFrame, passages: DataFrame, k: int = TOP,
 
 
 def own_policy_evidence(requests: DataFrame, message: str = "message", policy: str = "policy",
-                        k: int = TOP) -> DataFrame:
+                        k: int = TOP, limit: int | None = None) -> DataFrame:
     """T9 with T8: each request searched against the passages of its own policy text.
 
-    At most twenty passages per row, so everything happens inside the row. Adds
+    Everything happens inside the row; a live request passes ``text.LIVE_SECTIONS`` as the
+    limit. Adds
     ``evidence``, array<struct<id, score>>.
     """
-    cut = F.transform(tx.passages(F.col(policy)), lambda p: F.struct(
+    cut = F.transform(tx.passages(F.col(policy), limit=limit), lambda p: F.struct(
         p["id"].alias("id"), tx.tokens(F.concat_ws(" ", p["title"], p["text"])).alias("t")))
     lengths = F.aggregate("_passages", F.lit(0), lambda a, p: a + F.size(p["t"]))
     df = F.transform("_terms", lambda w: F.struct(w.alias("w"), F.size(F.filter(

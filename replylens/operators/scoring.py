@@ -34,15 +34,15 @@ VERDICT_FIELDS = T.StructType([T.StructField(f, T.BooleanType()) for f in (
 
 
 def score_batches(items: DataFrame, scorer: Scorer, fields: T.StructType | str,
-                  concurrency: int | None = None) -> DataFrame:
+                  halve: bool = False) -> DataFrame:
     """M1, M5: run ``scorer`` on Arrow batches and keep going past bad rows.
 
-    ``scorer`` gets a pandas batch and returns the ``fields`` columns, row for row, and may
-    return an ``error`` column for rows it could not score. If it raises, the batch is
-    halved until only the offending rows are left to carry the error text. A scorer that
-    pays per call should catch its own errors, so that no row is scored twice. ``concurrency`` bounds how many batches run at
-    once, which is how a rate-limited model host is protected. Store the result before
-    using it twice, or the scorer runs twice.
+    ``scorer`` gets a pandas batch and returns the ``fields`` columns, row for row, and an
+    ``error`` column for rows it could not score; every row is scored once. If it raises,
+    all rows of the batch carry the error text, or with ``halve`` the batch is halved until
+    only the offending rows do, which scores the others again. A limit on calls belongs in
+    the scorer or in the resources of its tasks: partitions stay as the table has them.
+    Store the result before using it twice, or the scorer runs twice.
     """
     if isinstance(fields, str):
         fields = T.StructType.fromDDL(fields)
@@ -64,11 +64,12 @@ def score_batches(items: DataFrame, scorer: Scorer, fields: T.StructType | str,
         try:
             return [timed(pdf.reset_index(drop=True))]
         except Exception as exc:  # a bad row is a result to record, not a reason to stop
-            if len(pdf) > 1:
+            if halve and len(pdf) > 1:
                 half = len(pdf) // 2
                 return attempt(pdf.iloc[:half]) + attempt(pdf.iloc[half:])
-            return [pd.DataFrame({**{n: [None] for n in names}, "latency_s": [0.0], "error": [
-                f"{type(exc).__name__}: {exc}"[:ERROR_CHARS]]})]
+            n_rows = len(pdf)
+            return [pd.DataFrame({**{n: [None] * n_rows for n in names}, "latency_s": [0.0] * n_rows,
+                                  "error": [f"{type(exc).__name__}: {exc}"[:ERROR_CHARS]] * n_rows})]
 
     def run(batches):
         for pdf in batches:
@@ -78,8 +79,7 @@ def score_batches(items: DataFrame, scorer: Scorer, fields: T.StructType | str,
                 [p.astype(object) for p in parts], ignore_index=True)
             yield pd.concat([pdf, got], axis=1)[out.fieldNames()]
 
-    work = items.repartition(concurrency) if concurrency else items
-    return work.mapInPandas(run, out)
+    return items.mapInPandas(run, out)
 
 
 def judged(scored: DataFrame) -> DataFrame:
@@ -126,15 +126,18 @@ class SublinearTfIdf(Transformer, HasInputCols, HasOutputCol, DefaultParamsReada
 
 
 def fit_text_classifier(labelled: DataFrame, split: str = "dev", label: str = "label",
-                        text: str = "text", min_df: float = 1.0, vocabulary: int = 1 << 18,
+                        text: str = "text", min_df: float = 1.0, max_rows: int = 20_000,
                         max_iter: int = 2000, tol: float = 1e-4) -> PipelineModel:
     """M2: word 1- and 2-grams, sublinear tf, smooth idf, class-balanced multinomial fit.
 
-    Reads one split only; a row of another split fails the job. The vocabulary is bounded,
-    so the driver holds at most that many terms.
+    Reads one split only; a row of another split fails the job. About ``max_rows`` labelled
+    rows are learned from at most, drawn by a hash of the text; that bounds the vocabulary,
+    of which nothing is cut, and what the driver holds.
     """
     train = only_split(labelled, split).filter(F.col(label).isNotNull()).select(
         F.col(text).alias("text"), F.col(label).alias("label"))
+    share = F.least(F.lit(1.0), F.lit(max_rows) / train.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).first()[0])
+    train = train.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
     counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("n_c")).collect()
     if len(counts) < 2:
         raise ValueError("fewer than two classes to learn")
@@ -155,7 +158,7 @@ def fit_text_classifier(labelled: DataFrame, split: str = "dev", label: str = "l
         SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _grams FROM __THIS__"),
     ])
     count = CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=min_df,
-                            vocabSize=vocabulary)
+                            vocabSize=(1 << 31) - 1)
     weigh = [SublinearTfIdf(inputCols=["_tf", "_scaled"], outputCol="_weighted"),
              Normalizer(inputCol="_weighted", outputCol="_features", p=2.0)]
     learn = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight",

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replylens.functions import text as tx
 from replylens.functions.stats import ratio
@@ -19,10 +20,13 @@ ELIGIBLE_PAIRS = 15_000
 
 def normalise_messages(messages: DataFrame) -> DataFrame:
     """P1 on both link columns; an empty parent id means no parent."""
+    def plain(name: str):
+        floating = isinstance(messages.schema[name].dataType, (T.DoubleType, T.FloatType))
+        return (tx.float_id if floating else tx.normal_id)(F.col(name))
+
     return messages.withColumns({
-        "tweet_id": tx.normal_id(F.col("tweet_id")),
-        "in_response_to_tweet_id": F.nullif(
-            tx.normal_id(F.col("in_response_to_tweet_id")), F.lit(""))})
+        "tweet_id": plain("tweet_id"),
+        "in_response_to_tweet_id": F.nullif(plain("in_response_to_tweet_id"), F.lit(""))})
 
 
 def brand_replies(messages: DataFrame, brands: Sequence[str]) -> DataFrame:
@@ -47,16 +51,35 @@ def root_messages(messages: DataFrame) -> DataFrame:
                     F.col("text").alias("customer_text"), "created_at"))
 
 
-def first_replies(replies: DataFrame, order: Sequence[str] = ("replied_at", "brand_reply_id"),
+# Fixed value: how exported messages write a time, after the day of the week.
+WRITTEN_TIME = "MMM dd HH:mm:ss Z yyyy"
+
+
+def time_order(replies: DataFrame, column: str) -> list[Column]:
+    """Sort keys of a time column; a text is read as a time, and comes last if it is none."""
+    c = F.col(column)
+    if not isinstance(replies.schema[column].dataType, T.StringType):
+        return [c]
+    after_day = F.regexp_extract(c, r"^[A-Za-z]{3} (.*)$", 1)
+    read = F.coalesce(F.try_to_timestamp(F.nullif(after_day, F.lit("")), F.lit(WRITTEN_TIME)),
+                      F.try_to_timestamp(c))
+    return [read.isNull(), read, c]
+
+
+def first_replies(replies: DataFrame, time: str = "replied_at", reply_id: str = "brand_reply_id",
                   ) -> DataFrame:
-    """The earliest reply of each brand to each message.
+    """The earliest reply of each brand to each message; ties go to the smaller id.
+
+    Ids that are numbers are compared as numbers and come before others.
 
     A minimum, not a window: it combines on the map side, so a message with a huge
     number of replies sends one row per map task to the shuffle.
     """
     keys = ["brand", "customer_tweet_id"]
     rest = [c for c in replies.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
+    number = F.col(reply_id).try_cast("decimal(38,0)")
+    order = [*time_order(replies, time), number.isNull(), number, F.col(reply_id)]
+    first = F.min_by(F.struct(*rest), F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)]))
     return replies.groupBy(*keys).agg(first.alias("r")).select(*keys, "r.*")
 
 
@@ -65,8 +88,9 @@ def reply_pairs(messages: DataFrame, brands: Sequence[str], min_words: int = tx.
     """(root customer message, first brand reply) with the substantive flag.
 
     Replies are reduced to one per message before the join, so the join is one-to-one
-    on message id and has no hot key.
+    on message id and has no hot key. Ids are normalised first.
     """
+    messages = normalise_messages(messages)
     firsts = first_replies(brand_replies(messages, brands))
     return (firsts.join(root_messages(messages), "customer_tweet_id")
             .withColumn("is_substantive",

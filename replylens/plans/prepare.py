@@ -16,6 +16,18 @@ def _(spark, sf):
                                          tx.normal_id(raw).alias("id"))
 
 
+@query("P1_float_ids", """
+select (doc_id + 12345678)::varchar as tweet_id,
+  case when doc_id % 3 > 0 then (doc_id + 90071992547)::varchar end as parent_id from documents""")
+def _(spark, sf):
+    """Ids in floating-point columns, as a column with missing values is often read."""
+    read = b.documents(spark, sf).select(
+        (F.col("doc_id") + 12345678).cast("double").alias("tweet_id"),
+        F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") + 90071992547).cast("double"))
+        .alias("in_response_to_tweet_id"))
+    return threads.normalise_messages(read).withColumnRenamed("in_response_to_tweet_id", "parent_id")
+
+
 @query("P2_substantive_reply", f"""
 select conv_id, turn, {b.SQL_SUBSTANTIVE.format('text', 140)} as is_substantive,
   {b.SQL_COUNTED.format('text')} as counted from conversations where role = 'assistant'""")
@@ -66,6 +78,18 @@ def _(spark, sf):
         "brand_reply_text")
 
 
+@query("W1_first_reply_written_times", f"""
+with {b.FIRST} select brand, customer_tweet_id, brand_reply_id from firsts""")
+def _(spark, sf):
+    """Times as exported: day and month names first, so their text order is not their order."""
+    start = F.unix_seconds(F.lit("2017-10-28 12:00:00").cast("timestamp"))
+    when = F.timestamp_seconds(start + F.col("created_at") * 130_000)
+    messages = b.messages(spark, sf).withColumn(
+        "created_at", F.date_format(when, "EEE MMM dd HH:mm:ss '+0000' yyyy"))
+    return threads.first_replies(threads.brand_replies(messages, b.BRANDS)).select(
+        "brand", "customer_tweet_id", "brand_reply_id")
+
+
 @query("P5_usable_pairs", f"""
 with {b.PAIRS} select customer_tweet_id, brand_reply_id from pairs
 where regexp_matches(customer_text, '[^\\s]') and brand_reply_text is not null""")

@@ -166,7 +166,7 @@ p as (select conv_id, turn, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) as
 s as (select conv_id, turn, i, j, substr(p, j * 900 + 1, 900) as s
   from p, lateral unnest(range(0, ((len(p) + 899) // 900)::int)) r(j)),
 n as (select *, row_number() over (partition by conv_id, turn order by i, j) as n
-  from s where regexp_matches(s, '[^\\s]') qualify n <= 20),
+  from s where regexp_matches(s, '[^\\s]')),
 t as (select conv_id, turn, n, {SQL_TOKENS.format("concat('Your support policy · section ', n, ' ', s)")} as t from n),
 stats as (select conv_id, turn, count(*)::double as docs, avg(len(t)) as average from t group by all),
 e as (select conv_id, turn, n, len(t) as length, unnest(t) as term from t),

@@ -48,11 +48,18 @@ def _timed(spark, sf):
         F.get_json_object("props", "$.k").alias("request_id"), "ts")
 
 
-@query("ST2_drop_repeats", f"""
-with {b.REQUESTS} select distinct client, request_id from requests""")
+@query("ST2_drop_repeats", """
+with recursive r as (select event_id as "row", user_id as client,
+    json_extract_string(props, '$.k') as request_id, epoch_us(ts) as us from events),
+kept as (
+  select client, request_id, min({'us': us, 'row': "row"}) as k from r group by client, request_id
+  union all
+  select kept.client, kept.request_id, min({'us': r.us, 'row': r."row"}) as k from kept join r
+    on r.client = kept.client and r.request_id = kept.request_id and r.us >= kept.k['us'] + 86400000000
+  group by kept.client, kept.request_id, kept.k)
+select client, request_id, k['row'] as "row" from kept""")
 def _(spark, sf):
-    kept = us.drop_repeats(_timed(spark, sf))
-    return _run(spark, kept, "repeats").select("client", "request_id").distinct()
+    return _run(spark, us.drop_repeats(_timed(spark, sf)), "repeats").select("client", "request_id", "row")
 
 
 @query("ST3_stream_window_counts", """

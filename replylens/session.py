@@ -53,16 +53,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core for work that is heavy per row.
-
-    A table in fewer files than there are cores would leave most of them idle, because a
-    row group is not split. A table in many files is left as it is and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def materialise(df, name: str):
     """Write ``df`` once to the shared folder and read it back.
 

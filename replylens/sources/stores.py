@@ -31,9 +31,13 @@ def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def append_results(results: DataFrame, path: str, run_ts: int) -> None:
-    """IO6: add one attempt per (config, id); earlier attempts stay readable."""
+    """IO6: add one attempt per (config, id); earlier attempts stay readable.
+
+    A run that is stored again replaces itself: each (config, run) is a folder of its own.
+    """
     (results.withColumn("run_ts", F.lit(run_ts).cast("long"))
-     .write.mode("append").partitionBy("config").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("config", "run_ts").parquet(path))
 
 
 def latest_results(results: DataFrame) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from replylens.operators import admission as ad
 
@@ -16,13 +19,39 @@ def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def drop_repeats(requests: DataFrame, delay: str = "24 hours") -> DataFrame:
-    """ST2: one request per (client, request_id) within the watermark.
+def drop_repeats(requests: DataFrame, delay: str = "24 hours", guard: int = ad.DAY) -> DataFrame:
+    """ST2: a request is dropped if its (client, request_id) was kept within ``guard`` seconds.
 
-    Unlike ``admit_stream`` this also remembers requests that were refused later.
+    State is the time of the last kept request of a key and goes when the watermark has
+    passed its guard. Rows of a micro-batch are taken in time order; rows behind the
+    watermark are dropped. Unlike ``admit_stream`` this also remembers requests that were
+    refused later.
     """
-    return (event_time(requests).withWatermark("ts", delay)
-            .dropDuplicatesWithinWatermark(["client", "request_id"]))
+    timed = event_time(requests).withWatermark("ts", delay).withColumn("_at", F.unix_micros("ts"))
+    out = timed.drop("_at").schema
+
+    def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows = rows.sort_values([c for c in ("_at", "row") if c in rows])
+        last = state.get[0] if state.exists else None
+        kept = []
+        for i, at in enumerate(rows["_at"].tolist()):
+            if last is None or at >= last + guard * 1_000_000:
+                kept.append(i)
+                last = at
+        state.update((last,))
+        ends = last // 1000 + guard * 1000
+        if ends > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(ends)
+        else:
+            state.remove()
+        yield rows.iloc[kept][out.fieldNames()]
+
+    return timed.groupBy("client", "request_id").applyInPandasWithState(
+        keep, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def window_counts(requests: DataFrame, width: str, by_client: bool = True,

@@ -8,6 +8,8 @@ from replylens.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 load_all()
+# Queries that rightly find nothing in the smallest tables.
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, con, name):
-    assert difference(spark, con, SF, QUERIES[name], SQL[name]) in (None, "no rows")
+    assert difference(spark, con, SF, QUERIES[name], SQL[name]) == ("no rows" if name in EMPTY else None)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

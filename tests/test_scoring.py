@@ -1,4 +1,5 @@
 import math
+import time
 
 import pandas as pd
 import pytest
@@ -16,17 +17,26 @@ def test_one_bad_row_does_not_stop_the_batch(spark):
         if (pdf["id"] == 5).any():
             raise ValueError("boom " + "x" * 500)
         return pd.DataFrame({"pred": pdf["id"].map(str)})
-    got = sc.score_batches(spark.range(20).coalesce(1), scorer, "pred string").collect()
+    got = sc.score_batches(spark.range(20).coalesce(1), scorer, "pred string", halve=True).collect()
     bad = [r for r in got if r["error"]]
     assert [r["id"] for r in bad] == [5] and len(bad[0]["error"]) == sc.ERROR_CHARS
     assert sorted(int(r["pred"]) for r in got if not r["error"]) == [i for i in range(20) if i != 5]
 
 
+def test_a_raising_scorer_is_called_once(spark, tmp_path):
+    def scorer(pdf):
+        (tmp_path / f"call-{time.time_ns()}").write_text(str(len(pdf)))
+        raise ValueError("down")
+    got = sc.score_batches(spark.range(20).coalesce(1), scorer, "pred string").collect()
+    assert [r["error"] for r in got] == ["ValueError: down"] * 20
+    assert [f.read_text() for f in tmp_path.iterdir()] == ["20"]
+
+
 def test_scorer_may_report_its_own_errors(spark):
     def scorer(pdf):
         return pd.DataFrame({"pred": ["p"] * len(pdf),
                              "error": ["no" if i % 2 else None for i in pdf["id"]]})
-    got = sc.score_batches(spark.range(6), scorer, "pred string", concurrency=2).collect()
+    got = sc.score_batches(spark.range(6), scorer, "pred string").collect()
     assert {r["id"]: r["error"] for r in got} == {i: "no" if i % 2 else None for i in range(6)}
 
 

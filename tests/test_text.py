@@ -97,7 +97,9 @@ def test_passages(spark):
     assert [p["id"] for p in got[0]] == ["CUSTOM-1", "CUSTOM-2", "CUSTOM-3", "CUSTOM-4"]
     assert [len(p["text"]) for p in got[0]] == [10, 6, 900, 100]
     assert got[1] == got[2] == got[3] == []
-    assert len(got[4]) == 20
+    assert len(got[4]) == 30
+    live = values(spark, lambda c: tx.passages(c, limit=tx.LIVE_SECTIONS), ["\n\n".join(["p"] * 30)])
+    assert len(live[0]) == 20
 
 
 def test_hours_since(spark):
