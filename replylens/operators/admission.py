@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 256
-PUSHED = 1000
+PUSHED = "spark.sql.optimizer.windowGroupLimitThreshold"
 DAY = 86_400
 
 
@@ -54,13 +54,13 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
             salts: int = SALTS) -> DataFrame:
     """The first ``n`` rows per key.
 
-    Up to ``PUSHED`` rows Spark cuts every map task to n per key by itself. Beyond that a
+    Up to the session's ``PUSHED`` rows Spark cuts every map task to n per key by itself. Beyond that a
     hot key is cut into ``salts`` parts first: the first n of the parts' first n are the
     first n of the key.
     """
     part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    if n > PUSHED:
+    if n > int(df.sparkSession.conf.get(PUSHED)):
         df = (df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
               .withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= n)
               .drop("_salt"))

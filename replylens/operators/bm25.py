@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -147,8 +149,9 @@ def search(queries: DataFrame, docs: DataFrame, k: int = TOP, query_id: str = "q
            index_block: int = 8192) -> DataFrame:
     """Best passages per query by score rounded to three places, then order.
 
-    ``doc_order`` is unique and gives the passage order. Passages are scored where they
-    are read; postings are never shuffled.
+    ``doc_order`` is unique and gives the passage order. For a query side within the
+    broadcast bound passages are scored where they are read. Beyond it both sides are cut
+    into blocks, and the passages are shuffled once per query block.
     """
     weighted, average = _weighted_queries(queries, docs, query_id, text)
     toks = docs.select(F.col(doc_order), tx.tokens(F.col(text)).alias("t"))
@@ -159,67 +162,27 @@ def search(queries: DataFrame, docs: DataFrame, k: int = TOP, query_id: str = "q
                      index_block)
 
 
-MAX_PASSAGES = 2000
-
-
 def passage_evidence(messages: DataFrame, passages: DataFrame, k: int = TOP,
-                     message_id: str = "request_id", text: str = "message",
+                     message_id: str | Sequence[str] = "request_id", text: str = "message",
                      previous: str | None = None) -> DataFrame:
-    """The live direction: many messages against a small set of (ord, id, title, text).
+    """The live direction: many messages against a set of (ord, id, title, text) passages.
 
-    The passage set is checked to be small, turned into weighted postings, and joined to
-    each message inside the task that reads it, so messages are not shuffled.
+    Adds ``evidence``, array<struct<id, score>>, empty where nothing matches. ``message_id``
+    names the columns that are unique together, and ``ord`` is unique. The plan is that of
+    ``search`` with the messages as queries: they move once per 8,192 passages.
     """
-    small = passages.select("ord", "id", F.concat_ws(" ", "title", "text").alias("text"))
-    rows = small.select("ord", "id", tx.tokens(F.col("text")).alias("t")).limit(
-        MAX_PASSAGES + 1).collect()
-    if not rows or len(rows) > MAX_PASSAGES:
-        raise ValueError(f"expected 1 to {MAX_PASSAGES} passages; use search() for a corpus")
-    rows.sort(key=lambda r: r["ord"])
-    average = sum(len(r["t"]) for r in rows) / len(rows)
-    postings: dict[str, dict[int, int]] = {}
-    for i, row in enumerate(rows):
-        for term in row["t"]:
-            postings.setdefault(term, {}).setdefault(i, 0)
-            postings[term][i] += 1
-    terms = sorted(postings)
-    grid = np.zeros((len(terms), len(rows)))
-    for t, term in enumerate(terms):
-        df = len(postings[term])
-        gain = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
-        for i, tf in postings[term].items():
-            grid[t, i] = gain * tf * (K1 + 1) / (
-                tf + K1 * (1 - B + B * len(rows[i]["t"]) / average))
-    shared = messages.sparkSession.sparkContext.broadcast(
-        (pa.array(terms, pa.string()), grid, [r["id"] for r in rows]))
-    kind = pa.list_(pa.struct([("id", pa.string()), ("score", pa.float64())]))
-
-    def scan(batches):
-        vocabulary, weights, ids = shared.value
-        names = np.array(ids, dtype=object)
-        step = max(1, bt.CELLS // max(1, len(vocabulary)))
-        for batch in batches:
-            found = []
-            for at in range(0, batch.num_rows, step):
-                lists = batch.column(batch.num_columns - 1).slice(at, step)
-                code = pc.index_in(lists.flatten(), vocabulary)
-                owner = _owners(lists)[code.is_valid().to_numpy(zero_copy_only=False)]
-                said = np.zeros((len(lists), len(vocabulary)))
-                said[owner, code.drop_null().to_numpy(zero_copy_only=False)] = 1
-                score = np.floor(said @ weights * 1000 + 0.5) / 1000
-                ranked = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                found += [[{"id": names[j], "score": s[j]} for j in r if s[j] > 0]
-                          for r, s in zip(ranked, score)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(found, kind)],
-                names=[*batch.schema.names[:-1], "evidence"])
-
+    ids = [message_id] if isinstance(message_id, str) else list(message_id)
     asked = F.col(text) if previous is None else F.concat_ws(" ", text, previous)
-    out = messages.withColumn("_terms", F.array_distinct(tx.tokens(asked)))
-    schema = T.StructType([*messages.schema.fields, T.StructField("evidence", T.ArrayType(
-        T.StructType([T.StructField("id", T.StringType()),
-                      T.StructField("score", T.DoubleType())])))])
-    return out.mapInArrow(scan, schema)
+    queries = messages.select(F.struct(*ids).alias("_query"), asked.alias("text"))
+    docs = passages.select("ord", F.concat_ws(" ", "title", "text").alias("text"))
+    hits = search(queries, docs, k, "_query", "ord").join(passages.select("ord", "id"), "ord")
+    item = F.struct("rank", F.col("id").alias("name"), "score")
+    found = hits.groupBy("_query").agg(F.transform(
+        F.sort_array(F.collect_list(item)),
+        lambda h: F.struct(h["name"].alias("id"), h["score"].alias("score"))).alias("evidence"))
+    none = F.array().cast(found.schema["evidence"].dataType)
+    return (messages.withColumn("_query", F.struct(*ids)).join(found, "_query", "left")
+            .select(*messages.columns, F.coalesce("evidence", none).alias("evidence")))
 
 
 def own_policy_evidence(requests: DataFrame, message: str = "message", policy: str = "policy",

@@ -6,15 +6,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from replylens.functions import vectors as vx
 from replylens.operators import blocktopk as bt
+from replylens.session import materialise
 
 TOP_K = 4
 _TIE = 1e-9
+# Bounds of the samples the approximate index is fitted and measured on.
+ROWS_PER_CELL, SAMPLE = 64, 256
 
 
 def _matrix(column) -> np.ndarray:
@@ -71,62 +76,106 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = TOP_K, query_id: str
                     F.col("score").alias("similarity"), "rank"))
 
 
-def _sign_buckets(df: DataFrame, row_id: str, vector: str, planes: np.ndarray) -> DataFrame:
-    """Each row once per table, with the bucket its signs fall into."""
-    tables, bits, width = planes.shape
-    weight = 1 << np.arange(bits)
+def _fit_centres(index: DataFrame, row_id: str, vector: str, rows: int, cells: int,
+                 seed: int) -> np.ndarray:
+    """Cell centres by k-means on about ``ROWS_PER_CELL`` rows a cell, drawn by a hash of the id."""
+    share = min(1.0, cells * ROWS_PER_CELL / rows)
+    sample = index.filter(F.pmod(F.xxhash64(row_id), F.lit(1 << 30)) < share * (1 << 30))
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(
+        (index if share == 1.0 else sample).select(array_to_vector(vector).alias("features")))
+    return np.array(model.clusterCenters())
 
-    def hashed(batches):
+
+def _closeness(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return m @ centres.T - (centres * centres).sum(axis=1) / 2
+
+
+def _near_cells(df: DataFrame, vector: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """Each row once per cell among its ``probes`` nearest, in a column ``cell``."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+    at_vector = df.columns.index(vector)
+
+    def assign(batches):
+        c = shared.value
+        step = max(1, bt.CELLS // len(c))
         for batch in batches:
-            m = _matrix(batch.column(1))
-            signs = (m @ planes.reshape(-1, width).T > 0).reshape(len(m), tables, bits)
-            for t in range(tables):
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                far = -_closeness(_matrix(part.column(at_vector)), c)
+                near = np.argpartition(far, probes - 1, axis=1)[:, :probes].astype(np.int32)
+                ends = np.arange(0, near.size + 1, probes, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(np.full(len(m), t), pa.int32()),
-                     pa.array(signs[:, t] @ weight, pa.int32())],
-                    names=[*batch.schema.names, "table", "bucket"])
-
-    schema = T.StructType([*df.schema.fields, T.StructField("table", T.IntegerType()),
-                           T.StructField("bucket", T.IntegerType())])
-    return df.mapInArrow(hashed, schema)
+                    [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))],
+                    names=[*part.schema.names, "_cells"])
+
+    schema = T.StructType([*df.schema.fields,
+                           T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+    return df.mapInArrow(assign, schema).select(*df.columns, F.explode("_cells").alias("cell"))
+
+
+def _probes_for(queries: DataFrame, index: DataFrame, k: int, query_id: str, vector: str,
+                centres: np.ndarray, recall: float) -> int:
+    """Cells to look into so that ``recall`` of the true neighbours of a query sample are there."""
+    asked = queries.orderBy(F.xxhash64(query_id, F.lit("probes")), query_id).limit(SAMPLE)
+    hits = nearest(asked, index, k, query_id, "_hit", vector)
+    pairs = (index.select(F.col("_hit").alias("neighbour_id"), F.col(vector).alias("_theirs"))
+             .join(F.broadcast(hits), "neighbour_id").join(asked, query_id)
+             .select(F.col(vector), "_theirs").toArrow())
+    if not pairs.num_rows:
+        return 1
+    mine = _closeness(_matrix(pairs.column(0)), centres)
+    cell = _closeness(_matrix(pairs.column(1)), centres).argmax(axis=1)
+    place = (mine > np.take_along_axis(mine, cell[:, None], axis=1)).sum(axis=1) + 1
+    return int(np.quantile(place, recall, method="higher"))
 
 
 def nearest_approx(queries: DataFrame, index: DataFrame, k: int = TOP_K, query_id: str = "id",
-                   index_id: str = "tweet_id", vector: str = "vector", tables: int = 4,
-                   bits: int = 8, seed: int = 7, block: int = bt.BLOCK,
+                   index_id: str = "tweet_id", vector: str = "vector", cells: int | None = None,
+                   recall: float = 0.95, seed: int = 7, block: int = bt.BLOCK,
                    index_block: int = bt.INDEX_BLOCK) -> DataFrame:
-    """J8, approximate: only index rows that share a sign bucket with the query are scored.
-
-    A bucket may hold most of the data, so it is cut into blocks on both sides and every
-    block pair is a bounded group that returns its best k. Recall is not guaranteed.
+    """J8, approximate: only index rows in the cells nearest to a query are scored.
+
+    ``cells`` is the square root of the number of index rows unless given. How many of them a
+    query looks into is measured: ``SAMPLE`` queries are searched exactly, and as many cells
+    are taken as held the share ``recall`` of what they found. Vectors without any structure
+    need most cells. A cell may hold most of the data, so it is cut into blocks on both sides
+    and every block pair is a bounded group that returns its best k. A query whose cells hold
+    fewer than k other rows is searched exactly. Null vectors are neither searched nor found.
     """
-    width = queries.select(F.size(vector)).first()[0]
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, width))
-    q = _sign_buckets(queries.select(F.col(query_id), F.col(vector)), query_id, vector, planes)
-    d = _sign_buckets(index.select(F.col(index_id).alias("_hit"), F.col(vector)), "_hit", vector,
-                      planes)
-    keys = ["table", "bucket"]
+    asked = queries.select(F.col(query_id), F.col(vector)).filter(F.col(vector).isNotNull())
+    known = index.select(F.col(index_id).alias("_hit"), F.col(vector)).filter(
+        F.col(vector).isNotNull())
+    rows = known.count()
+    if rows == 0:
+        return nearest(asked, known, k, query_id, "_hit", vector)
+    centres = _fit_centres(known, "_hit", vector, rows, cells or max(2, round(rows ** 0.5)), seed)
+    probes = _probes_for(asked, known, k, query_id, vector, centres, recall)
+    q, d = _near_cells(asked, vector, centres, probes), _near_cells(known, vector, centres, 1)
 
     def parts(df: DataFrame, size: int, name: str) -> DataFrame:
-        # One row per bucket: at most tables x 2^bits.
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
-    cuts = F.broadcast(parts(q, block, "n_q").join(parts(d, index_block, "n_i"), keys))
-    left = (q.join(cuts, keys)
+    cuts = parts(q, block, "n_q").join(parts(d, index_block, "n_i"), "cell")
+    left = (q.join(cuts, "cell")
             .withColumn("_qb", F.pmod(F.xxhash64(query_id), F.col("n_q")).cast("int"))
             .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1))))
-    right = (d.join(cuts, keys)
+    right = (d.join(cuts, "cell")
              .withColumn("_ib", F.pmod(F.xxhash64("_hit"), F.col("n_i")).cast("int"))
              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))))
-    group = [*keys, "_qb", "_ib"]
+    group = ["cell", "_qb", "_ib"]
     found = bt.best_k_in_groups(
         left.select(query_id, vector, *group), right.select("_hit", vector, *group), group, k,
         _prepare(True), _score, query_id, "_hit")
-    # A pair can meet in several tables.
-    pairs = found.groupBy(query_id, "_hit").agg(F.max("score").alias("similarity"))
-    rank = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.asc("_hit"))
-    return (pairs.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-            .withColumnRenamed("_hit", "neighbour_id"))
+    # An index row has one cell, so a pair is found once.
+    rank = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc("_hit"))
+    best = materialise(
+        found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+        .select(query_id, F.col("_hit").alias("neighbour_id"),
+                F.col("score").alias("similarity"), "rank"), "approximate")
+    full = best.filter(F.col("rank") == k).select(query_id)
+    short = asked.join(full, query_id, "left_anti")
+    return (best.join(full, query_id, "left_semi")
+            .unionByName(nearest(short, known, k, query_id, "_hit", vector)))
 
 
 def ids_of(hits: DataFrame, query_id: str = "id") -> DataFrame:
@@ -155,10 +204,15 @@ def evidence_by_ids(cases: DataFrame, index: DataFrame, case_id: str = "id",
                 built.schema["evidence"].dataType))))
 
 
-def leave_one_out_label(vectors: DataFrame, k: int = 1, row_id: str = "id", label: str = "label",
-                        vector: str = "vector") -> DataFrame:
-    """The label of each row's nearest other row, as (id, gold, pred, top_similarity)."""
-    hits = nearest(vectors, vectors, k, row_id, row_id, vector).filter("rank = 1")
+def leave_one_out_label(vectors: DataFrame, row_id: str = "id", label: str = "label",
+                        vector: str = "vector", hits: DataFrame | None = None) -> DataFrame:
+    """The label of each row's nearest other row, as (id, gold, pred, top_similarity).
+
+    ``hits`` is the result of ``nearest`` if it is at hand.
+    """
+    if hits is None:
+        hits = nearest(vectors, vectors, 1, row_id, row_id, vector)
+    hits = hits.filter("rank = 1")
     gold = vectors.select(F.col(row_id), F.col(label).alias("gold"))
     near = vectors.select(F.col(row_id).alias("neighbour_id"), F.col(label).alias("pred"))
     return (hits.join(near, "neighbour_id").join(gold, row_id)

@@ -9,7 +9,7 @@ from replylens.operators import retrieval as rt
 from replylens.operators import scoring as sc
 from replylens.plans import bindings as b
 from replylens.plans.registry import query, table
-from replylens.session import scratch_path
+from replylens.session import materialise, scratch_path
 from replylens.sources import stores
 
 
@@ -90,12 +90,12 @@ def encoded_vectors(spark, sf):
                     F.round(F.get("vector", F.lit(4)), 6).alias("u"))
 
 
-def _baselines(spark, sf):
+def _baselines(spark, sf, near=None):
     v = b.vectors(spark, sf)
     items = v.select("id")
     dev = v.filter(b.fraction("s", "id") < 0.3)
     canned = sc.top_template(b.documents(spark, sf), "text", "doc_id")
-    near = rt.nearest(v, v, 1, "id", "id")
+    near = rt.nearest(v, v, 1, "id", "id") if near is None else near
     reply = v.select(F.col("id").alias("neighbour_id"),
                      F.concat(F.lit("case "), "label").alias("reply"))
     retrieved = near.join(reply, "neighbour_id").select(
@@ -144,10 +144,11 @@ def config_comparison(spark, sf):
     v = b.vectors(spark, sf)
     key = v.select("id", F.col("label").alias("gold"), (F.col("id") % 7 == 0).alias("should_escalate"),
                    F.lit(False).alias("is_hard"))
-    knn = rt.leave_one_out_label(v).select(
+    near = materialise(rt.nearest(v, v, 1, "id", "id"), "nearest")
+    knn = rt.leave_one_out_label(v, hits=near).select(
         F.lit("nearest_label").alias("config"), "id", "pred",
         (F.col("top_similarity") < 0.35).alias("escalated"), F.lit(None).cast("string").alias("reply"))
-    runs = _baselines(spark, sf).select("config", "id", "pred", "escalated", "reply").unionByName(knn)
+    runs = _baselines(spark, sf, near).select("config", "id", "pred", "escalated", "reply").unionByName(knn)
     zero = {"input_tokens": F.lit(0), "output_tokens": F.lit(0), "latency_s": F.lit(0.0),
             "error": F.lit(None).cast("string")}
     t = me.config_summary(jn.graded(key, jn.without_texts(runs)).withColumns(zero), [str(i) for i in range(10)])

@@ -150,7 +150,8 @@ def live_passage_evidence(spark, sf):
     passages = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("id"),
         F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("title"), "text")
-    found = bm25.passage_evidence(asked, passages, previous="previous_user_text")
+    found = bm25.passage_evidence(asked, passages, message_id=["conv_id", "turn"],
+                                  previous="previous_user_text")
     return found.filter(F.size("evidence") > 0).select("conv_id", "turn", F.array_join(F.transform(
         "evidence", lambda e: F.concat(e["id"], F.lit(":"), F.format_string("%.3f", e["score"]))),
         "|").alias("evidence"))

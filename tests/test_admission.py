@@ -89,8 +89,9 @@ def test_client_caps_equal_sequential(spark, seed):
 
 
 @pytest.mark.parametrize("pushed", [0, 1000])
-def test_first_n_is_exact_for_a_hot_key(spark, monkeypatch, pushed):
-    monkeypatch.setattr(ad, "PUSHED", pushed)
+def test_first_n_is_exact_for_a_hot_key(spark, request, pushed):
+    request.addfinalizer(lambda: spark.conf.unset(ad.PUSHED))
+    spark.conf.set(ad.PUSHED, pushed)
     rows = [(i, "hot" if i % 3 else "cold", f"r{i}", (i * 7919) % 1000) for i in range(900)]
     got = ad.first_n(spark.createDataFrame(rows, SCHEMA), ["client"], ["ts", "row"], 17, salts=5)
     for c in ("hot", "cold"):

@@ -62,6 +62,31 @@ def test_approximate_finds_copies(spark):
     assert all(hits[i] == (i + 60) % 120 for i in range(120))
 
 
+@pytest.mark.parametrize("spread", [0.1, 5.0])
+def test_approximate_recall(spark, spread):
+    """Vectors in loose groups, and vectors without any structure."""
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((30, 16))[rng.integers(0, 30, 900)] + spread * rng.standard_normal((900, 16))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = rt.nearest_approx(df, df, 4, "id", "id", block=64, index_block=64).collect()
+    s = m @ m.T
+    np.fill_diagonal(s, -2)
+    true = {(i, j) for i, r in enumerate(np.argsort(-s, axis=1)[:, :4]) for j in r.tolist()}
+    assert len(got) == 3600 and {r["rank"] for r in got} == {1, 2, 3, 4}
+    assert len(true & {(r["id"], r["neighbour_id"]) for r in got}) >= 0.9 * len(true)
+
+
+def test_approximate_search_of_little(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])],
+                               "id long, vector array<double>")
+    want = sorted(rt.nearest(df, df, 4, "id", "id").collect())
+    assert sorted(rt.nearest_approx(df, df, 4, "id", "id").collect()) == want
+    assert rt.nearest_approx(df.limit(0), df, 4, "id", "id").count() == 0
+    assert rt.nearest_approx(df, df.limit(0), 4, "id", "id").count() == 0
+
+
 def test_ordered_lookup(spark):
     cases = spark.createDataFrame([("q", ["c", "a", "zz"]), ("r", ["zz"]), ("s", [])],
                                   "id string, retrieved_ids array<string>")
@@ -137,11 +162,17 @@ def test_live_direction_agrees_with_search(spark):
         assert [e["score"] for e in r["evidence"]] == pytest.approx([s for _, s in want])
 
 
-def test_passage_set_must_be_small(spark):
-    with pytest.raises(ValueError):
-        bm25.passage_evidence(
-            spark.createDataFrame([(1, "x")], "request_id long, message string"),
-            spark.createDataFrame([], "ord long, id string, title string, text string"))
+def test_live_direction_takes_any_number_of_passages(spark):
+    texts = [f"word{i % 50} topic{i} common" for i in range(2500)]
+    passages = spark.createDataFrame([(i, f"K{i}", "", t) for i, t in enumerate(texts)],
+                                     "ord long, id string, title string, text string")
+    asked = spark.createDataFrame([(1, "topic2400 word0"), (2, None), (3, "nothing here")],
+                                  "request_id long, message string")
+    got = {r["request_id"]: r["evidence"] for r in bm25.passage_evidence(asked, passages).collect()}
+    want = py_bm25("topic2400 word0", texts, 4)
+    assert [e["id"] for e in got[1]] == [f"K{d}" for d, _ in want]
+    assert got[2] == got[3] == []
+    assert [r["evidence"] for r in bm25.passage_evidence(asked, passages.limit(0)).collect()] == [[]] * 3
 
 
 def test_bm25_adds_in_bounded_pieces(spark, monkeypatch):
