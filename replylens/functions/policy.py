@@ -193,12 +193,13 @@ def route(message: Column, history: Column, intent: Column, needs_human: Column,
         F.when(confidence < REVIEW_CONFIDENCE, F.lit(R_CONFIDENCE)),
         F.when((n_evidence == 0) | uncited, F.lit(R_UNCITED)),
         F.when(unsafe, F.lit(R_UNSAFE))))))
-    return F.struct(
+    # A lambda's argument is computed once however often its body names it.
+    return F.transform(F.array(reasons), lambda why: F.struct(
         F.when(unsafe, F.lit(WITHHELD_ANSWER)).otherwise(shown).alias("answer"),
-        (F.size(reasons) > 0).alias("needs_human"),
-        F.when(F.size(reasons) > 0, F.lit("human_review"))
+        (F.size(why) > 0).alias("needs_human"),
+        F.when(F.size(why) > 0, F.lit("human_review"))
         .otherwise(F.lit("draft_ready")).alias("routing"),
-        reasons.alias("routing_reasons"), F.lit(True).alias("review_required"))
+        why.alias("routing_reasons"), F.lit(True).alias("review_required")))[0]
 
 
 # Fixed value: characters of a message or of an earlier turn.

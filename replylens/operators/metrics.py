@@ -258,16 +258,18 @@ def _f1_of_cells(cells: Column, labels: Sequence[str]) -> Column:
     return F.struct(plain.alias("macro_f1"), weighted.alias("weighted_f1"))
 
 
-def confused_pairs(counts: DataFrame, top: int = 8) -> DataFrame:
+def confused_pairs(counts: DataFrame, top: int = 8, by: Sequence[str] = ()) -> DataFrame:
     """The most frequent wrong (gold, pred) pairs."""
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), "gold", "pred")
     return (counts.filter(F.col("gold") != F.col("pred"))
-            .orderBy(F.desc("n"), "gold", "pred").limit(top))
+            .withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= top).drop("_rn"))
 
 
-def unstable_boundaries(counts: DataFrame, a: str = "gold", b: str = "pred") -> DataFrame:
+def unstable_boundaries(counts: DataFrame, a: str = "gold", b: str = "pred",
+                        by: Sequence[str] = ()) -> DataFrame:
     """How often two raters swap each unordered pair of labels."""
     return (counts.filter(F.col(a) != F.col(b))
-            .groupBy(F.least(a, b).alias("label_a"), F.greatest(a, b).alias("label_b"))
+            .groupBy(*by, F.least(a, b).alias("label_a"), F.greatest(a, b).alias("label_b"))
             .agg(F.sum("n").alias("n")))
 
 
@@ -312,7 +314,7 @@ def _steps_reached(value: Column, grid: Sequence[float]) -> Column:
 def threshold_what_if(cases: DataFrame, taus: Sequence[float], sigmas: Sequence[float],
                       confidence: str = "confidence", similarity: str = "top_similarity",
                       escalated: str = "escalated", expected: str = "should_escalate",
-                      ) -> DataFrame:
+                      by: Sequence[str] = ()) -> DataFrame:
     """Routing counts for every (tau, sigma) pair of the grid.
 
     A case passes a gate exactly when it reached that grid step, so cases are counted once
@@ -320,37 +322,37 @@ def threshold_what_if(cases: DataFrame, taus: Sequence[float], sigmas: Sequence[
     sums over that small table. The cases never meet the grid.
     """
     taus, sigmas = sorted(taus), sorted(sigmas)
-    spark = cases.sparkSession
     flagged = F.coalesce(F.col(escalated), F.lit(False))
     truth = F.coalesce(F.col(expected), F.lit(False))
     hist = cases.groupBy(
-        _steps_reached(F.col(confidence), taus).alias("i"),
+        *by, _steps_reached(F.col(confidence), taus).alias("i"),
         _steps_reached(F.col(similarity), sigmas).alias("j")).agg(
         F.count_if(~flagged & truth).alias("pass_pos"),
         F.count_if(~flagged & ~truth).alias("pass_neg"),
         F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
     wide = len(sigmas) + 1
-    zero = F.lit(0).cast("long")
-    dense = spark.range((len(taus) + 1) * wide).select(
-        F.floor(F.col("id") / wide).cast("int").alias("i"),
-        (F.col("id") % wide).cast("int").alias("j"),
-        zero.alias("pass_pos"), zero.alias("pass_neg"), zero.alias("pos"), zero.alias("neg"))
     names = ["pass_pos", "pass_neg", "pos", "neg"]
-    table = dense.unionByName(hist).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    # At most one cell per pair of steps, so a group's cells are one small array.
+    zeros = F.transform(F.sequence(F.lit(0), F.lit((len(taus) + 1) * wide - 1)), lambda x: F.struct(
+        F.floor(x / wide).cast("int").alias("i"), (x % wide).cast("int").alias("j"),
+        *[F.lit(0).cast("long").alias(c) for c in names]))
+    cells = hist.groupBy(*by).agg(F.collect_list(F.struct("i", "j", *names)).alias("cells"))
+    table = (cells.select(*by, F.explode(F.concat("cells", zeros)).alias("c")).select(*by, "c.*")
+             .groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in names]))
     # A case passes (tau_i, sigma_j) when it reached at least step i and step j.
-    along_i = Window.partitionBy("j").orderBy(F.desc("i")).rowsBetween(
+    along_i = Window.partitionBy(*by, "j").orderBy(F.desc("i")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    along_j = Window.partitionBy("i").orderBy(F.desc("j")).rowsBetween(
+    along_j = Window.partitionBy(*by, "i").orderBy(F.desc("j")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     kept = names[:2]
     # The whole grid is a few thousand rows, so its totals are one small window.
-    everything = Window.partitionBy()
-    summed = table.select("i", "j", *[F.sum(c).over(along_i).alias(c) for c in kept],
+    everything = Window.partitionBy(*by)
+    summed = table.select(*by, "i", "j", *[F.sum(c).over(along_i).alias(c) for c in kept],
                           *[F.sum(c).over(everything).alias(c) for c in names[2:]])
-    summed = summed.select("i", "j", *[F.sum(c).over(along_j).alias(c) for c in kept], *names[2:])
+    summed = summed.select(*by, "i", "j", *[F.sum(c).over(along_j).alias(c) for c in kept], *names[2:])
     pos, neg = F.col("pos"), F.col("neg")
     grid = (summed.filter((F.col("i") > 0) & (F.col("j") > 0))
-            .select(F.element_at(F.array(*[F.lit(float(t)) for t in taus]), F.col("i")).alias("tau"),
+            .select(*by, F.element_at(F.array(*[F.lit(float(t)) for t in taus]), F.col("i")).alias("tau"),
                     F.element_at(F.array(*[F.lit(float(s)) for s in sigmas]), F.col("j"))
                     .alias("sigma"),
                     (pos - F.col("pass_pos")).alias("tp"), (neg - F.col("pass_neg")).alias("fp"),

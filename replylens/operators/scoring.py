@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from replylens.functions import policy as po
 from replylens.functions import text as tx
 from replylens.functions import vectors as vx
-from replylens.operators.joins import only_split
+from replylens.operators.joins import only_split, work_remaining
+from replylens.sources import stores
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 ERROR_CHARS = 300
@@ -82,6 +83,24 @@ def score_batches(items: DataFrame, scorer: Scorer, fields: T.StructType | str,
     return items.mapInPandas(run, out)
 
 
+def score_remaining(items: DataFrame, path: str, config: str, run_ts: int, scorer: Scorer,
+                    fields: T.StructType | str) -> None:
+    """J3, M1, IO6: score what earlier runs of ``config`` have not finished, and store it.
+
+    Only items without a stored result are scored, so a lost job or a failed row costs its
+    own calls again and no others. A run repeated under its own number replaces itself:
+    its earlier attempts do not count as done.
+    """
+    spark = items.sparkSession
+    kinds = T.StructType([*score_batches(items, scorer, fields).schema.fields,
+                          T.StructField("config", T.StringType()),
+                          T.StructField("run_ts", T.LongType())])
+    others = stores.attempts(spark, path, kinds).filter(
+        (F.col("config") == config) & (F.col("run_ts") != run_ts))
+    scored = score_batches(work_remaining(items, others), scorer, fields)
+    stores.append_results(scored.withColumn("config", F.lit(config)), path, run_ts)
+
+
 def judged(scored: DataFrame) -> DataFrame:
     """Verdicts with the derived ``acceptable``; an errored row has none."""
     ok = po.acceptable(F.col("grounded"), F.col("addresses_ask"), F.col("no_overpromise"))

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from replylens.functions import policy as po
 from replylens.functions import text as tx
 from replylens.operators import admission as ad
-from replylens.operators import history, metrics, reconcile
+from replylens.operators import history, live, metrics, reconcile
 from replylens.plans import bindings as b
 from replylens.plans.registry import query
-from replylens.plans.textual import SQL_REDACT
+from replylens.plans.search import EVIDENCE, PASSAGES, passages
+from replylens.plans.textual import SQL_REDACT, SQL_TOKENS
 from replylens.streaming.triage import triage
 
 PRIOR = f"""turns as (
@@ -251,12 +252,6 @@ def client_caps(spark, sf):
     return ad.admit_per_client(b.requests(spark, sf), SMALL).select("row", "client", "admitted")
 
 
-@query("ST4_four_cap_admission")
-def four_cap_admission(spark, sf):
-    return ad.admit(b.requests(spark, sf), SMALL).select("row", "client", "request_id", "ts",
-                                                         "verdict")
-
-
 @query("ST3_usage_counts", f"""
 with {b.REQUESTS}
 select 'client_minute' as scope, client, ts // 60 as bucket, count(*) as n from requests group by all
@@ -294,3 +289,55 @@ def _(spark, sf):
     return b.documents(spark, sf).select(
         "doc_id", po.reply_style(style).alias("style"),
         (F.col("text") != tx.redact(F.col("text"))).alias("redacted"))
+
+
+@query("R6_P12_J9_live_decision", f"""
+with {PASSAGES},
+c as (select *, {SQL_REDACT.format('text')} as said,
+    {SQL_REDACT.format("regexp_replace(text, '^[ ]+|[ ]+$', '', 'g')")} as message from conversations),
+a as (select conv_id, turn, role, message, len(text) as size, count(*) filter (where role = 'system') over w > 0 as bad,
+    last_value(case when role = 'user' then said end ignore nulls) over w as previous,
+    concat(message, ' ', coalesce(array_to_string(list(said) filter (where role = 'user') over w, ' '), '')) as t
+  from c window w as (partition by conv_id order by turn rows between 4 preceding and 1 preceding)),
+asked as (select * from a where role = 'user'),
+q as (select conv_id, turn, unnest(list_distinct({SQL_TOKENS.format("concat_ws(' ', message, previous)")})) as term
+  from asked), {EVIDENCE},
+found as (select conv_id, turn, string_agg(ord, '|' order by rank) as ids, bool_or(ord = 1) as has_1 from top group by all),
+o as (select asked.*, coalesce(ids, '') as ids, conv_id % 3 = 1 as cites,
+    concat_ws(',', case when size < 4 or size > 2000 then 'invalid_message' end,
+      case when bad then 'invalid_history' end) as violations,
+    case when conv_id % 7 = 0 then 'intent,confidence,answer,summary,needs_human,cited_doc_ids,unknown_citation,handoff_reason,clarification_question'
+      when conv_id % 3 = 1 and not coalesce(has_1, false) then 'unknown_citation' else '' end as broken,
+    ([{', '.join(f"'{x}'" for x in po.INTENTS)}])[((conv_id + turn) % 11 + 1)::int] as intent
+  from asked left join found using (conv_id, turn)),
+r as (select *, array_to_string(list_filter(list_concat({SQL_SIGNALS}, [
+    case when intent in ('account_security', 'billing_charge') then '{po.R_SPECIALIST}' end,
+    case when conv_id % 4 = 1 then '{po.R_MODEL}' end,
+    case when conv_id % 10 < 7 then '{po.R_CONFIDENCE}' end,
+    case when not cites or ids = '' then '{po.R_UNCITED}' end]), lambda x: x is not null), '|') as reasons from o)
+select conv_id, turn, ids as evidence, broken,
+  case when violations <> '' then 'rejected' when broken <> '' or reasons <> '' then 'human_review' else 'draft_ready' end as routing,
+  case when violations <> '' then replace(violations, ',', '|') when broken <> '' then 'invalid_model_output' else reasons end as reasons,
+  case when violations = '' and broken = '' then case when cites then 'Please try this.'
+    when turn % 2 = 0 then 'Which device?' else '{po.NO_SUPPORT_ANSWER}' end end as answer from r""")
+def live_decision(spark, sf):
+    """Customer turns as requests; the model's answers are made from the ids."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    intents = F.array(*[F.lit(x) for x in po.INTENTS])
+    answer = F.to_json(F.struct(
+        F.element_at(intents, ((conv + turn) % 11 + 1).cast("int")).alias("intent"),
+        (conv % 10 / 10).alias("confidence"), F.lit("Please try this.").alias("answer"),
+        F.lit("A case.").alias("summary"), (conv % 4 == 1).alias("needs_human"),
+        F.when(conv % 3 == 1, F.array(F.lit("1"))).otherwise(F.array().cast("array<string>"))
+        .alias("cited_doc_ids"), F.lit("").alias("handoff_reason"),
+        F.when(turn % 2 == 0, "Which device?").otherwise("").alias("clarification_question")))
+    asked = history.recent_turns(b.conversations(spark, sf), 4).filter("role = 'user'").select(
+        "conv_id", "turn", F.col("text").alias("message"), "history",
+        F.lit(None).cast("string").alias("policy"),
+        F.when(conv % 7 == 0, "{oops").otherwise(answer).alias("raw"))
+    d = live.live_decisions(asked, passages(spark, sf), ["conv_id", "turn"])
+    return d.select(
+        "conv_id", "turn",
+        F.array_join(F.transform("evidence", lambda e: e["id"]), "|").alias("evidence"),
+        F.array_join("output_violations", ",").alias("broken"), "decision.routing",
+        F.array_join("decision.routing_reasons", "|").alias("reasons"), "decision.answer")

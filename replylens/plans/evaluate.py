@@ -243,17 +243,17 @@ def _(spark, sf):
 
 
 @query("A21_confused_pairs", f"""
-with {b.GRADED} select gold, pred, n from counts where config = 'stops' and gold <> pred
-order by n desc, gold, pred limit 8""")
+with {b.GRADED} select config, gold, pred, n from counts where gold <> pred
+qualify row_number() over (partition by config order by n desc, gold, pred) <= 8""")
 def _(spark, sf):
-    return me.confused_pairs(_counts(spark, sf).filter("config = 'stops'").drop("config"))
+    return me.confused_pairs(_counts(spark, sf), by=["config"])
 
 
 @query("A22_unstable_boundaries", f"""
-with {b.GRADED} select least(gold, pred) as label_a, greatest(gold, pred) as label_b, sum(n)::bigint as n
-from counts where config = 'marks' and gold <> pred group by all""")
+with {b.GRADED} select config, least(gold, pred) as label_a, greatest(gold, pred) as label_b, sum(n)::bigint as n
+from counts where gold <> pred group by all""")
 def _(spark, sf):
-    return me.unstable_boundaries(_counts(spark, sf).filter("config = 'marks'"))
+    return me.unstable_boundaries(_counts(spark, sf), by=["config"])
 
 
 @query("U1_label_domain", f"""
@@ -280,16 +280,16 @@ def _(spark, sf):
 @query("A24_threshold_what_if", f"""
 with {b.GRADED}, t as (select range / 100.0::double as tau from range(101)),
 s as (select range / 10.0::double as sigma from range(11)),
-c as (select confidence, top_similarity, coalesce(escalated, false) as e, should_escalate as x
-  from graded where config = 'stops'),
-r as (select tau, sigma, x, e or confidence < tau or top_similarity < sigma as review from c, t, s),
-g as (select tau, sigma, count(*) filter (where review and x) as tp, count(*) filter (where review and not x) as fp,
+c as (select config, confidence, top_similarity, coalesce(escalated, false) as e, should_escalate as x
+  from graded),
+r as (select config, tau, sigma, x, e or confidence < tau or top_similarity < sigma as review from c, t, s),
+g as (select config, tau, sigma, count(*) filter (where review and x) as tp, count(*) filter (where review and not x) as fp,
   count(*) filter (where not review and x) as fn from r group by all)
-select tau, sigma, tp, fp, fn, tp + fp as review, round(tp / nullif(tp + fn, 0)::double, 6) as recall,
+select config, tau, sigma, tp, fp, fn, tp + fp as review, round(tp / nullif(tp + fn, 0)::double, 6) as recall,
   round(tp / nullif(tp + fp, 0)::double, 6) as precision from g""")
 def threshold_what_if(spark, sf):
-    g = me.threshold_what_if(b.graded(spark, sf).filter("config = 'stops'"),
-                             [i / 100 for i in range(101)], [i / 10 for i in range(11)])
+    g = me.threshold_what_if(b.graded(spark, sf), [i / 100 for i in range(101)],
+                             [i / 10 for i in range(11)], by=["config"])
     return g.withColumns({c: F.round(c, 6) for c in ("recall", "precision")})
 
 

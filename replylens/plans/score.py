@@ -31,6 +31,26 @@ def batch_scoring(spark, sf):
         "doc_id", "pred", "n_marks", "error")
 
 
+def _length_scorer(broken: bool):
+    def scorer(pdf: pd.DataFrame) -> pd.DataFrame:
+        bad = (pdf["id"] % 50 == 0) & broken
+        return pd.DataFrame({"pred": (pdf["n_chars"] % 7).astype("Int64").mask(bad),
+                             "error": bad.map({True: "TimeoutError: slow", False: None})})
+    return scorer
+
+
+@query("J3_M1_IO6_resumed_run", """
+select doc_id as id, n_chars % 7 as pred, case when doc_id % 50 = 0 then 2 else 1 end as run_ts
+from documents""")
+def resumed_run(spark, sf):
+    """Two runs of a scorer that fails on some rows the first time: each good row is scored once."""
+    path = scratch_path(spark, "resumed")
+    items = b.documents(spark, sf).select(F.col("doc_id").alias("id"), "n_chars")
+    for run_ts in (1, 2):
+        sc.score_remaining(items, path, "lengths", run_ts, _length_scorer(run_ts == 1), "pred long")
+    return stores.read_results(spark, path).select("id", "pred", F.col("run_ts").cast("int"))
+
+
 def _judge_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
     n, bad = pdf["n_chars"], pdf["id"] % 90 == 0
     got = pd.DataFrame({"grounded": n > 150, "addresses_ask": n > 260, "no_overpromise": n % 9 != 0,

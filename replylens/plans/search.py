@@ -126,31 +126,38 @@ def _(spark, sf):
     return bm25.search(q, b.documents(spark, sf), block=32, index_block=512)
 
 
-@query("J9_live_passage_evidence", f"""
-with p as (select item_id as ord, {SQL_TOKENS.format("concat('Item ', item_id, ' ', text)")} as t from benchmark),
+PASSAGES = f"""p as (select item_id as ord, {SQL_TOKENS.format("concat('Item ', item_id, ' ', text)")} as t from benchmark),
 stats as (select count(*)::double as n, avg(len(t)) as average from p),
 pt as (select ord, len(t) as length, unnest(t) as term from p),
 tf as (select ord, length, term, count(*)::double as tf from pt group by all),
-df as (select term, count(*)::double as df from tf group by term),
+df as (select term, count(*)::double as df from tf group by term)"""
+# q: (conv_id, turn, term) of the messages; top: their best four passages.
+EVIDENCE = """scored as (select conv_id, turn, tf.ord, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double))
+    * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / average))), 3) as score
+  from q join tf on tf.term = q.term join df on df.term = q.term, stats group by all),
+top as (select *, row_number() over (partition by conv_id, turn order by score desc, ord) as rank
+  from scored where score > 0 qualify rank <= 4)"""
+
+
+def passages(spark, sf):
+    return table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("id"),
+        F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("title"), "text")
+
+
+@query("J9_live_passage_evidence", f"""
+with {PASSAGES},
 c as (select conv_id, turn, role, text, last_value(case when role = 'user' then text end ignore nulls)
   over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as previous
   from conversations),
 q as (select conv_id, turn, unnest(list_distinct({SQL_TOKENS.format("concat_ws(' ', text, previous)")})) as term
-  from c where role = 'user'),
-scored as (select conv_id, turn, tf.ord, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double))
-    * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / average))), 3) as score
-  from q join tf on tf.term = q.term join df on df.term = q.term, stats group by all),
-top as (select *, row_number() over (partition by conv_id, turn order by score desc, ord) as rank
-  from scored where score > 0 qualify rank <= 4)
+  from c where role = 'user'), {EVIDENCE}
 select conv_id, turn, string_agg(concat(ord, ':', printf('%.3f', score)), '|' order by rank) as evidence
 from top group by all""")
 def live_passage_evidence(spark, sf):
     asked = history.last_user_text(b.conversations(spark, sf)).filter("role = 'user'").select(
         "conv_id", "turn", F.col("text").alias("message"), "previous_user_text")
-    passages = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("id"),
-        F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("title"), "text")
-    found = bm25.passage_evidence(asked, passages, message_id=["conv_id", "turn"],
+    found = bm25.passage_evidence(asked, passages(spark, sf), message_id=["conv_id", "turn"],
                                   previous="previous_user_text")
     return found.filter(F.size("evidence") > 0).select("conv_id", "turn", F.array_join(F.transform(
         "evidence", lambda e: F.concat(e["id"], F.lit(":"), F.format_string("%.3f", e["score"]))),

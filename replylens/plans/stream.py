@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from replylens.functions import policy as po
+from replylens.operators import admission as ad
 from replylens.plans import bindings as b
-from replylens.plans.decide import SMALL, SQL_REDACT
+from replylens.plans.textual import SQL_REDACT
 from replylens.plans.registry import query, table
 from replylens.session import scratch_path
 from replylens.streaming import triage as tg
@@ -62,22 +63,22 @@ def _(spark, sf):
     return _run(spark, us.drop_repeats(_timed(spark, sf)), "repeats").select("client", "request_id", "row")
 
 
-@query("ST3_stream_window_counts", """
-with last as (select max(ts) - interval 24 hours as mark from events),
-c as (select date_trunc('hour', ts) as start, user_id as client, count(*) as n from events group by all)
-select epoch(start)::bigint as start, client, n from c, last where start + interval 1 hour <= mark""")
+@query("ST3_stream_window_counts", f"""
+with {b.REQUESTS}
+select 'client_minute' as scope, client, ts // 60 as bucket, count(*) as n from requests group by all
+union all select 'client_day', client, ts // 86400, count(*) from requests group by all
+union all select 'all_minute', null, ts // 60, count(*) from requests group by all
+union all select 'all_day', null, ts // 86400, count(*) from requests group by all""")
 def stream_window_counts(spark, sf):
-    counts = us.window_counts(_timed(spark, sf), "1 hour").select(
-        F.unix_seconds("window.start").alias("start"), "client", "n")
-    return _run(spark, counts, "windows")
-
-
-@query("ST4_stream_admission")
-def _(spark, sf):
-    log = b.request_log(stream(spark, sf, "events"))
-    out, state = scratch_path(spark, "verdicts"), scratch_path(spark, "state")
-    us.admit_stream(log, out, state, scratch_path(spark, "admit-log"), SMALL)
-    return spark.read.parquet(out).select("row", "client", "request_id", "ts", "verdict")
+    def counted(unit, seconds):
+        path = scratch_path(spark, f"{unit}s")
+        us.store_counts(us.window_counts(_timed(spark, sf), f"1 {unit}"), path,
+                        scratch_path(spark, f"{unit}s-log"))
+        scope = F.when(F.col("of_client"), f"client_{unit}").otherwise(f"all_{unit}")
+        return us.current_counts(spark.read.parquet(path)).select(
+            scope.alias("scope"), "client", F.floor(F.col("start") / seconds).alias("bucket"), "n")
+
+    return counted("minute", 60).unionByName(counted("day", ad.DAY))
 
 
 @query("ST5_stream_prior_messages", """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -31,7 +33,7 @@ def build_session(app: str = "replylens", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a fresh folder of its own; a cluster
+    A local session without that setting gets a folder of its own, gone when it ends; a cluster
     session without it is an error, because a driver-local path would not be shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 @lru_cache(maxsize=1)
 def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="replylens-")
+    root = tempfile.mkdtemp(prefix="replylens-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

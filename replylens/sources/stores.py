@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from replylens.operators.joins import usable
 from replylens.operators.retrieval import unit_checked
@@ -40,6 +41,16 @@ def append_results(results: DataFrame, path: str, run_ts: int) -> None:
      .partitionBy("config", "run_ts").parquet(path))
 
 
+def attempts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """IO6: every stored attempt; none before the first run."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], schema)
+
+
 def latest_results(results: DataFrame) -> DataFrame:
     """IO6: the newest attempt without an error per (config, id).
 

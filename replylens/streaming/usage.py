@@ -54,14 +54,37 @@ def drop_repeats(requests: DataFrame, delay: str = "24 hours", guard: int = ad.D
         keep, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def window_counts(requests: DataFrame, width: str, by_client: bool = True,
-                  delay: str = "24 hours") -> DataFrame:
-    """ST3: requests per tumbling window, per client or over all clients."""
-    keys = [F.window("ts", width)] + (["client"] if by_client else [])
-    return (event_time(requests).withWatermark("ts", delay).groupBy(*keys)
+def window_counts(requests: DataFrame, width: str, delay: str = "24 hours") -> DataFrame:
+    """ST3: requests per tumbling window, per client and, with ``of_client`` false, over all."""
+    every = F.lit(None).cast(requests.schema["client"].dataType).alias("client")
+    counted = F.explode(F.array(
+        F.struct(F.lit(True).alias("of_client"), F.col("client")),
+        F.struct(F.lit(False).alias("of_client"), every))).alias("v")
+    return (event_time(requests).withWatermark("ts", delay).select("ts", counted)
+            .groupBy(F.window("ts", width), "v.of_client", "v.client")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def store_counts(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """ST3: every micro-batch stores the counts it changed, so open windows are seen too.
+
+    A batch writes below its own number; run again it overwrites itself.
+    """
+    def step(batch: DataFrame, number: int) -> None:
+        batch.select(F.unix_seconds("window.start").alias("start"), "of_client", "client",
+                     "n").write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
+
+    query = (counts.writeStream.outputMode("update").foreachBatch(step)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
+
+
+def current_counts(stored: DataFrame) -> DataFrame:
+    """The newest of the stored counts of a window; a count only grows."""
+    return stored.groupBy("start", "of_client", "client").agg(F.max("n").alias("n"))
+
+
 def admit_stream(requests: DataFrame, out: str, state: str, checkpoint: str,
                  caps: ad.Caps = ad.Caps()) -> StreamingQuery:
     """ST4: the four caps and the repeat guard, batch by batch.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from replylens.functions import policy as po
-from replylens.operators import reconcile
+from replylens.operators import live, reconcile
 
 
 def one(spark, schema, row, column):
@@ -175,3 +175,26 @@ def test_acceptable_ignores_tone(spark):
                                "g boolean, a boolean, n boolean")
     assert [r[0] for r in df.select(po.acceptable(F.col("g"), F.col("a"), F.col("n"))).collect()] \
         == [True, False, False]
+
+
+def test_live_decision(spark):
+    good = {"intent": po.INTENTS[0], "confidence": 0.9, "answer": "Restart it.", "summary": "s",
+            "needs_human": False, "cited_doc_ids": ["A"], "handoff_reason": "",
+            "clarification_question": ""}
+    cases = [("the speaker is silent", good), ("the speaker is silent", {**good, "cited_doc_ids": ["Z"]}),
+             ("the speaker is silent", None), ("hi", good), ("zzz yyy", {**good, "cited_doc_ids": []}),
+             ("the speaker is silent", {**good, "confidence": 0.5})]
+    asked = spark.createDataFrame(
+        [(i, m, [], None, json.dumps(r) if r else "{oops") for i, (m, r) in enumerate(cases)],
+        "request_id long, message string, history array<struct<role:string,text:string>>, "
+        "policy string, raw string")
+    known = spark.createDataFrame([(0, "A", "Speaker", "a silent speaker needs a restart")],
+                                  "ord long, id string, title string, text string")
+    got = {r["request_id"]: r["decision"] for r in live.live_decisions(asked, known).collect()}
+    assert [got[i]["routing"] for i in range(6)] == [
+        "draft_ready", "human_review", "human_review", "rejected", "human_review", "human_review"]
+    assert got[0]["answer"] == "Restart it." and got[1]["answer"] is got[2]["answer"] is None
+    assert got[1]["routing_reasons"] == got[2]["routing_reasons"] == [live.HELD]
+    assert got[3]["routing_reasons"] == ["invalid_message"]
+    assert got[4]["answer"] == po.NO_SUPPORT_ANSWER and got[4]["routing_reasons"] == [po.R_UNCITED]
+    assert got[5]["routing_reasons"] == [po.R_CONFIDENCE] and got[5]["answer"] == "Restart it."

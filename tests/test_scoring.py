@@ -125,3 +125,29 @@ def test_external_benchmark_counts_off_taxonomy_as_wrong(spark):
     assert me.accuracy(counts).first()["acc"] == 0.5
     assert {r["label"] for r in me.label_domain(df).collect()} == {"a", "b", "nowhere"}
     assert [tuple(r) for r in me.confused_pairs(counts).collect()] == [("b", "nowhere", 1)]
+
+
+def test_a_resumed_run_scores_only_what_is_left(spark, tmp_path):
+    def scorer(calls, broken):
+        def score(pdf):
+            (tmp_path / f"{calls}-{pdf['id'].min()}").write_text(",".join(map(str, pdf["id"])))
+            bad = (pdf["id"] % 4 == 0) & broken
+            return pd.DataFrame({"pred": pdf["id"].map(str).mask(bad),
+                                 "error": bad.map({True: "down", False: None})})
+        return score
+
+    def scored(calls):
+        return sorted(int(i) for f in tmp_path.glob(f"{calls}-*") for i in f.read_text().split(","))
+
+    path = scratch_path(spark, "resumed")
+    items = spark.range(20).coalesce(2)
+    sc.score_remaining(items.limit(0), path, "c", 0, scorer("none", False), "pred string")
+    sc.score_remaining(items, path, "c", 1, scorer("first", True), "pred string")
+    assert scored("none") == [] and scored("first") == list(range(20))
+    for calls in ("second", "again"):  # the same run twice leaves the same rows
+        sc.score_remaining(items, path, "c", 2, scorer(calls, False), "pred string")
+        assert scored(calls) == [0, 4, 8, 12, 16]
+        got = {r["id"]: (r["pred"], r["run_ts"]) for r in stores.read_results(spark, path).collect()}
+        assert got == {i: (str(i), 2 if i % 4 == 0 else 1) for i in range(20)}
+    sc.score_remaining(items, path, "other", 2, scorer("other", False), "pred string")
+    assert scored("other") == list(range(20))

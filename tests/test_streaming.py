@@ -96,3 +96,26 @@ def test_stream_triage_equals_batch(spark):
     assert batch[2]["message"] == "mail me at [email removed] about the plan"
     assert batch[2]["redacted"] and not batch[4]["redacted"]
     assert batch[0]["history"][0]["text"] == "call [number removed]"
+
+
+def test_counts_over_batches_equal_one_pass(spark):
+    rng = random.Random(6)
+    start = 19_000 * ad.DAY
+    rows = sorted(((i, rng.choice("aab"), "r", start + rng.randrange(2 * ad.DAY)) for i in range(300)),
+                  key=lambda r: r[3])
+    df = spark.createDataFrame([(*r, i * 4 // len(rows)) for i, r in enumerate(rows)],
+                               SCHEMA + ", _part int")
+    timed = df.withColumn("ts", F.timestamp_seconds("ts"))
+    path = files(spark, timed, "counted", "ts", 4)
+    schema = timed.drop("_part").schema
+    want = {(r["scope"], r["client"], r["bucket"]): r["n"] for r in ad.usage_counts(df).collect()}
+    got = {}
+    for unit, seconds in (("minute", 60), ("day", ad.DAY)):
+        out = scratch_path(spark, "counts")
+        us.store_counts(us.window_counts(stream_of(spark, path, schema), f"1 {unit}"), out,
+                        scratch_path(spark, "ck"))
+        stored = spark.read.parquet(out)
+        assert stored.select("batch").distinct().count() >= 4
+        for r in us.current_counts(stored).collect():
+            got[("client" if r["of_client"] else "all") + f"_{unit}", r["client"], r["start"] // seconds] = r["n"]
+    assert got == want
