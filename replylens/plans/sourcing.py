@@ -70,12 +70,21 @@ def _(spark, sf):
 
 
 @query("IO7_pairs_by_brand", f"""
-with {b.PAIRS} select brand, brand_reply_id, is_substantive from pairs where brand = 'brand1'""")
+with {b.PAIRS} select fmt, brand, brand_reply_id, is_substantive, md5(customer_text) as customer_md5
+from pairs, (values ('parquet'), ('csv')) f(fmt)""")
 def _(spark, sf):
-    path = scratch_path(spark, "by-brand")
-    stores.write_pairs(b.pairs(spark, sf), path)
-    return spark.read.parquet(path).filter("brand = 'brand1'").select(
-        "brand", "brand_reply_id", "is_substantive")
+    pairs = b.pairs(spark, sf).select("brand", "brand_reply_id", "customer_text", "is_substantive")
+
+    def stored(fmt, read):
+        path = scratch_path(spark, f"by-brand-{fmt}")
+        stores.write_pairs(pairs, path, fmt)
+        return read(path).select(F.lit(fmt).alias("fmt"), "brand", "brand_reply_id",
+                                 "is_substantive", F.md5("customer_text").alias("customer_md5"))
+
+    # The brand is the name of the folder, so it comes after the columns of the files.
+    kinds = T.StructType([*pairs.drop("brand").schema.fields, pairs.schema["brand"]])
+    return stored("parquet", spark.read.parquet).unionByName(
+        stored("csv", lambda path: rd.read_csv(spark, path, kinds)))
 
 
 @query("IO8_vector_index", """

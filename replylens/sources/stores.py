@@ -24,10 +24,13 @@ def export_reviews(reviews: DataFrame, path: str, notice: str) -> None:
 
 def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet") -> None:
     """IO7: pairs by brand. Every task writes its own rows of each brand; gathering a brand
-    first would give one that holds most rows to a single task."""
+    first would give one that holds most rows to a single task. Texts of a CSV are quoted,
+    so that those of many lines are read back whole."""
     writer = pairs.write.partitionBy("brand")
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = (writer.option("header", True).option("quoteAll", True).option("escape", '"')
+                  .option("ignoreLeadingWhiteSpace", False)
+                  .option("ignoreTrailingWhiteSpace", False))
     writer.format(fmt).save(path)
 
 

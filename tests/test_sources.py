@@ -78,6 +78,14 @@ def test_pairs_by_brand_use_many_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1000
 
 
+def test_csv_pairs_keep_texts_of_many_lines(spark, tmp_path):
+    from replylens.sources import readers as rd
+    rows = [("1", 'two\nlines, "quoted"', "a"), ("2", "  spaced ", "b"), ("3", "back\\slash\n\n", "a")]
+    df = spark.createDataFrame(rows, "brand_reply_id string, customer_text string, brand string")
+    stores.write_pairs(df, str(tmp_path / "c"), "csv")
+    assert sorted(tuple(r) for r in rd.read_csv(spark, str(tmp_path / "c"), df.schema).collect()) == rows
+
+
 def test_human_ratings_of_the_case_library(spark):
     cases = spark.createDataFrame(
         [(1, "Refund me", "how_to", "how_to", True, False, True, False),
