@@ -2,7 +2,8 @@
 
 A rotation of the principal axes is learned on a bounded sample so that signs become
 balanced binary codes. Codes are cut into substrings, one table each: vectors that agree
-in a substring meet in a bucket of that table. Pairs of a bucket are reranked with the
+in a substring meet in a bucket of that table; how many tables that takes is measured on
+sampled vectors moved to the threshold. Pairs of a bucket are reranked with the
 original vectors in double precision, so no pair below the threshold is linked.
 
 Equal vectors are one class and are never paired. A bucket larger than a block is cut into
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from replylens.llm.common import checkpoint, components, stored
 
 SAMPLE = 8192           # rows the rotation is learned from, at most
+PROBES = 2048           # rows the tables are planned on, at most
+RECALL = 0.98           # share of pairs at the threshold that meet in some table
+MODELS = 16             # rotations that codes are taken from, at most
 BLOCK = 1024
 
 
@@ -46,22 +50,83 @@ def learn_rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = 50) -
     return mean, axes @ rotation
 
 
-def plan_tables(rows: int, dim: int, cosine: float, recall: float = 0.98) -> tuple[int, int]:
-    """(bits per substring, number of tables) for so many rows.
+def moved_pairs(probes: np.ndarray, cosine: float, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors and the same moved to the threshold cosine, once in any direction and
+    once towards another probe, which keeps what all vectors have in common."""
+    rng = np.random.default_rng(seed)
+    noise = rng.standard_normal(probes.shape)
+    sine = math.sqrt(max(0.0, 1 - cosine * cosine))
 
-    Substrings grow with the logarithm of the rows, so buckets keep their size. At the
-    threshold angle a sign bit agrees with probability 1 - angle / pi; the number of tables
-    is what brings the chance that some substring agrees to the wanted recall.
+    def across(way):
+        way = way - (way * probes).sum(axis=1, keepdims=True) * probes
+        return way, np.linalg.norm(way, axis=1, keepdims=True)
+
+    free, size = across(noise)
+    free = free / np.maximum(size, 1e-300)
+    held, size = across(np.roll(probes, 1, axis=0))
+    held = np.where(size > 1e-6, held / np.maximum(size, 1e-300), free)     # probes may lie on one line
+    return [(probes, cosine * probes + sine * way) for way in (free, held)]
+
+
+def plan_tables(rows: int, sample: np.ndarray, probes: np.ndarray, cosine: float, recall: float = RECALL):
+    """(bits per substring, number of tables, models) for so many rows.
+
+    Signs are taken after the mean is subtracted, so how often a substring agrees for a
+    pair at the threshold depends on what the vectors have in common. It is measured: for
+    every width of substrings, tables are taken until the wanted share of probes agrees in
+    some table with its moved copy, for either way of moving. Of the widths, the one with the least
+    estimated work is taken. Substrings without bits are one table with a single bucket,
+    which misses nothing; they are left where vectors are few, or resemble each other so
+    much that no ``MODELS`` rotations bring the recall.
     """
-    bits = min(dim, max(6, math.ceil(math.log2(max(rows, 2))) - 5), 30)
-    same = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+    dim = sample.shape[1]
+    width = min(dim, 64)
+    widest = min(dim, max(6, math.ceil(math.log2(max(rows, 2))) - 5), 30)
+    pairs = moved_pairs(probes, cosine)
+    models: list = []
+    agree: list[list[np.ndarray]] = []      # per model and kind of pair: probes x bits
+    crowd: list[np.ndarray] = []
+    best = (_work(rows, 1, 1.0), 0, 1)
+    for bits in range(1, widest + 1):
+        met = [np.zeros(len(probes), bool) for _ in pairs]
+        tables, shared = 0, []
+        for m in range(MODELS):
+            if m == len(models):
+                mean, projection = learn_rotation(sample, width, m)
+                models.append((mean, projection))
+                signs = [(v - mean) @ projection >= 0 for v in (probes, *(moved for _, moved in pairs))]
+                agree.append([signs[0] == other for other in signs[1:]])
+                crowd.append(signs[0])
+            for at in range(0, width - bits + 1, bits):
+                for kind, same in enumerate(agree[m]):
+                    met[kind] |= same[:, at:at + bits].all(axis=1)
+                codes = crowd[m][:, at:at + bits] @ (1 << np.arange(bits, dtype=np.int64))
+                sizes = np.unique(codes, return_counts=True)[1].astype(float)
+                shared.append((sizes * (sizes - 1)).sum() / max(1, len(codes) * (len(codes) - 1)))
+                tables += 1
+                if min(x.mean() for x in met) >= recall:
+                    break
+            else:
+                continue
+            break
+        else:
+            break       # wider substrings agree less often still
+        best = min(best, (_work(rows, tables, float(np.mean(shared))), bits, tables))
+    _, bits, tables = best
+    return bits, tables, models[:-(-tables // (width // bits)) if bits else 0]
+
+
+def _work(rows: int, tables: int, shared: float) -> float:
+    """Estimated work of a row, in compared pairs: a row sent to a block costs about 500
+    of them, and carries a code of every table. ``shared`` is the share of the rows in its bucket."""
+    bucket = rows * shared
+    return tables * ((500 + 5 * tables) * (1 + bucket / BLOCK) + bucket)
 
 
 def substrings(vectors: np.ndarray, models: list[tuple[np.ndarray, np.ndarray]], bits: int,
                tables: int) -> np.ndarray:
     """The code of every table (rows x tables): consecutive substrings of the codes."""
-    out = np.empty((len(vectors), tables), np.int64)
+    out = np.zeros((len(vectors), tables), np.int64)    # without bits: one bucket
     weights = 1 << np.arange(bits, dtype=np.int64)
     t = 0
     for mean, projection in models:
@@ -166,13 +231,12 @@ def _type(classes: DataFrame) -> str:
 
 def _class_links(spark, classes: DataFrame, total: int, cosine: float, sample: int):
     """(node, links) and (node, root_id) of classes that link with another class."""
-    picked = classes.orderBy(F.xxhash64("digest")).limit(sample).select("v").toArrow()
+    # rows behind the sample are new to the rotations; a smaller table is planned on its own rows
+    picked = classes.orderBy(F.xxhash64("digest")).limit(sample + PROBES).select("v").toArrow()
     data = _matrix(picked.column("v").combine_chunks())
     dim = max(data.shape[1], classes.agg(F.max(F.size("v"))).first()[0])
     data = _unit(np.pad(data, ((0, 0), (0, dim - data.shape[1]))))
-    bits, tables = plan_tables(total, dim, cosine)
-    width = min(dim, 64)
-    models = [learn_rotation(data, width, seed) for seed in range(-(-tables // max(1, width // bits)))]
+    bits, tables, models = plan_tables(total, data[:sample], data[-PROBES:], cosine)
     models = spark.sparkContext.broadcast(models)       # dim x 64 numbers each
 
     def encode(batches):

@@ -303,6 +303,35 @@ def test_hot_bucket_is_cut_and_odd_vectors_stand_alone(spark, monkeypatch):
     assert itq.link_vectors(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("rows", [1_500, 8_000])
+def test_recall_where_vectors_share_a_direction(spark, rows):
+    rng = np.random.default_rng(rows)
+    own = rng.standard_normal((rows, 64)) / 8
+    near = np.arange(300)
+    pull = 0.72         # of the part that is not shared, so that pairs lie just above 0.9
+    own[near] = pull * own[near + 300] + math.sqrt(1 - pull ** 2) * own[near]
+    shared = np.zeros(64)
+    shared[:4] = 0.67
+    unit = own + shared
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = int(((unit @ unit.T) >= 0.9).sum()) - rows
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    got = itq.link_vectors(df).agg(F.sum("n_links")).first()[0]
+    assert want > 200 and 0.96 * want <= got <= want
+
+
+def test_plan_holds_where_vectors_share_a_direction():
+    rng = np.random.default_rng(2)
+    shared = np.full(64, 0.8 / 8)
+    rows = itq._unit(rng.standard_normal((10_000, 64)) * 0.6 / 8 + shared)
+    fresh = itq._unit(rng.standard_normal((3_000, 64)) * 0.6 / 8 + shared)
+    for total in (3_000, 200_000, 20_000_000):
+        bits, tables, models = itq.plan_tables(total, rows[:8192], rows[8192:], 0.9)
+        for a, b in itq.moved_pairs(fresh, 0.9, seed=7):
+            same = itq.substrings(a, models, bits, tables) == itq.substrings(b, models, bits, tables)
+            assert same.any(axis=1).mean() >= 0.97
+
+
 # ---- 7 language
 
 def test_held_out_accuracy_and_lang_is_no_input(spark):
