@@ -5,7 +5,9 @@ stands on and, by a random bit of step and word, stays or moves on. Two sequence
 edits apart soon walk in step again, so edit distance becomes Hamming distance. Items and
 item-sized windows of documents are embedded by several walks; a table samples a few steps
 of one walk, and a window is a candidate for the items that agree with it in all sampled
-steps of some table. The number of tables brings the recall. Candidates are verified by
+steps of some table. Walks of long items drift further apart, so steps and tables are chosen
+for every item length by trials at the full number of edits, of substitutions, deletions,
+insertions and all three mixed. Candidates are verified by
 exact edit distance, in words, against the best stretch of the document around the window.
 
 Windows are not embedded where they cannot match: an item of n words with at most k edits
@@ -19,6 +21,7 @@ read where they lie, once per block of items.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,12 @@ from replylens.llm.common import pieces_of, words_of
 
 SIMILARITY = 0.8
 WALKS = 4
-TABLES = 48
-SAMPLED = 3
+TABLES = 48             # at least
+MOST_TABLES = 192
+SAMPLED = 3             # steps a table samples, at most
+RECALL = 0.99           # share of trials that is found, for every kind of edits
+TRIALS = 128            # of every kind
+LONGEST = 1000          # longer items are not sampled: all their windows are candidates
 ITEM_CHARS = 4_000_000      # a block of items
 CELLS = 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +80,7 @@ def embed(words: np.ndarray, starts: np.ndarray, n: int | np.ndarray, vocabulary
     at = starts.copy()
     out = np.empty((len(wanted), len(starts)), np.int64)
     place = {int(w): k for k, w in enumerate(wanted)}
-    for step in range(int(wanted[-1]) + 1):
+    for step in range(int(wanted[-1]) + 1 if len(wanted) else 0):
         if step % 64 == 0:
             bits = walk_bits(step // 64, vocabulary, seed).view(np.int64)
         word = words[np.minimum(at, stops)]
@@ -83,6 +90,66 @@ def embed(words: np.ndarray, starts: np.ndarray, n: int | np.ndarray, vocabulary
     return out
 
 
+def draw_samples(n: int, sampled: int, tables: int) -> list[list[np.ndarray]]:
+    """Per walk, the steps that its tables sample for items of n words."""
+    rng = np.random.default_rng(n)
+    # a walk moves on every other step; later steps write little but the end
+    return [[np.sort(rng.choice(2 * n, min(sampled, 2 * n), replace=False)) for _ in range(tables // WALKS)]
+            for _ in range(WALKS)]
+
+
+def edited(words: list[int], edits: int, kind: int, fresh: int, rng: np.random.Generator) -> list[int]:
+    """So many edits at random places: substitutions (0), deletions (1), insertions (2) or mixed (3)."""
+    out = list(words)
+    kinds = rng.integers(0, 3, edits) if kind == 3 else [kind] * edits
+    for k, (how, at) in enumerate(zip(kinds, np.sort(rng.choice(len(words), edits, replace=False))[::-1])):
+        out[at:at + 1] = [[fresh + k], [], [fresh + k, out[at]]][how]
+    return out
+
+
+@lru_cache(maxsize=None)
+def _trials(n: int, similarity: float, sampled: int) -> int | None:
+    """Tables that find RECALL of the trials of every kind; None if MOST_TABLES do not."""
+    k = edits_allowed(n, similarity)
+    step, rng = spacing(k), np.random.default_rng(n)
+    items = np.arange(4 * TRIALS)[:, None] * (n + k) + np.arange(1, n + 1)
+    offsets = np.arange(-(-(-k // step)), -(-k // step) + 1) * step
+    words, starts = [], []
+    for trial, item in enumerate(items):
+        lead = k + 2 * step
+        starts.append(len(words) + lead + offsets - rng.integers(step))
+        words += [GAP] * lead + edited(item.tolist(), k, trial % 4, int(item[-1]) + 1, rng) + [GAP] * (n + 2 * k)
+    vocabulary = int(items[-1, -1]) + k
+    found = []
+    for walk, samples in enumerate(draw_samples(n, sampled, MOST_TABLES)):
+        wanted = np.unique(np.concatenate(samples))
+        own = embed(items.ravel(), np.arange(len(items)) * n, n, vocabulary, walk, wanted)
+        met = embed(np.array(words), np.concatenate(starts), n, vocabulary, walk, wanted)
+        same = met.reshape(len(wanted), len(items), len(offsets)) == own[:, :, None]
+        found.append([same[np.searchsorted(wanted, s)].all(axis=0).any(axis=1) for s in samples])
+    # walk by walk, as many tables of each
+    met = np.logical_or.accumulate(np.array(found).any(axis=0), axis=0)
+    enough = (met.reshape(len(met), TRIALS, 4).mean(axis=1) >= RECALL).all(axis=1)
+    return (int(enough.argmax()) + 1) * WALKS if enough.any() else None
+
+
+def plan_length(n: int, similarity: float) -> tuple[int, int]:
+    """(sampled steps, tables) for items of n words; no steps: every window is a candidate.
+
+    Lengths are rounded up for the trials, since longer items are found less often.
+    """
+    if edits_allowed(n, similarity) == 0:
+        return SAMPLED, TABLES
+    unit = 5 * max(1, n // 50)
+    like = -(-n // unit) * unit
+    if n <= LONGEST:
+        for sampled in range(SAMPLED, 0, -1):
+            tables = _trials(like, similarity, sampled)
+            if tables is not None:
+                return sampled, max(TABLES, tables)
+    return 0, WALKS
+
+
 def stretch_distance(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest edit distance of the item to a stretch of each region, and where it ends."""
     width = regions.shape[1]
@@ -108,8 +175,10 @@ def matching(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.
 class ItemIndex:
     """Items of one block: word ids, shared runs, and sampled embeddings by length."""
 
-    def __init__(self, items: list[tuple[object, str | None]], similarity: float):
+    def __init__(self, items: list[tuple[object, str | None]], similarity: float,
+                 plans: dict[int, tuple[int, int]] | None = None):
         self.similarity = similarity
+        self.plans = plans or {}
         self.ids: dict[bytes, int] = {}
         by_words: dict[tuple, list] = defaultdict(list)
         for item_id, text in items:
@@ -138,8 +207,14 @@ class ItemIndex:
         lengths: dict[int, list] = defaultdict(list)
         for t, item in enumerate(self.items):
             lengths[len(item)].append(t)
+        # gaps in front of every text, for windows that begin before it
+        self.lead = 0
         for n, ts in lengths.items():
-            self.tables[n] = self._tables(n, ts)
+            sampled, tables = self.plans.get(n) or plan_length(n, similarity)
+            if sampled:
+                k = edits_allowed(n, similarity)
+                self.lead = max(self.lead, k + 2 * spacing(k))
+            self.tables[n] = self._tables(n, ts, sampled, tables)
 
     @staticmethod
     def _slot(codes: np.ndarray) -> np.ndarray:
@@ -152,15 +227,12 @@ class ItemIndex:
             value = value * base + int(w)
         return value
 
-    def _tables(self, n: int, ts: list[int]):
+    def _tables(self, n: int, ts: list[int], sampled: int, tables: int):
         """Per walk: the wanted steps, and per table the sampled steps, sorted keys and items."""
-        rng = np.random.default_rng(n)
         words = np.concatenate([self.items[t] for t in ts])
         starts = np.arange(len(ts), dtype=np.int64) * n
         walks = []
-        for walk in range(WALKS):
-            # a walk moves on every other step; later steps write little but the end
-            samples = [np.sort(rng.choice(2 * n, min(SAMPLED, 2 * n), replace=False)) for _ in range(TABLES // WALKS)]
+        for walk, samples in enumerate(draw_samples(n, sampled, tables)):
             wanted = np.unique(np.concatenate(samples))
             written = embed(words, starts, n, len(self.ids), walk, wanted)
             tables = []
@@ -301,7 +373,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
 
 
 def _block_leaks(docs: DataFrame, own: list, similarity: float, schema: str, items: DataFrame) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast((own, similarity))     # at most ITEM_CHARS of text
+    # planned once, not in every task
+    plans = {n: plan_length(n, similarity) for n in {len(words_of(text)) for _, text in own} if n}
+    index = docs.sparkSession.sparkContext.broadcast((own, similarity, plans))      # at most ITEM_CHARS of text
     from pyspark.sql.pandas.types import to_arrow_type
     item_kind = to_arrow_type(items.schema["item_id"].dataType)
 
@@ -309,15 +383,17 @@ def _block_leaks(docs: DataFrame, own: list, similarity: float, schema: str, ite
         built = ItemIndex(*index.value)
         for batch in pieces_of(batches, chars=8_000_000):
             texts = [np.array(built.word_ids(words_of(t)), np.int32) for t in batch.column("text").to_pylist()]
-            bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+            bounds = np.cumsum([0] + [built.lead + len(t) + 1 for t in texts])
             words = np.full(bounds[-1], -1, np.int32)
             for at, ids in zip(bounds, texts):
-                words[at:at + len(ids)] = ids
+                words[at:at + built.lead] = GAP
+                words[at + built.lead:at + built.lead + len(ids)] = ids
             rows = [[], [], [], [], []]
             for t, edits, end in built.matches(words):
                 doc = int(np.searchsorted(bounds, end - 1, side="right")) - 1
                 for item in built.item_ids[t]:
-                    for col, value in zip(rows, (doc, item, edits, len(built.items[t]), end - int(bounds[doc]))):
+                    for col, value in zip(rows, (doc, item, edits, len(built.items[t]),
+                                                end - int(bounds[doc]) - built.lead)):
                         col.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], item_kind),

@@ -387,6 +387,26 @@ def test_leaks_equal_brute_force(spark):
     assert all(got[k] == want[k] for k in got)
 
 
+def test_long_items_are_found_at_all_edits(spark):
+    rng = np.random.default_rng(4)
+    items, docs, group = [], [], {}
+    for n in (60, 100, 200, 400):
+        for how in ("substitute", "delete", "insert", "mix"):
+            for _ in range(12):
+                item = [f"v{w}" for w in rng.integers(3000, size=n)]
+                own, key = list(item), len(items)
+                for at in sorted(rng.choice(n, decontam.edits_allowed(n, 0.8), replace=False).tolist(), reverse=True):
+                    one = rng.choice(["substitute", "delete", "insert"]) if how == "mix" else how
+                    own[at:at + 1] = {"substitute": ["zz"], "delete": [], "insert": ["yy", own[at]]}[one]
+                items.append((key, " ".join(item)))
+                docs.append((key, " ".join(["u"] * int(rng.choice([0, 50])) + own + ["u"] * 50)))
+                group[key] = n, how
+    got = decontam.find_leaks(texts_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = [group[r["doc_id"]] for r in got if r["doc_id"] == r["item_id"]]
+    assert {key: found.count(key) for key in group.values() if found.count(key) < 11} == {}
+    assert all(r["end_word"] <= len(docs[r["doc_id"]][1].split()) for r in got)
+
+
 # ---- 9 SimHash
 
 def test_fingerprint_by_hand():
