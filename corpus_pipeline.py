@@ -22,9 +22,11 @@ def _beside(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told. Those without a letter are rejected.
 
-    The model is fitted on labelled documents of this input.
+    The model is fitted on labelled documents of this input; without any, the letter alone decides.
     """
     model = langid.fit_languages(docs)
+    if model.families is None:
+        model = langid.letters_only()
     docs, found = _beside(docs, langid.predict_languages(docs, model).filter(f"lang_pred = '{langid.UNKNOWN}'")
                           .select("doc_id").distinct())
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__doc_id"]), "left_anti")

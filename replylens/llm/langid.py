@@ -124,6 +124,12 @@ class LanguageModel:
         return language, sure * surer
 
 
+def letters_only() -> LanguageModel:
+    """A model for tables without labelled rows: any text with a letter has some language."""
+    one = Votes(["any"], [], np.zeros((0, BUCKETS + 1)))
+    return LanguageModel(one, {"any": one})
+
+
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   modulus: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE,
                   families: Mapping[str, str] = FAMILIES) -> LanguageModel:

@@ -508,6 +508,13 @@ def test_pipeline_stages(spark, odd):
         stage(spark, odd, SF).collect()
 
 
+def test_language_stage_without_labels(spark, odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    got = [r["doc_id"] for r in stage(spark, unlabelled, SF).collect()]
+    assert len(got) == 6 and set(got) == {4, 5, 7, 8, None}
+
+
 def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and "sequence_id" in got.columns
