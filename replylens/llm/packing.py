@@ -245,16 +245,18 @@ def pack_group(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(pieces: DataFrame, size: int = 4096, group_rows: int = 8_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with a ``length`` of at most ``size``.
 
-    Pieces that fill a sequence need no search. The others are dealt by a hash of their
-    key into groups of about ``group_rows``; repeated rows fall into one group and are
-    packed each on its own. Nothing but the number of pieces reaches the driver.
+    Pieces that fill a sequence are one each, without a search or a shuffle. The others are
+    dealt by a hash of their key and place into groups of about ``group_rows``, so that repeated
+    rows spread like all others. Nothing but the number of pieces reaches the driver.
     """
     pieces = stored(pieces, "pieces")
     groups = max(1, -(-pieces.filter(F.col("length") < size).count() // group_rows))
     names = pieces.columns
-    dealt = pieces.withColumn("_group", F.when(
-        F.col("length") < size, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-        .otherwise(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))))
+    dealt = (pieces.withColumn("_place", F.monotonically_increasing_id()).filter(F.col("length") < size)
+             .withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_place"), F.lit(groups)))
+             .drop("_place"))
+    full = (pieces.withColumn("sequence_id", F.lit(groups << 32) + F.monotonically_increasing_id())
+            .withColumn("offset", F.lit(0).cast("long")).filter(F.col("length") >= size))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         group = int(frame["_group"].iloc[0])
@@ -262,7 +264,7 @@ def pack(pieces: DataFrame, size: int = 4096, group_rows: int = 8_000) -> DataFr
         return frame[names].assign(sequence_id=group * (1 << 32) + where, offset=offset)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInPandas(run, f"{kinds}, sequence_id long, offset long").union(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 4096,

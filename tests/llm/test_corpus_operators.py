@@ -135,6 +135,28 @@ def test_packing_is_whole(spark):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 4096) * 1.01 + 1
 
 
+def test_full_and_repeated_pieces_spread(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    pack_group = packing.pack_group
+
+    def counted(lengths, size):
+        sizes.add(int((lengths >= size).sum()) + 10**6 * (len(lengths) > 200))
+        return pack_group(lengths, size)
+
+    monkeypatch.setattr(packing, "pack_group", counted)
+    rows = [(1, k, 8, k) for k in range(300)] + [(2, 0, 3, 7)] * 400 + [(d, 0, 5, d) for d in range(3, 103)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length int, ids_crc32 long")
+    got = packing.pack(pieces, 8, group_rows=100).collect()
+    assert sizes.value == 0 and sorted(tuple(r)[:4] for r in got) == sorted(rows)
+    fill = {}
+    for r in got:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in fill.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+        assert sum(n for _, n in own) <= 8
+
+
 # ---- 3 line dedup
 
 def brute_lines(docs, min_words):
