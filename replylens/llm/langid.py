@@ -136,7 +136,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Fit on rows with a language whose crc32(id as text) mod ``modulus`` is not ``held_out``.
 
     At most ``per_language`` rows of a language are learned from, drawn by a hash of id
-    and text. They are picked by id and hash alone, so texts of other rows never move.
+    and text; rows that share both are learned from once. They are picked by id and hash alone, so texts of other rows never move.
     Languages outside ``families`` are a family each. Texts without letters are not
     learned from. Without labelled rows the model answers ``und``.
     """
@@ -145,8 +145,8 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         & F.col("text").rlike(r"\p{L}"))
             .withColumn("draw", F.xxhash64("id", "text")))
     order = Window.partitionBy("lang").orderBy("draw")
-    picked = (rows.select("lang", "draw").withColumn("n", F.row_number().over(order))
-              .filter(F.col("n") <= per_language).select("lang", "draw").distinct())
+    picked = (rows.select("lang", "draw").distinct().withColumn("n", F.row_number().over(order))
+              .filter(F.col("n") <= per_language).select("lang", "draw"))
 
     def run(batches):
         for batch in batches:
@@ -158,7 +158,8 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["lang", "row"])
 
     # the sample has a fixed number of rows per language, so broadcasting its keys is safe
-    sample = (rows.join(F.broadcast(picked), ["lang", "draw"], "left_semi").select("lang", "text")
+    sample = (rows.join(F.broadcast(picked), ["lang", "draw"], "left_semi")
+              .dropDuplicates(["lang", "draw"]).select("lang", "text")
               .mapInArrow(run, "lang string, row binary").toArrow())
     if not sample.num_rows:
         return LanguageModel(None, {})

@@ -370,6 +370,19 @@ def test_no_letter_is_undetermined(spark, odd):
     assert [got[i] for i in (1, 2, 3, 6)] == ["und"] * 4 and got[4] == "en"
 
 
+def test_repeated_rows_are_learned_from_once(spark, monkeypatch):
+    sizes, fit = [], langid.Votes.fit
+    monkeypatch.setattr(langid.Votes, "fit", lambda names, rows, labels: sizes.append(len(rows)) or fit(names, rows, labels))
+    rows = [(1, "same words again", "en", "s", 16)] * 300
+    rows += [(i, f"text number {i}", lang, "s", 14) for i in range(2, 60) for lang in ("en", "de")]
+    langid.fit_languages(spark.createDataFrame(rows, KIND).repartition(8), per_language=10**6)
+    kept = [i for i in range(2, 60) if common.crc_remainder(i, 4) != 2]
+    assert max(sizes) == 2 * len(kept) + (common.crc_remainder(1, 4) != 2) < 200
+    sizes.clear()
+    langid.fit_languages(spark.createDataFrame(rows, KIND), per_language=20)
+    assert max(sizes) == 40
+
+
 # ---- 8 decontamination
 
 def brute_distance(item, words):
