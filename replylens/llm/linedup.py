@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from replylens.llm.common import checkpoint, stored
 
 KEY = ["doc_id", "version"]
+# white space other than the blank and the line end
+_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -43,7 +45,8 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    bare = F.trim(line)
+    # tabs and other white space part words as blanks do
+    bare = F.trim(F.translate(line, _SPACES, " " * len(_SPACES)))
     return F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
 
 

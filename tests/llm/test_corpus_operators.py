@@ -213,6 +213,13 @@ def test_repeated_rows_do_not_remove_each_other(spark):
     assert sorted(tuple(r) for r in kept) == [(1, len(line)), (1, len(line))]
 
 
+@pytest.mark.parametrize("blank", ["\t", "\xa0"])
+def test_words_parted_by_other_white_space(spark, blank):
+    line = blank.join(f"w{i}" for i in range(60))
+    got = linedup.dedup_lines(texts_of(spark, [(1, "a\n" + line), (2, "b\n" + line)])).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 1]
+
+
 # ---- 4 lattice
 
 def test_lattice_sums_all_segmentations():
