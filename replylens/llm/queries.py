@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replylens.llm import (decontam, itq, langid, lattice, licenses, linedup, packing, simhash,
-                           tokencount, warc)
+from replylens.llm import (decontam, itq, langid, lattice, licenses, linedup, packing, quality, resample, simhash,
+                           tokencount, warc, whitening)
 from replylens.llm.common import table
 
 
@@ -60,10 +60,25 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op11_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge_texts(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "posterior", "votes")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_line_dedup, op4_lattice_score,
                             op5_warc_round_trip, op6_embedding_neardup, op7_language_id,
-                            op8_decontamination, op9_simhash_neardup, op10_token_counts)}
+                            op8_decontamination, op9_simhash_neardup, op10_token_counts,
+                            op11_quality_rules, op12_embedding_whitening, op13_importance_resampling)}
 
 SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op3_line_dedup": linedup.sql(),
-                       "op5_warc_round_trip": warc.SQL}
+                       "op5_warc_round_trip": warc.SQL, "op13_importance_resampling": resample.sql()}
