@@ -1,19 +1,11 @@
-"""BM25 over passages: corpus counts, term weights, best passages per query."""
+"""BM25 over passages: corpus counts, term weights, a request's own policy. Searches use ``textindex``."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from replylens.functions import text as tx
-from replylens.operators import blocktopk as bt
-from replylens.session import materialise
 
 # Ranking constants and the number of passages kept.
 K1, B, TOP = 1.2, 0.75, 4
@@ -59,132 +51,6 @@ def matched_terms(queries: DataFrame, docs: DataFrame, query_id: str,
     return q.join(d, "term").join(document_frequency(docs, text), "term")
 
 
-def _weighted_queries(queries: DataFrame, docs: DataFrame, query_id: str, text: str):
-    """Queries with their (term, idf) list, and the mean passage length.
-
-    One pass over the passages: the empty term stands for the passage itself, so its row
-    carries the corpus totals. Terms are counted before they meet the query vocabulary, so
-    that join has one row per term. The result, a row per query term, is stored because
-    three later steps read it.
-    """
-    terms = query_terms(queries, query_id, text)
-    vocabulary = terms.select("term").distinct().unionByName(
-        queries.sparkSession.range(1).select(F.lit("").alias("term")))
-    toks = docs.select(tx.tokens(F.col(text)).alias("t"))
-    seen = toks.select(F.size("t").alias("len"), F.explode(
-        F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
-    stats = materialise(seen.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("len").alias("total")).join(vocabulary, "term"),
-        "terms")
-    totals = stats.filter("term = ''")
-    n_docs = totals.select("df").scalar()
-    average = totals.select(F.col("total") / F.col("df"))
-    weighted = (terms.join(stats.filter("term <> ''"), "term")
-                .select(query_id, "term", idf(n_docs, F.col("df")).alias("idf"))
-                .groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("term", "idf")))
-                                       .alias("terms")))
-    return weighted, average
-
-
-def _owners(lists: pa.ListArray) -> np.ndarray:
-    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(
-        zero_copy_only=False))
-
-
-class _QueryBlock:
-    """Terms of a block of queries as one vocabulary and a term -> queries list."""
-
-    def __init__(self, block: pa.Table):
-        lists = block.column(1).combine_chunks()
-        items = lists.flatten()
-        term, weight = items.field("term"), items.field("idf").to_numpy(zero_copy_only=False)
-        owner = _owners(lists)
-        self.n = block.num_rows
-        self.vocabulary = pc.unique(term).sort()
-        code = pc.index_in(term, self.vocabulary).to_numpy(zero_copy_only=False)
-        order = np.lexsort((owner, code))
-        self.owner, self.idf = owner[order], weight[order]
-        self.start = np.searchsorted(code[order], np.arange(len(self.vocabulary) + 1))
-
-
-def _score(ready: _QueryBlock, batch, best: bt.RunningBest) -> None:
-    step = max(1, bt.CELLS // max(1, ready.n))
-    for at in range(0, batch.num_rows, step):
-        part = batch.slice(at, step)
-        order = bt.as_numpy(part.column(0))
-        lists = part.column(1)
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        norm = bt.as_numpy(part.column(2))
-        code = pc.index_in(lists.flatten(), ready.vocabulary)
-        known = code.is_valid().to_numpy(zero_copy_only=False)
-        doc = _owners(lists)[known]
-        code = code.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-        pair, tf = np.unique(doc * len(ready.vocabulary) + code, return_counts=True)
-        doc, code = np.divmod(pair, len(ready.vocabulary))
-        weight = tf * (K1 + 1) / (tf + K1 * norm[doc])
-        score = np.zeros(ready.n * len(order))
-        fan = ready.start[code + 1] - ready.start[code]
-        reach = np.cumsum(fan)
-        lo = 0
-        while lo < len(code):  # as many postings at a time as fan out to CELLS additions
-            hi = max(lo + 1, int(np.searchsorted(reach, reach[lo] - fan[lo] + bt.CELLS, "right")))
-            f, c = fan[lo:hi], code[lo:hi]
-            slot = np.repeat(ready.start[c], f) + (
-                np.arange(f.sum()) - np.repeat(np.cumsum(f) - f, f))
-            cell = ready.owner[slot] * len(order) + np.repeat(doc[lo:hi], f)
-            score += np.bincount(cell, np.repeat(weight[lo:hi], f) * ready.idf[slot],
-                                 minlength=len(score))
-            lo = hi
-        score = score.reshape(ready.n, len(order))
-        score = np.floor(score * 1000 + 0.5) / 1000
-        floor = best.floor
-        if len(order) >= best.k:
-            floor = np.maximum(floor, np.partition(score, len(order) - best.k, axis=1)[:, -best.k])
-        rows, cols = np.nonzero((score > 0) & (score >= floor[:, None]))
-        best.add(rows, score[rows, cols], order[cols])
-
-
-def search(queries: DataFrame, docs: DataFrame, k: int = TOP, query_id: str = "query_id",
-           doc_order: str = "doc_id", text: str = "text", block: int = bt.BLOCK,
-           index_block: int = 8192) -> DataFrame:
-    """Best passages per query by score rounded to three places, then order.
-
-    ``doc_order`` is unique and gives the passage order. For a query side within the
-    broadcast bound passages are scored where they are read. Beyond it both sides are cut
-    into blocks, and the passages are shuffled once per query block.
-    """
-    weighted, average = _weighted_queries(queries, docs, query_id, text)
-    toks = docs.select(F.col(doc_order), tx.tokens(F.col(text)).alias("t"))
-    corpus = toks.select(doc_order, "t",
-                         (F.lit(1 - B) + F.lit(B) * F.size("t") / average.scalar()).alias("norm"))
-    size = bt.size_of(queries, F.size(F.array_distinct(tx.tokens(F.col(text)))))
-    return bt.best_k(weighted, corpus, k, _QueryBlock, _score, query_id, doc_order, size, block,
-                     index_block)
-
-
-def passage_evidence(messages: DataFrame, passages: DataFrame, k: int = TOP,
-                     message_id: str | Sequence[str] = "request_id", text: str = "message",
-                     previous: str | None = None) -> DataFrame:
-    """The live direction: many messages against a set of (ord, id, title, text) passages.
-
-    Adds ``evidence``, array<struct<id, score>>, empty where nothing matches. ``message_id``
-    names the columns that are unique together, and ``ord`` is unique. The plan is that of
-    ``search`` with the messages as queries: they move once per 8,192 passages.
-    """
-    ids = [message_id] if isinstance(message_id, str) else list(message_id)
-    asked = F.col(text) if previous is None else F.concat_ws(" ", text, previous)
-    queries = messages.select(F.struct(*ids).alias("_query"), asked.alias("text"))
-    docs = passages.select("ord", F.concat_ws(" ", "title", "text").alias("text"))
-    hits = search(queries, docs, k, "_query", "ord").join(passages.select("ord", "id"), "ord")
-    item = F.struct("rank", F.col("id").alias("name"), "score")
-    found = hits.groupBy("_query").agg(F.transform(
-        F.sort_array(F.collect_list(item)),
-        lambda h: F.struct(h["name"].alias("id"), h["score"].alias("score"))).alias("evidence"))
-    none = F.array().cast(found.schema["evidence"].dataType)
-    return (messages.withColumn("_query", F.struct(*ids)).join(found, "_query", "left")
-            .select(*messages.columns, F.coalesce("evidence", none).alias("evidence")))
-
-
 def own_policy_evidence(requests: DataFrame, message: str = "message", policy: str = "policy",
                         k: int = TOP, limit: int | None = None) -> DataFrame:
     """T9 with T8: each request searched against the passages of its own policy text.

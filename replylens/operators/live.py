@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replylens.functions import policy as po
-from replylens.operators import bm25
+from replylens.operators import textindex
 from replylens.streaming.triage import triage
 
 HELD = "invalid_model_output"
@@ -28,7 +28,7 @@ def live_decisions(requests: DataFrame, passages: DataFrame,
     said = F.filter("history", lambda t: t["role"] == "user")
     checked = (triage(requests, (), signals).drop("verdict", "risks", "routing")
                .withColumn("_previous", F.try_element_at(said, F.lit(-1))["text"]))
-    found = bm25.passage_evidence(checked, passages, message_id=message_id, previous="_previous")
+    found = textindex.passage_evidence(checked, passages, message_id=message_id, previous="_previous")
     ids = F.transform("evidence", lambda e: e["id"])
     read = found.withColumn("_out", po.parse_output(F.col("raw"))).withColumn(
         "output_violations", po.output_violations(F.col("_out"), ids, intents))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from replylens.functions import text as tx
-from replylens.operators import bm25, history
+from replylens.operators import bm25, history, textindex, vectorindex
 from replylens.operators import retrieval as rt
 from replylens.plans import bindings as b
 from replylens.plans.registry import query, table
@@ -26,6 +26,24 @@ def _(spark, sf):
         "similarity", F.round("similarity", 4))
 
 
+@query("J8_nearest_quantised", f"""
+with {b.NEAREST} select id, neighbour_id, round(similarity, 4) as similarity, rank from hits""")
+def nearest_quantised(spark, sf):
+    """The same rows from a stored index of one byte per component."""
+    v = b.vectors(spark, sf)
+    return vectorindex.nearest_quantised(v, vectorindex.build_vector_index(v, row_id="id")).withColumn(
+        "similarity", F.round("similarity", 4))
+
+
+@query("S3_W6_top_one_quantised", f"""
+with {b.NEAREST} select id, neighbour_id from hits where rank = 1""")
+def _(spark, sf):
+    """One neighbour each, with a query side past what every task holds."""
+    v = b.vectors(spark, sf)
+    return vectorindex.nearest_quantised(v, vectorindex.build_vector_index(v, row_id="id"), 1, block=300,
+                                         index_block=1000).select("id", "neighbour_id")
+
+
 @query("J8_nearest_approximate")
 def _(spark, sf):
     v = b.vectors(spark, sf)
@@ -116,14 +134,16 @@ select query_id, doc_id, score, row_number() over (partition by query_id order b
 
 @query("T8_S4_bm25_search", SEARCH)
 def bm25_search(spark, sf):
+    """Documents are stored as an index, which alone is searched."""
     q = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
-    return bm25.search(q, b.documents(spark, sf))
+    return textindex.search(q, textindex.build_index(b.documents(spark, sf)))
 
 
 @query("T8_S4_bm25_search_blocked", SEARCH)
 def _(spark, sf):
+    """The same search over many small blocks, most of which the bounds rule out."""
     q = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
-    return bm25.search(q, b.documents(spark, sf), block=32, index_block=512)
+    return textindex.search(q, textindex.build_index(b.documents(spark, sf), block_docs=16))
 
 
 PASSAGES = f"""p as (select item_id as ord, {SQL_TOKENS.format("concat('Item ', item_id, ' ', text)")} as t from benchmark),
@@ -157,7 +177,7 @@ from top group by all""")
 def live_passage_evidence(spark, sf):
     asked = history.last_user_text(b.conversations(spark, sf)).filter("role = 'user'").select(
         "conv_id", "turn", F.col("text").alias("message"), "previous_user_text")
-    found = bm25.passage_evidence(asked, passages(spark, sf), message_id=["conv_id", "turn"],
+    found = textindex.passage_evidence(asked, passages(spark, sf), message_id=["conv_id", "turn"],
                                   previous="previous_user_text")
     return found.filter(F.size("evidence") > 0).select("conv_id", "turn", F.array_join(F.transform(
         "evidence", lambda e: F.concat(e["id"], F.lit(":"), F.format_string("%.3f", e["score"]))),

@@ -33,7 +33,7 @@ with {b.PAIRS} select brand_reply_id, customer_tweet_id, md5(brand_reply_text) a
 def _(spark, sf):
     path = scratch_path(spark, "pairs")
     _write_csv(b.pairs(spark, sf).select(*rd.PAIRS.fieldNames()), path)
-    return rd.read_csv(spark, path, rd.PAIRS).select(
+    return rd.read_pairs(spark, path).select(
         "brand_reply_id", "customer_tweet_id", F.md5("brand_reply_text").alias("reply_md5"),
         F.md5("customer_text").alias("customer_md5"), "is_substantive")
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from replylens.sources.quoted import read_quoted_csv
+
 
 def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -48,18 +50,19 @@ MIN_BYTES = 50_000_000
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """IO2: a CSV with a header and quoted, possibly multi-line text."""
+    """A CSV with a header and quoted, possibly multi-line text; one task reads a file."""
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
             .option("quote", '"').option("escape", '"').csv(path))
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: the raw message table, only the columns pairing needs.
+    """IO1: the raw message table, only the columns pairing needs, read in byte ranges."""
+    return read_quoted_csv(spark, path, MESSAGES).select(*MESSAGE_COLUMNS)
 
-    A multi-line CSV file is read by one task, so a large export should come as many
-    files or be stored once as Parquet.
-    """
-    return read_csv(spark, path, MESSAGES).select(*MESSAGE_COLUMNS)
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """IO2: the stored pairs, read in byte ranges."""
+    return read_quoted_csv(spark, path, PAIRS)
 
 
 def source_bytes(spark: SparkSession, path: str) -> int:
@@ -103,7 +106,7 @@ def read_passages(spark: SparkSession, path: str) -> DataFrame:
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     """IO10: a local (text, category) table, CSV or Parquet."""
     if path.rstrip("/").endswith(".csv"):
-        return read_csv(spark, path, BENCHMARK)
+        return read_quoted_csv(spark, path, BENCHMARK)
     return spark.read.schema(BENCHMARK).parquet(path)
 
 

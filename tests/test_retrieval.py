@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from replylens.functions import text as tx
-from replylens.operators import bm25
+from replylens.operators import bm25, textindex
 from replylens.operators import retrieval as rt
 
 VEC = "id long, vector array<float>"
@@ -136,13 +136,13 @@ DOCS = ["Audio pauses and skips on the phone", "Billing and refunds for a duplic
 QUERIES = ["my phone skips songs", "charged twice, refund", "nothing shared here xyz", "ing"]
 
 
-@pytest.mark.parametrize("block, index_block", [(4096, 8192), (2, 3)])
-def test_bm25(spark, block, index_block):
+@pytest.mark.parametrize("block_docs", [1024, 2, 1])
+def test_bm25(spark, block_docs):
     docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
     queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, text string")
+    index = textindex.build_index(docs.repartition(3), block_docs=block_docs)
     got = {}
-    for r in bm25.search(queries, docs.repartition(3), 4, block=block,
-                         index_block=index_block).collect():
+    for r in textindex.search(queries, index, 4).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
     for i, q in enumerate(QUERIES):
         have = [(d, s) for _, d, s in sorted(got.get(i, []))]
@@ -152,11 +152,68 @@ def test_bm25(spark, block, index_block):
     assert 2 not in got
 
 
+def skewed_texts(n, seed=3):
+    """Frequent words everywhere, rare ones in a few texts, ties, empty and null texts."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{int(x)}" for x in rng.zipf(1.3, 20 * n) % 400]
+    texts = [" ".join(words[20 * i:20 * i + int(rng.integers(3, 20))]) for i in range(n)]
+    texts[5], texts[6], texts[7] = "", texts[8], texts[9]
+    return texts
+
+
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_skipping_loses_nothing(spark, k):
+    texts = skewed_texts(600)
+    docs = spark.createDataFrame([(f"d{i:04}", t) for i, t in enumerate(texts)] + [("e", None)], "doc_id string, text string")
+    asked = [" ".join(t.split()[:6]) for t in texts[::40]] + ["w1", "w1 w2 w3 w399", "", "unknown"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    index = textindex.build_index(docs.repartition(5), block_docs=20)
+    got = {}
+    for r in textindex.search(queries, index, k).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((int(r["doc_id"][1:]), r["score"]))
+    for i, q in enumerate(asked):
+        want = py_bm25(q, [*texts, ""], k)
+        assert [d for d, _ in got.get(i, [])] == [d for d, _ in want]
+        assert [s for _, s in got.get(i, [])] == pytest.approx([s for _, s in want], abs=1e-9)
+
+
+def test_a_search_reads_the_index_alone_and_not_all_of_it(spark, tmp_path):
+    texts = skewed_texts(2000)
+    source = str(tmp_path / "texts")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(source)
+    textindex.build_index(spark.read.parquet(source), str(tmp_path / "index"), block_docs=50)
+    index = textindex.TextIndex(spark, str(tmp_path / "index"))         # as a later session opens it
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts[::100])], "query_id long, text string")
+    found = textindex.search(queries, index, 4)
+    assert not [f for f in found.inputFiles() if "texts" in f]
+    effort = textindex.search_effort(queries, index, 4).first()
+    assert 0 < effort["postings_read"] < 0.5 * effort["postings"]
+    assert effort["pairs"] > 20 * 20
+
+
+def test_copies_of_a_block_serve_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(textindex, "QUERIES", 2)
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    queries = spark.createDataFrame([(i, QUERIES[i % 4]) for i in range(9)], "query_id long, text string")
+    got = {}
+    for r in textindex.search(queries, textindex.build_index(docs), 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == {i: [d for d, _ in py_bm25(QUERIES[i % 4], DOCS, 4)] for i in range(9) if i % 4 != 2}
+
+
+def test_empty_index_and_no_queries(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "songs")], "query_id long, text string")
+    assert textindex.search(queries, textindex.build_index(docs), 4).collect() == []
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    assert textindex.search(queries.limit(0), textindex.build_index(docs), 4).collect() == []
+
+
 def test_live_direction_agrees_with_search(spark):
     passages = spark.createDataFrame([(i, f"K{i}", "", t) for i, t in enumerate(DOCS)],
                                      "ord long, id string, title string, text string")
     asked = spark.createDataFrame(list(enumerate(QUERIES)), "request_id long, message string")
-    for r in bm25.passage_evidence(asked, passages).collect():
+    for r in textindex.passage_evidence(asked, passages).collect():
         want = py_bm25(QUERIES[r["request_id"]], DOCS, 4)
         assert [e["id"] for e in r["evidence"]] == [f"K{d}" for d, _ in want]
         assert [e["score"] for e in r["evidence"]] == pytest.approx([s for _, s in want])
@@ -168,31 +225,25 @@ def test_live_direction_takes_any_number_of_passages(spark):
                                      "ord long, id string, title string, text string")
     asked = spark.createDataFrame([(1, "topic2400 word0"), (2, None), (3, "nothing here")],
                                   "request_id long, message string")
-    got = {r["request_id"]: r["evidence"] for r in bm25.passage_evidence(asked, passages).collect()}
+    got = {r["request_id"]: r["evidence"] for r in textindex.passage_evidence(asked, passages).collect()}
     want = py_bm25("topic2400 word0", texts, 4)
     assert [e["id"] for e in got[1]] == [f"K{d}" for d, _ in want]
     assert got[2] == got[3] == []
-    assert [r["evidence"] for r in bm25.passage_evidence(asked, passages.limit(0)).collect()] == [[]] * 3
-
-
-def test_bm25_adds_in_bounded_pieces(spark, monkeypatch):
-    """The same scores whether postings are added at once or a few at a time."""
-    import pyarrow as pa
-    from replylens.operators import blocktopk as bt
-    kind = pa.list_(pa.struct([("term", pa.string()), ("idf", pa.float64())]))
-    block = pa.table([pa.array([0, 1, 2]), pa.array(
-        [[{"term": t, "idf": 1.0 + i} for t in terms] for i, terms in
-         enumerate([["a", "b"], ["b", "c", "d"], ["a", "d"]])], kind)], names=["q", "terms"])
-    docs = pa.table([pa.array(range(6)), pa.array(
-        [["a", "b", "b"], ["c"], [], ["d", "a", "z"], ["b", "d"], ["a"]], pa.list_(pa.string())),
-        pa.array([1.0] * 6)], names=["doc", "t", "norm"])
+    assert [r["evidence"] for r in textindex.passage_evidence(asked, passages.limit(0)).collect()] == [[]] * 3
+
+
+def test_held_passages_in_bounded_pieces_and_past_their_bound(spark, monkeypatch):
+    """The same evidence whether postings are added at once, a few at a time, or from a stored index."""
+    passages = spark.createDataFrame([(i, f"K{i}", "", t) for i, t in enumerate(DOCS * 3)],
+                                     "ord long, id string, title string, text string")
+    asked = spark.createDataFrame([(i, q, [q]) for i, q in enumerate(QUERIES)], "request_id long, message string, more array<string>")
     found = []
-    for cells in (bt.CELLS, 1, 3):
-        monkeypatch.setattr(bt, "CELLS", cells)
-        best = bt.RunningBest(3, 3)
-        bm25._score(bm25._QueryBlock(block), docs, best)
-        found.append(list(zip(best.rows.tolist(), best.ids.tolist(), best.scores.tolist())))
-    assert found[0] == found[1] == found[2] and len(found[0]) == 9
+    for name, bound in (("CELLS", textindex.CELLS), ("CELLS", 1), ("CELLS", 30), ("HELD_ROWS", 5), ("HELD_TOKENS", 9)):
+        with monkeypatch.context() as m:
+            m.setattr(textindex, name, bound)
+            found.append(sorted(map(tuple, textindex.passage_evidence(asked, passages).collect())))
+    assert all(f == found[0] for f in found) and len(found[0]) == 4
+    assert [e["id"] for e in found[0][0][3]] == [f"K{d}" for d, _ in py_bm25(QUERIES[0], DOCS * 3, 4)]
 
 
 def test_own_policy(spark):
