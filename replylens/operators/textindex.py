@@ -5,11 +5,11 @@ A row of ``postings`` has the passages of one block that hold one term, the weig
 in each, and the largest of these weights. From it follows the most that any passage of
 the block can score, before any posting is read.
 
-A search reads the bounds first. The best block of every query is scored; its k-th score is a
-floor that other blocks must be able to reach. Inside a block terms are taken from the largest
-possible gain down: once the terms left cannot lift a new passage to the floor, only passages
-already met are looked up in the remaining lists. Both skips keep every passage that may be
-among the best k, so results are exact.
+A search reads the bounds first. They give a floor under the k-th score, and blocks that cannot
+reach it are not read. A task raises the floor of a query by what its earlier blocks gave. Inside a
+block terms are taken from the largest possible gain down: once the terms left cannot lift a new
+passage to the floor, only passages already met are looked up in the remaining lists. All of
+this keeps every passage that may be among the best k, so results are exact.
 
 The texts are read once, when the index is built. In a search a block's postings move once,
 however many queries meet it.
@@ -35,13 +35,15 @@ from replylens.session import materialise, scratch_path
 BLOCK = 1024                # passages of a block, at most
 TOKENS = 4_000_000          # and tokens, unless one passage has more
 QUERIES = 65_536            # queries that one copy of a block's postings serves
+CELLS = 4_000_000           # scores that are held at a time
+REACHED = 200_000           # queries whose scores a task remembers from block to block
 # A score is rounded to three places; a bound this far below the floor cannot reach it.
 SLACK = 0.0005 + 1e-9
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """The tables of an index: ``postings``, ``terms``, ``blocks`` and the one row ``corpus``."""
+    """The tables of an index: ``postings`` and ``blocks``."""
     spark: SparkSession
     path: str
 
@@ -49,18 +51,33 @@ class TextIndex:
         return self.spark.read.parquet(os.path.join(self.path, name))
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of ``values`` between consecutive ``ends`` as one binary value each."""
+    ends = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
+
+
+def _unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, values) of a column made by ``_packed``; nulls are empty."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data else np.zeros(0, np.uint8)
+    return (ends - ends[0]) // np.dtype(kind).itemsize, values.view(kind)
+
+
 def _block_rows(docs: DataFrame, doc_order: str, text: str, block_docs: int) -> DataFrame:
     """Per block a row for itself (null term: ids in order, lengths) and one per term.
 
-    ``at`` are places in the block's ids, ``tf`` the occurrences and ``lens`` the lengths there.
+    ``n`` passages hold the term; ``at`` are their places in the block's ids, ``tf`` the occurrences
+    and ``lens`` the lengths there, packed as 32-bit integers.
     """
     source = docs.select(F.col(doc_order).alias("id"),
                          F.coalesce(tx.tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
-    id_type = source.schema["id"].dataType
-    ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("term", T.StringType()),
-                           T.StructField("ids", T.ArrayType(id_type)), T.StructField("at", ints),
-                           T.StructField("tf", ints), T.StructField("lens", ints)])
+                           T.StructField("ids", T.ArrayType(source.schema["id"].dataType)),
+                           T.StructField("n", T.IntegerType()), T.StructField("tokens", T.LongType()),
+                           *[T.StructField(c, T.BinaryType()) for c in ("at", "tf", "lens")]])
     arrow = to_arrow_schema(schema)
 
     def emit(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
@@ -71,20 +88,15 @@ def _block_rows(docs: DataFrame, doc_order: str, text: str, block_docs: int) ->
         code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         pair, tf = np.unique(code * len(lens) + np.repeat(np.arange(len(lens)), lens), return_counts=True)
         code, at = np.divmod(pair, max(1, len(lens)))
-        ends = np.searchsorted(code, np.arange(len(words.dictionary) + 1))
+        n = np.bincount(code, minlength=len(words.dictionary))
         # the block itself comes first: no term, all passages
-        ends = np.r_[0, len(lens), len(lens) + ends[1:]].astype(np.int32)
-
-        def lists_of(first, rest):
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.r_[first, rest].astype(np.int32)))
-
-        n = len(words.dictionary) + 1
-        ids = pa.ListArray.from_arrays(pa.array([0] + [len(lens)] * n, pa.int32()), rows.column("id").chunk(0))
-        zero = np.zeros(len(lens))
+        ends = np.r_[0, 0, np.cumsum(n)]
+        ids = pa.ListArray.from_arrays(pa.array([0] + [len(lens)] * len(ends[1:]), pa.int32()), rows.column("id").chunk(0))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, block)), pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary.cast(pa.string())]),
-             ids.cast(arrow.field("ids").type), lists_of(np.arange(len(lens)), at), lists_of(zero, tf),
-             lists_of(lens, lens[at])], schema=arrow)
+            [pa.array(np.full(len(n) + 1, block)), pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary.cast(pa.string())]),
+             ids.cast(arrow.field("ids").type), pa.array(np.r_[len(lens), n].astype(np.int32)),
+             pa.array(np.r_[lens.sum(), np.zeros(len(n))].astype(np.int64)),
+             *(_packed(c.astype(np.int32), ends) for c in (at, tf, lens[at]))], schema=arrow)
 
     def run(batches):
         from pyspark import TaskContext
@@ -117,74 +129,142 @@ def build_index(docs: DataFrame, path: str | None = None, doc_order: str = "doc_
     path = path or scratch_path(spark, "textindex")
     index = TextIndex(spark, path)
     rows = materialise(_block_rows(docs, doc_order, text, block_docs), "postings")
-    own, of_terms = rows.filter("term is null"), rows.filter("term is not null")
-    own.select("block", "ids").write.parquet(os.path.join(path, "blocks"))
-    total = F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, n: a + n))
-    corpus = own.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_docs"),
-                     F.coalesce(total, F.lit(0)).alias("tokens"))
-    corpus.write.parquet(os.path.join(path, "corpus"))
-    size = index.table("corpus").first()
-    average = size["tokens"] / size["n_docs"] if size["tokens"] else 1.0
-    weights = F.zip_with("tf", "lens", lambda tf, n: bm25.term_weight(tf, n, F.lit(average)))
-    (of_terms.select("term", "block", "at", weights.alias("weights")).withColumn("most", F.array_max("weights"))
+    rows.filter("term is null").select("block", "ids", "n", "tokens").write.parquet(os.path.join(path, "blocks"))
+    _, average = corpus_size(index)
+
+    def weigh(batches):
+        for batch in batches:
+            ends, tf = _unpacked(batch.column("tf"), np.int32)
+            shape = bm25.K1 * (1 - bm25.B + bm25.B * _unpacked(batch.column("lens"), np.int32)[1] / average)
+            weights = tf * (bm25.K1 + 1) / (tf + shape)
+            most = np.maximum.reduceat(weights, ends[:-1]) if len(weights) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("term", "block", "n")), pa.array(most), batch.column("at"), _packed(weights, ends)],
+                names=["term", "block", "n", "most", "at", "weights"])
+
+    (rows.filter("term is not null").select("term", "block", "n", "at", "tf", "lens")
      .repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+     .mapInArrow(weigh, "term string, block long, n int, most double, at binary, weights binary")
      .write.parquet(os.path.join(path, "postings")))
-    found = F.sum(F.size("at"))
-    (of_terms.groupBy("term").agg(found.alias("df"))
-     .withColumn("idf", bm25.idf(F.lit(size["n_docs"]), F.col("df")))
-     .write.parquet(os.path.join(path, "terms")))
     return index
 
 
-def weighted_terms(queries: DataFrame, index: TextIndex, query_id: str, text: str) -> DataFrame:
-    """(query_id, term, idf): the terms of each query that some passage holds.
-
-    The distinct terms of all queries meet the index first, one row a term, so a term of very
-    many queries is no hot key there.
-    """
-    asked = bm25.query_terms(queries, query_id, text)
-    known = asked.select("term").distinct().join(index.table("terms").select("term", "idf"), "term")
-    return asked.join(known, "term").select(query_id, "term", "idf")
+def corpus_size(index: TextIndex) -> tuple[int, float]:
+    """Passages, and their mean number of tokens (1 if there are none)."""
+    found = index.table("blocks").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
+    return found["n"] or 0, found["tokens"] / found["n"] if found["tokens"] else 1.0
 
 
-def block_bounds(weighted: DataFrame, index: TextIndex, query_id: str) -> DataFrame:
-    """(query_id, block, bound, terms): the most a passage of the block can score for the query.
+def block_bounds(queries: DataFrame, index: TextIndex, query_id: str, text: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (query_id, block, bound, terms, floor) worth scoring, and all pairs without the floor.
 
-    ``terms`` are (term, idf, most). Only the bounds of the postings are read.
+    ``bound`` is the most a passage of the block can score for the query, ``terms`` are (term, idf, most).
+    The best passage of a block scores at least its largest single gain, so the k-th largest of these over the
+    blocks is a ``floor`` under the k-th score; pairs whose bound is below it are left out. Of
+    the postings only sizes and maxima are read. Distinct terms meet them, so a term of very many
+    queries is no hot key there.
     """
-    most = index.table("postings").select("term", "block", "most")
+    asked = materialise(bm25.query_terms(queries, query_id, text), "terms")
+    # several steps read the bounds of these terms, a row per block
+    held = materialise(index.table("postings").select("term", "block", "n", "most")
+                       .join(asked.select("term").distinct(), "term", "left_semi"), "held")
+    n_docs, _ = corpus_size(index)
+    weight = held.groupBy("term").agg(F.sum("n").alias("df")).select(
+        "term", bm25.idf(F.lit(n_docs), F.col("df")).alias("idf"))
     gain = F.col("idf") * F.col("most")
-    return (weighted.join(most, "term").groupBy(query_id, "block")
-            .agg(F.sum(gain).alias("bound"), F.collect_list(F.struct("term", "idf", "most")).alias("terms")))
-
-
-def score_block(lists: dict, terms: list[tuple[str, float, float]], n: int, k: int, floor: float):
-    """Best k of a block's ``n`` passages for one query: (places, rounded scores, postings read).
-
-    ``lists`` has (places, weights) by term. Passages below ``floor`` may be missing.
-    """
-    terms = sorted(terms, key=lambda t: (-t[1] * t[2], t[0]))
-    ahead = np.cumsum([t[1] * t[2] for t in terms][::-1])[::-1]      # gain of this and all later terms
-    score, read, at = np.zeros(n), 0, 0
-    while at < len(terms) and ahead[at] >= floor - SLACK:
-        places, weights = lists[terms[at][0]]
-        score[places] += terms[at][1] * weights
-        read += len(places)
-        at += 1
-        if n > k and at < len(terms):       # what has been reached is reached
-            floor = max(floor, float(np.partition(score, n - k)[n - k]))
-    left = np.flatnonzero(score > 0)
-    for j in range(at, len(terms)):
-        left = left[score[left] + ahead[j] >= floor - SLACK]
-        places, weights = lists[terms[j][0]]
-        where = np.minimum(np.searchsorted(places, left), len(places) - 1)
-        hit = places[where] == left
-        score[left[hit]] += terms[j][1] * weights[where[hit]]
-        read += int(hit.sum())
-    rounded = np.floor(score[left] * 1000 + 0.5) / 1000
-    best = np.lexsort((left, -rounded))[:k]
-    best = best[rounded[best] > 0]
-    return left[best], rounded[best], read
+    pairs = materialise(
+        asked.join(held.join(weight, "term").select("term", "block", "idf", "most"), "term").groupBy(query_id, "block")
+        .agg(F.sum(gain).alias("bound"), F.max(gain).alias("single"),
+             F.collect_list(F.struct("term", "idf", "most")).alias("terms")), "bounds")
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("single")))
+    floors = (pairs.select(query_id, "single").withColumn("place", place).filter(F.col("place") <= k)
+              .groupBy(query_id).agg(F.when(F.count("*") == k, F.min("single")).alias("least")))
+    worth = (pairs.join(floors, query_id).withColumn("floor", F.coalesce("least", F.lit(0.0)))
+             .filter(F.col("bound") >= F.col("floor") - SLACK))
+    return worth, pairs
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every range, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _pieces(counts: np.ndarray):
+    """Ranges of entries that together have about ``CELLS`` items, one entry at least."""
+    reach, lo = np.cumsum(counts), 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(reach, reach[lo] - counts[lo] + CELLS, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+class BlockPostings:
+    """The needed postings of one block: lists one after the other, places rising in each."""
+
+    def __init__(self, ids: pa.Array):
+        self.ids, self.n = ids, len(ids)
+        self.codes: dict[str, int] = {}
+        self.lists: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, term: str, places: np.ndarray, weights: np.ndarray) -> None:
+        self.codes[term] = len(self.lists)
+        self.lists.append((places, weights))
+
+    def ready(self) -> None:
+        if self.lists is not None:
+            places, self.weight = (np.concatenate(c) for c in zip(*self.lists))
+            sizes = np.array([len(p) for p, _ in self.lists])
+            self.place, self.start, self.lists = places.astype(np.int64), np.r_[0, np.cumsum(sizes)], None
+            self.key = np.repeat(np.arange(len(sizes)), sizes) * self.n + self.place
+
+    def best(self, owner, code, idf, most, floor: np.ndarray, k: int):
+        """Best k passages of every query: (query, place, rounded score), and postings read by query.
+
+        An entry is a term of the query ``owner``; ``floor`` is what the k-th best is known to reach.
+        Passages below it may be missing.
+        """
+        self.ready()
+        m, n = len(floor), self.n
+        order = np.lexsort((-idf * most, owner))
+        owner, code, idf, gain = owner[order], code[order], idf[order], (idf * most)[order]
+        whole = np.bincount(owner, gain, m)
+        first = np.searchsorted(owner, np.arange(m + 1))
+        before = np.r_[0.0, np.cumsum(gain)]
+        ahead = whole[owner] - (before[:-1] - before[first[owner]])     # gain of this and all later terms
+        able = ahead >= floor[owner] - SLACK        # a passage first met here could still reach the floor
+        size = self.start[code + 1] - self.start[code]
+        read = np.bincount(owner, np.where(able, size, 0), m)
+        score, at = np.zeros(m * n), np.flatnonzero(able)
+        for piece in _pieces(size[at]):
+            e = at[piece]
+            slot = _spread(self.start[code[e]], size[e])
+            score += np.bincount(np.repeat(owner[e] * n, size[e]) + self.place[slot],
+                                 np.repeat(idf[e], size[e]) * self.weight[slot], m * n)
+        # passages met so far that the other terms can lift to the floor
+        split = first[:-1] + np.bincount(owner, able, m).astype(np.int64)
+        rest = np.where(split < first[1:], np.r_[ahead, 0.0][split], 0.0)
+        cell = np.flatnonzero(score.reshape(m, n) >= np.maximum(floor - SLACK - rest, 1e-300)[:, None])
+        query, total = cell // n, score[cell]
+        others = (first[1:] - split)[query]
+        for piece in _pieces(others):
+            entry = _spread(split[query[piece]], others[piece])
+            own = np.repeat(np.arange(piece.stop - piece.start), others[piece])
+            wanted = code[entry] * n + (cell[piece] % n)[own]
+            where = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+            hit = np.flatnonzero(self.key[where] == wanted)
+            total[piece] += np.bincount(own[hit], idf[entry[hit]] * self.weight[where[hit]], piece.stop - piece.start)
+            read += np.bincount(query[piece][own[hit]], minlength=m)
+        rounded = np.floor(total * 1000 + 0.5) / 1000
+        order = np.lexsort((cell, -rounded))
+        order = order[(rounded[order] > 0) & (rounded[order] >= floor[query[order]] - SLACK)]
+        order = order[np.argsort(query[order], kind="stable")]
+        order = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
+        return query[order], cell[order] % n, rounded[order], read
+
+
+def _lists(column: pa.ListArray):
+    """(offsets, values) of a list column."""
+    return column.offsets.to_numpy().astype(np.int64), column.values
 
 
 def _score_pairs(pairs: DataFrame, index: TextIndex, k: int, query_id: str, copies: int) -> DataFrame:
@@ -192,7 +272,8 @@ def _score_pairs(pairs: DataFrame, index: TextIndex, k: int, query_id: str, copi
 
     Postings that some pair needs and the pairs of a block go to one task and meet as streams:
     first the block, then its queries, of which the task holds a batch at a time. Past
-    ``QUERIES`` queries a block has copies. A pair without a find gives one row with a null hit.
+    ``QUERIES`` queries a block has copies. Every pair also gives a row without a hit, which counts the
+    postings read for it.
     """
     salt = F.pmod(F.xxhash64(query_id), F.lit(copies)).cast("int")
     asked = pairs.select("block", salt.alias("copy"), F.col(query_id).alias("query"), "terms", "floor")
@@ -209,29 +290,54 @@ def _score_pairs(pairs: DataFrame, index: TextIndex, k: int, query_id: str, copi
                         T.StructField("score", T.DoubleType()), T.StructField("read", T.LongType())])
     arrow = to_arrow_schema(out)
 
+    def answers(block: BlockPostings, batch, lo: int, hi: int, reached: dict):
+        """The finds of the queries in rows ``lo`` to ``hi`` of a batch, all of one block.
+
+        ``reached`` has the best k scores that earlier blocks of the task gave a query, for as many
+        queries as fit; the k-th is a floor for later blocks.
+        """
+        step = max(1, CELLS // max(1, block.n))
+        for at in range(lo, hi, step):
+            rows = batch.slice(at, min(step, hi - at))
+            ends, own = _lists(rows.column("terms"))
+            own = own.slice(ends[0], ends[-1] - ends[0])
+            code = np.array([block.codes[t] for t in own.field("term").to_pylist()], np.int64)
+            names = rows.column("query").to_pylist()
+            floor = np.maximum(rows.column("floor").to_numpy(zero_copy_only=False),
+                               [s[-1] if len(s := reached.get(str(q), ())) == k else 0.0 for q in names])
+            query, place, score, read = block.best(
+                np.repeat(np.arange(rows.num_rows), np.diff(ends)), code,
+                *(own.field(c).to_numpy(zero_copy_only=False) for c in ("idf", "most")), floor, k)
+            first = np.searchsorted(query, np.arange(rows.num_rows + 1))
+            for i, q in enumerate(map(str, names)):
+                if first[i] < first[i + 1] and (q in reached or len(reached) < REACHED):
+                    reached[q] = sorted([*reached.get(q, ()), *score[first[i]:first[i + 1]].tolist()], reverse=True)[:k]
+            # what was read stands in a row of its own
+            n = rows.num_rows
+            asked = rows.column("query")
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([asked.take(pa.array(query)), asked]),
+                 pa.concat_arrays([block.ids.take(pa.array(place)), pa.nulls(n, block.ids.type)]),
+                 pa.concat_arrays([pa.array(score), pa.nulls(n, pa.float64())]),
+                 pa.array(np.r_[np.zeros(len(query)), read].astype(np.int64))], schema=arrow)
+
     def run(batches):
-        here, ids, lists = None, None, {}
+        block, reached = None, {}
         for batch in batches:
-            keys = list(zip(batch.column("block").to_pylist(), batch.column("copy").to_pylist()))
-            kinds, terms = batch.column("kind").to_pylist(), batch.column("term")
-            found: list[tuple] = []
-            for row, (key, kind) in enumerate(zip(keys, kinds)):
-                if key != here:
-                    here, ids, lists = key, None, {}
-                if kind == 0:
-                    ids = batch.column("ids")[row].values
-                elif kind == 1:
-                    lists[terms[row].as_py()] = tuple(batch.column(c)[row].values.to_numpy(zero_copy_only=False)
-                                                      for c in ("at", "weights"))
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "copy", "kind")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            (ends, at), (_, weights) = _unpacked(batch.column("at"), np.int32), _unpacked(batch.column("weights"), np.float64)
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if keys[2, lo] == 0:        # a block's own row comes first
+                    block = BlockPostings(batch.column("ids")[lo].values)
+                elif keys[2, lo] == 1:
+                    for row, term in enumerate(batch.column("term").slice(lo, hi - lo).to_pylist(), lo):
+                        part = slice(ends[row], ends[row + 1])
+                        block.add(term, at[part], weights[part])
                 else:
-                    own = [(t["term"], t["idf"], t["most"]) for t in batch.column("terms")[row].as_py()]
-                    at, scores, read = score_block(lists, own, len(ids), k, batch.column("floor")[row].as_py())
-                    query = batch.column("query")[row].as_py()
-                    hits = ids.take(pa.array(at)).to_pylist() or [None]
-                    for i, hit in enumerate(hits):
-                        found.append((query, hit, float(scores[i]) if len(at) else None, read if i == 0 else 0))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), arrow)], schema=arrow)
+                    yield from answers(block, batch, lo, hi, reached)
 
     return stream.mapInArrow(run, out)
 
@@ -243,19 +349,9 @@ def _ranked(found: DataFrame, query_id: str, k: int) -> DataFrame:
 
 def _scored(queries: DataFrame, index: TextIndex, k: int, query_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(finds of every scored pair, all pairs with their bounds)."""
-    asked = materialise(queries.select(query_id, text), "queries")
-    copies = max(1, -(-asked.count() // QUERIES))
-    pairs = materialise(block_bounds(weighted_terms(asked, index, query_id, text), index, query_id), "bounds")
-    # the block of the highest bound first, the smaller number where bounds are equal
-    first = pairs.groupBy(query_id).agg(F.max_by("block", F.struct("bound", -F.col("block"))).alias("first"))
-    marked = pairs.join(first, query_id)
-    opening = materialise(_score_pairs(marked.filter("block = first").withColumn("floor", F.lit(0.0)),
-                                       index, k, query_id, copies), "opening")
-    floors = (_ranked(opening.filter("hit is not null"), query_id, k).filter(F.col("rank") == k)
-              .select(query_id, F.col("score").alias("kth")))
-    rest = (marked.filter("block <> first").join(floors, query_id, "left")
-            .withColumn("floor", F.coalesce("kth", F.lit(0.0))).filter(F.col("bound") >= F.col("floor") - SLACK))
-    return opening.unionByName(_score_pairs(rest, index, k, query_id, copies)), pairs
+    worth, pairs = block_bounds(queries, index, query_id, text, k)
+    most = pairs.groupBy("block").count().agg(F.max("count")).first()[0] or 0
+    return _score_pairs(worth, index, k, query_id, max(1, -(-most // QUERIES))), pairs
 
 
 def search(queries: DataFrame, index: TextIndex, k: int = bm25.TOP, query_id: str = "query_id",
@@ -265,24 +361,23 @@ def search(queries: DataFrame, index: TextIndex, k: int = bm25.TOP, query_id: st
     ``query_id`` is unique. The index alone is read. Queries without a known term find nothing.
     """
     found, _ = _scored(queries, index, k, query_id, text)
-    return _ranked(found.filter("hit is not null").select(query_id, F.col("hit").alias("hit"), "score"), query_id, k) \
-        .withColumnRenamed("hit", doc_order)
+    found = found.filter("hit is not null").select(query_id, "hit", "score")
+    return _ranked(found, query_id, k).withColumnRenamed("hit", doc_order)
 
 
 def search_effort(queries: DataFrame, index: TextIndex, k: int = bm25.TOP, query_id: str = "query_id",
                   text: str = "text") -> DataFrame:
-    """One row: pairs of query and block with a bound, those scored, postings of the queries' terms, those read."""
+    """One row: pairs of query and block, postings of the queries' terms, postings read for a score."""
     found, pairs = _scored(queries, index, k, query_id, text)
-    lists = index.table("postings").select("term", "block", F.size("at").alias("n"))
+    lists = index.table("postings").select("term", "block", "n")
     whole = pairs.select("block", F.explode("terms.term").alias("term")).join(lists, ["block", "term"])
-    return (pairs.agg(F.count("*").alias("pairs"))
-            .join(whole.agg(F.sum("n").alias("postings")))
-            .join(found.agg(F.sum("read").alias("postings_read"))))
+    read = found.agg(F.sum("read").alias("postings_read")).first()[0]
+    return whole.agg(F.sum("n").alias("postings")).withColumns(
+        {"pairs": F.lit(pairs.count()), "postings_read": F.lit(read)})
 
 
 # Passages that are held in memory by every task: rows, and tokens of all of them.
 HELD_ROWS, HELD_TOKENS = 65_536, 4_000_000
-CELLS = 4_000_000           # scores of messages by passages held at a time
 
 
 class HeldPassages:
@@ -324,13 +419,10 @@ class HeldPassages:
         owner = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(asked), 0).to_numpy(zero_copy_only=False))[known]
         code = code.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
         fan = self.start[code + 1] - self.start[code]
-        reach, score, lo = np.cumsum(fan), np.zeros(rows * self.n), 0
-        while lo < len(code):       # as many lists at a time as have CELLS postings, one at least
-            hi = max(lo + 1, int(np.searchsorted(reach, reach[lo] - fan[lo] + CELLS, "right")))
-            f = fan[lo:hi]
-            slot = np.repeat(self.start[code[lo:hi]] - (np.cumsum(f) - f), f) + np.arange(f.sum())
-            score += np.bincount(np.repeat(owner[lo:hi], f) * self.n + self.doc[slot], self.gain[slot], len(score))
-            lo = hi
+        score = np.zeros(rows * self.n)
+        for piece in _pieces(fan):
+            slot = _spread(self.start[code[piece]], fan[piece])
+            score += np.bincount(np.repeat(owner[piece] * self.n, fan[piece]) + self.doc[slot], self.gain[slot], len(score))
         score = np.floor(score * 1000 + 0.5).astype(np.int64).reshape(rows, self.n)
         # no two keys are equal: the score, then the earlier passage
         key = score * self.n + np.arange(self.n - 1, -1, -1)
