@@ -3,7 +3,8 @@
 A rotation of the principal axes is learned on a bounded sample so that signs become
 balanced binary codes. Codes are cut into substrings, one table each: vectors that agree
 in a substring meet in a bucket of that table; how many tables that takes is measured on
-sampled vectors moved to the threshold. Pairs of a bucket are reranked with the
+sampled vectors moved to the threshold. Of the pairs of a bucket, those whose whole codes are
+further apart than such vectors' codes are discarded. The others are reranked with the
 original vectors in double precision, so no pair below the threshold is linked.
 
 Equal vectors are one class and are never paired. A bucket larger than a block is cut into
@@ -28,6 +29,8 @@ SAMPLE = 8192           # rows the rotation is learned from, at most
 PROBES = 2048           # rows the tables are planned on, at most
 RECALL = 0.98           # share of pairs at the threshold that meet in some table
 MODELS = 16             # rotations that codes are taken from, at most
+LEAST_BITS = 4          # of a substring
+NEAR = 0.999            # share of pairs at the threshold that the distance of whole codes keeps
 BLOCK = 1024
 
 
@@ -75,9 +78,9 @@ def plan_tables(rows: int, sample: np.ndarray, probes: np.ndarray, cosine: float
     pair at the threshold depends on what the vectors have in common. It is measured: for
     every width of substrings, tables are taken until the wanted share of probes agrees in
     some table with its moved copy, for either way of moving. Of the widths, the one with the least
-    estimated work is taken. Substrings without bits are one table with a single bucket,
-    which misses nothing; they are left where vectors are few, or resemble each other so
-    much that no ``MODELS`` rotations bring the recall.
+    estimated work is taken, whatever the number of rows. Only where vectors resemble each other so
+    much that no ``MODELS`` rotations bring the recall, substrings without bits are left: one
+    table with a single bucket, which misses nothing.
     """
     dim = sample.shape[1]
     width = min(dim, 64)
@@ -86,8 +89,8 @@ def plan_tables(rows: int, sample: np.ndarray, probes: np.ndarray, cosine: float
     models: list = []
     agree: list[list[np.ndarray]] = []      # per model and kind of pair: probes x bits
     crowd: list[np.ndarray] = []
-    best = (_work(rows, 1, 1.0), 0, 1)
-    for bits in range(1, widest + 1):
+    best = (math.inf, 0, 1)
+    for bits in range(min(LEAST_BITS, width), widest + 1):
         met = [np.zeros(len(probes), bool) for _ in pairs]
         tables, shared = 0, []
         for m in range(MODELS):
@@ -138,6 +141,25 @@ def substrings(vectors: np.ndarray, models: list[tuple[np.ndarray, np.ndarray]],
     return out
 
 
+def whole_codes(vectors: np.ndarray, models: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The code of the first rotation, up to 64 bits, as one number; zero without a rotation."""
+    if not models:
+        return np.zeros(len(vectors), np.uint64)
+    mean, projection = models[0]
+    signs = (vectors - mean) @ projection >= 0
+    return np.bitwise_or.reduce(signs.astype(np.uint64) << np.arange(signs.shape[1], dtype=np.uint64), axis=1)
+
+
+def code_radius(probes: np.ndarray, models: list[tuple[np.ndarray, np.ndarray]], cosine: float,
+                near: float = NEAR) -> int:
+    """Distance of whole codes within which the share ``near`` of pairs at the threshold lies.
+
+    Measured on probes and their moved copies, for the way of moving that parts codes more.
+    """
+    apart = [np.bitwise_count(whole_codes(a, models) ^ whole_codes(b, models)) for a, b in moved_pairs(probes, cosine, 1)]
+    return max(int(np.quantile(d, near, method="higher")) for d in apart)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column padded with zeros to the same length."""
     sizes = np.asarray(pc.list_value_length(column), dtype=np.int64)
@@ -166,17 +188,23 @@ def _labels(adjacent: np.ndarray) -> np.ndarray:
         label = after
 
 
-def _block_links(node: np.ndarray, side: np.ndarray, vectors: np.ndarray, codes: np.ndarray,
-                 weight: np.ndarray, table: int, cosine: float):
+def _block_links(node: np.ndarray, side: np.ndarray, vectors: np.ndarray, codes: np.ndarray, whole: np.ndarray,
+                 weight: np.ndarray, table: int, cosine: float, radius: int):
     """Links of one bucket, or of two blocks of one.
 
-    ``side`` is 0 and 1 for two blocks, whose own pairs belong to other tasks. Returns
-    link counts of rows and (row, smallest row linked in this task).
+    ``side`` is 0 and 1 for two blocks, whose own pairs belong to other tasks. Pairs whose ``whole``
+    codes differ in more than ``radius`` bits are not looked at. Returns link counts of rows
+    and (row, smallest row linked in this task).
     """
-    close = (vectors @ vectors.T) >= cosine
+    near = np.bitwise_count(whole[:, None] ^ whole[None, :]) <= radius
     if side.any():
-        close &= side[:, None] != side[None, :]
-    np.fill_diagonal(close, False)
+        near &= side[:, None] != side[None, :]
+    a, b = np.nonzero(np.triu(near, 1))
+    close = np.zeros((len(node), len(node)), bool)
+    for at in range(0, len(a), 1 << 16):
+        i, j = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
+        close[i, j] = np.einsum("ij,ij->i", vectors[i], vectors[j]) >= cosine
+    close |= close.T
     if not close.any():
         return None
     first = close.copy()
@@ -237,6 +265,7 @@ def _class_links(spark, classes: DataFrame, total: int, cosine: float, sample: i
     dim = max(data.shape[1], classes.agg(F.max(F.size("v"))).first()[0])
     data = _unit(np.pad(data, ((0, 0), (0, dim - data.shape[1]))))
     bits, tables, models = plan_tables(total, data[:sample], data[-PROBES:], cosine)
+    radius = code_radius(data[-PROBES:], models, cosine)
     models = spark.sparkContext.broadcast(models)       # dim x 64 numbers each
 
     def encode(batches):
@@ -246,11 +275,12 @@ def _class_links(spark, classes: DataFrame, total: int, cosine: float, sample: i
             codes = substrings(matrix, models.value, bits, tables)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("node", "weight", "v")),
-                 pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel(), pa.int32()), tables).cast(pa.list_(pa.int32()))],
-                names=["node", "weight", "v", "codes"])
+                 pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel(), pa.int32()), tables).cast(pa.list_(pa.int32())),
+                 pa.array(whole_codes(matrix, models.value).view(np.int64))],
+                names=["node", "weight", "v", "codes", "whole"])
 
     coded = stored(classes.select("node", "weight", "v")
-                   .mapInArrow(encode, f"node long, weight long, v {_type(classes)}, codes array<int>"), "codes")
+                   .mapInArrow(encode, f"node long, weight long, v {_type(classes)}, codes array<int>, whole long"), "codes")
     keys = coded.select("node", F.posexplode("codes").alias("t", "code"))
     # stored, so that the join shuffles both sides and a hot bucket can be split
     crowded = checkpoint(keys.groupBy("t", "code").agg(F.count("*").alias("n")).filter("n > 1")
@@ -264,7 +294,7 @@ def _class_links(spark, classes: DataFrame, total: int, cosine: float, sample: i
                    (F.col("b") > F.col("other")).cast("int").alias("side")))
     group = ["t", "code", "b1", "b2"]
     met = met.join(coded, "node").repartition(*group).sortWithinPartitions(*group)
-    kept = [*group, "side", "node", "weight", "v", "codes"]
+    kept = [*group, "side", "node", "weight", "v", "codes", "whole"]
 
     def link(batches):
         held = None
@@ -285,13 +315,16 @@ def _class_links(spark, classes: DataFrame, total: int, cosine: float, sample: i
         vectors = _matrix(table.column("v").chunk(0))
         vectors = _unit(np.pad(vectors, ((0, 0), (0, dim - vectors.shape[1]))))
         codes = table.column("codes").chunk(0).flatten().to_numpy().reshape(-1, tables)
-        node, side, weight, t, b1, b2 = (table.column(c).to_numpy() for c in ("node", "side", "weight", "t", "b1", "b2"))
+        node, side, weight, t, b1, b2, whole = (table.column(c).to_numpy() for c in (
+            "node", "side", "weight", "t", "b1", "b2", "whole"))
+        whole = whole.view(np.uint64)       # signed numbers would be counted without their sign
         out = [[], [], []]
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             if hi - lo < 2:
                 continue
             s = side[lo:hi] if b1[lo] != b2[lo] else np.zeros(hi - lo, np.int64)
-            got = _block_links(node[lo:hi], s, vectors[lo:hi], codes[lo:hi], weight[lo:hi], int(t[lo]), cosine)
+            got = _block_links(node[lo:hi], s, vectors[lo:hi], codes[lo:hi], whole[lo:hi], weight[lo:hi], int(t[lo]),
+                               cosine, radius)
             if got is not None:
                 counts, label = got
                 at = np.flatnonzero((counts > 0) | (label != np.arange(hi - lo)))

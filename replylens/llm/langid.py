@@ -8,12 +8,12 @@ prediction is one pass without a shuffle.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ FAMILIES: Mapping[str, str] = {
 UNKNOWN = "und"
 BUCKETS = 4096          # trigram buckets
 PER_LANGUAGE = 500      # labelled rows of a language that are learned from, at most
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 # ASCII bytes that are no letters become spaces; letters were lower-cased before
 _PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

@@ -18,6 +18,7 @@ document always add up to its tokens.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -28,6 +29,9 @@ from replylens.llm.common import pieces_of
 
 # Fixed value: how byte-level vocabularies of this kind split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the characters that \\s stands for in it.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANK = 10_000     # blanks in a row that are no longer left to the pattern
 _ENCODERS: dict = {}
 
 
@@ -37,13 +41,28 @@ class ByteEncoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.blank = re.compile(f"[{BLANKS}]{{{LONG_BLANK},}}")
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
 
+    def ids(self, text: str) -> list[int]:
+        """Ids of the whole text.
+
+        The pattern cannot take blanks in a row by the million. It makes all but the last of
+        them one piece, or all of them at the end of a text, so that piece is cut out here.
+        """
+        found, at = [], 0
+        for run in self.blank.finditer(text) if len(text) >= LONG_BLANK else ():
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            found += self.encoding.encode_ordinary(text[at:run.start()])
+            found += self.encoding._encode_single_piece(text[run.start():end])
+            at = end
+        return found + self.encoding.encode_ordinary(text[at:] if at else text)
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first characters, ends): a token covers the characters its bytes touch."""
-        ids = np.array(self.encoding.encode_ordinary(text), dtype=np.int64)
+        ids = np.array(self.ids(text), dtype=np.int64)
         ends = np.cumsum(self.lengths[ids])
         starts = ends - self.lengths[ids]
         if text.isascii():

@@ -17,6 +17,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,6 +29,7 @@ from replylens.session import scratch_path
 
 CHUNK = 1 << 16
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_NULL = "\0"            # stands for a null id in record URIs
 _NAMESPACE = uuid.UUID("6f6b1a52-3a0c-4d58-9a53-3f3c7a0d9d10")
 
 
@@ -56,15 +58,21 @@ def record_types(pages: DataFrame, min_bytes: int) -> DataFrame:
             .select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct())
 
 
-def _header(kind: str, page: str, url: str, size: int, digest: str, refers: str | None,
+def _named(page: str) -> str:
+    """An id as a header value: what is no ASCII letter, digit or ``-._~`` is percent-encoded."""
+    return quote(page, safe="", errors="surrogatepass")
+
+
+def _header(kind: str, page: str | None, url: str, size: int, digest: str, refers: str | None,
             length: int) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_uri(page)}",
-             f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Page-ID: {page}",
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_uri(_NULL if page is None else page)}",
+             f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z",
+             *([] if page is None else [f"WARC-Page-ID: {_named(page)}"]),
              f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {size}",
              "Content-Type: application/http; msgtype=response"]
     if refers is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                  f"WARC-Refers-To: {record_uri(refers)}", f"WARC-Refers-To-Page-ID: {refers}"]
+                  f"WARC-Refers-To: {record_uri(refers)}", f"WARC-Refers-To-Page-ID: {_named(refers)}"]
     lines.append(f"Content-Length: {length}")
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n"
 
@@ -74,7 +82,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, chunk:
 
     Returns the committed table of archives (path, records, bytes). A null html is an
     empty payload, a null url an empty one. Rows that share id and html are written as
-    often as they stand, each of the same type. Line breaks in a url are dropped.
+    often as they stand, each of the same type. Line breaks in a url are dropped. Ids are
+    percent-encoded in the headers, so any text comes back as it was; a null id has no header.
     """
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"),
                          F.coalesce("html", F.lit("")).alias("html"))
@@ -100,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, chunk:
                 payload = memoryview(html.as_buffer())
                 revisits = revisit.as_py()
                 page = page.as_py()
-                head = _header("revisit" if revisits else "response", "" if page is None else page,
+                head = _header("revisit" if revisits else "response", page,
                                url.as_py().replace("\r", "").replace("\n", ""), len(payload), digest.as_py(),
                                refers.as_py() if revisits else None,
                                len(_HTTP) + (0 if revisits else len(payload)))
@@ -173,8 +182,9 @@ def read_records(source, chunk: int = CHUNK) -> Iterator[tuple]:
         while (line := stream.line()) not in (b"\r", b""):      # the HTTP header
             taken += len(line) + 2
         left -= taken + 2
-        about = (head["warc-page-id"], head["warc-target-uri"], head["warc-type"],
-                 head.get("warc-refers-to-page-id"), int(head["warc-payload-length"]))
+        page, refers = (None if (id_ := head.get(h)) is None else unquote(id_, errors="surrogatepass")
+                        for h in ("warc-page-id", "warc-refers-to-page-id"))
+        about = (page, head["warc-target-uri"], head["warc-type"], refers, int(head["warc-payload-length"]))
         if head["warc-type"] == "revisit" or not left:
             named = head["warc-payload-digest"].removeprefix("sha1:")
             yield (*about, 0, True, b"", named if head["warc-type"] == "revisit" else hashlib.sha1().hexdigest())
@@ -246,10 +256,9 @@ def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 100
     rows = read_archives(spark, folder, archives, chunk, with_data=False)
     # the last chunk of a record carries the whole digest; chunk n starts at n times the size
     whole = rows.filter("last")
-    page = F.when(F.col("page") != "", F.col("page")).cast(kind)
     stored_bytes = F.when(F.col("record_type") == "revisit", F.col("payload_length")).otherwise(
         F.col("chunk").cast("long") * chunk + F.col("n_bytes"))
-    return whole.select(page.alias("page_id"), stored_bytes.alias("payload_bytes"),
+    return whole.select(F.col("page").cast(kind).alias("page_id"), stored_bytes.alias("payload_bytes"),
                         F.col("digest").alias("payload_digest"), "record_type",
                         F.col("refers_to").cast(kind).alias("refers_to"))
 

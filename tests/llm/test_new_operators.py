@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from replylens.llm import quality, queries, resample, whitening
+from replylens.llm import common, itq, langid, quality, queries, resample, tokencount, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string"
@@ -273,3 +273,70 @@ def test_resampling_of_awkward_rows(spark):
     assert sorted(got, key=ORDER) == sorted(slow_resample(rows, ["c d e", None], percent=60), key=ORDER)
     assert [r["rank"] for r in resample.resample(docs, items.limit(0), percent=0).collect()] == [None] * 8
     assert resample.resample(docs.limit(0), items).collect() == []
+
+
+# ---- 5, 6, 7, 10: cases mended since
+
+def test_any_text_is_an_id_of_an_archive(spark):
+    """Empty, blank and null ids, line ends and percent signs come back as they were."""
+    ids = ["", " s ", "a\nb", "a\r\nb: c", "%41", "é中", None, "plain", "\x00"]
+    rows = [(i, "http://x", f"page {n}") for n, i in enumerate(ids)] + [(" t ", None, "same " * 300), ("u\n", None, "same " * 300)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted((r["page_id"] for r in got), key=repr) == sorted((r[0] for r in rows), key=repr)
+    revisit = [r for r in got if r["record_type"] == "revisit"]
+    assert [(r["page_id"], r["refers_to"]) for r in revisit] == [(" t ", "u\n")]
+
+
+def test_number_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² ①", "en"), (2, "a ½", "en"), (4, "ein satz", "de")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert got[1] == "und" and got[2] != "und"
+
+
+@pytest.mark.parametrize("kind", ["blanks", "line ends", "mixed"])
+def test_blanks_by_the_million_have_the_ids_of_fewer(kind):
+    encoder = tokencount.encoder(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    unit = {"blanks": " ", "line ends": "\n", "mixed": " \n\t\xa0\u3000"}[kind]
+    for n in (9_999, 10_000, 30_001):
+        run = (unit * n)[:n]
+        for text in (run, "a" + run, run + "b", "x" + run + "y 12" + run + ".", "a " + run + "'s"):
+            assert encoder.ids(text) == encoder.encoding.encode_ordinary(text)
+    text = "a" + (unit * 2_000_000)[:2_000_000] + "b"
+    _, starts, ends = encoder.spans(text)
+    assert starts[0] == 0 and ends[-1] == len(text)
+
+
+def planted_vectors(rows, seed=3, shared=0.0):
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((rows, 64)) + shared
+    near = base[rng.integers(0, rows, rows // 4)] + rng.standard_normal((rows // 4, 64)) * 0.3
+    return np.vstack([base, near])
+
+
+@pytest.mark.parametrize("rows,shared", [(400, 0.0), (6400, 0.0), (6400, 0.4)])
+def test_links_come_through_codes(spark, monkeypatch, rows, shared):
+    """Codes with bits and several tables at every size; recall and components against brute force."""
+    plans, plan = [], itq.plan_tables
+    monkeypatch.setattr(itq, "plan_tables", lambda *a, **k: plans.append(plan(*a, **k)) or plans[-1])
+    data = planted_vectors(rows, shared=shared)
+    unit = data / np.linalg.norm(data, axis=1)[:, None]
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = itq.link_vectors(table).orderBy("vec_id").toPandas()
+    bits, tables, models = plans[0]
+    assert bits >= itq.LEAST_BITS and tables > 1 and models
+    print("recall", got.n_links.sum() / close.sum(), "bits", bits, "tables", tables)
+    assert (got.n_links <= close.sum(axis=1)).all() and got.n_links.sum() >= 0.95 * close.sum()
+    if got.n_links.sum() == close.sum():
+        label = np.arange(len(data))
+        for _ in range(30):
+            label = np.minimum(label, np.where(close, label[None, :], len(data)).min(axis=1))
+        assert got.component_id.tolist() == label.tolist()
+
+
+def test_given_tables_are_coded(spark, monkeypatch):
+    plans, plan = [], itq.plan_tables
+    monkeypatch.setattr(itq, "plan_tables", lambda *a, **k: plans.append(plan(*a, **k)) or plans[-1])
+    itq.link_vectors(common.table(spark, "/root/testdata/sf0.01", "embeddings")).count()
+    assert plans[0][0] >= itq.LEAST_BITS and plans[0][1] > 1
