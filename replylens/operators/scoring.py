@@ -1,22 +1,14 @@
-"""Batch scoring with a pluggable scorer, the built-in text classifier, and baselines."""
+"""Batch scoring with a pluggable scorer, text vectors, and baselines."""
 
 from __future__ import annotations
 
 import time
-import unicodedata
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, IndexToString, NGram, Normalizer,
-                                RegexTokenizer, SQLTransformer, StringIndexer)
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.ml.param.shared import HasInputCols, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +16,7 @@ from pyspark.sql import types as T
 from replylens.functions import policy as po
 from replylens.functions import text as tx
 from replylens.functions import vectors as vx
-from replylens.operators.joins import only_split, work_remaining
+from replylens.operators.joins import work_remaining
 from replylens.sources import stores
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -107,106 +99,6 @@ def judged(scored: DataFrame) -> DataFrame:
     return scored.withColumn("acceptable", F.when(F.col("error").isNull(), ok))
 
 
-# ---- text classifier ------------------------------------------------------------------
-
-def accent_map() -> tuple[str, str]:
-    """Letters of the European blocks and what is left of each without its marks."""
-    pairs = []
-    for start, end in ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)):
-        for code in range(start, end):
-            base = "".join(c for c in unicodedata.normalize("NFKD", chr(code))
-                           if not unicodedata.combining(c))
-            if len(base) == 1 and base != chr(code) and base not in "'\\ ":
-                pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-@F.udf(VectorUDT())
-def _sublinear(counts, scaled):
-    # scaled = count * idf on the same indices, so the inverse document frequency is
-    # scaled / count.
-    n = counts.values
-    return SparseVector(counts.size, counts.indices,
-                        (1 + np.log(n)) * (scaled.values / n + 1))
-
-
-class SublinearTfIdf(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable,
-                     DefaultParamsWritable):
-    """(counts, counts x idf) -> (1 + ln tf) x (idf + 1)."""
-
-    @keyword_only
-    def __init__(self, inputCols=None, outputCol=None):
-        super().__init__()
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        counts, scaled = self.getInputCols()
-        return dataset.withColumn(self.getOutputCol(), _sublinear(F.col(counts), F.col(scaled)))
-
-
-def fit_text_classifier(labelled: DataFrame, split: str = "dev", label: str = "label",
-                        text: str = "text", min_df: float = 1.0, max_rows: int = 20_000,
-                        max_iter: int = 2000, tol: float = 1e-4) -> PipelineModel:
-    """M2: word 1- and 2-grams, sublinear tf, smooth idf, class-balanced multinomial fit.
-
-    Reads one split only; a row of another split fails the job. About ``max_rows`` labelled
-    rows are learned from at most, drawn by a hash of the text; that bounds the vocabulary,
-    of which nothing is cut, and what the driver holds.
-    """
-    train = only_split(labelled, split).filter(F.col(label).isNotNull()).select(
-        F.col(text).alias("text"), F.col(label).alias("label"))
-    share = F.least(F.lit(1.0), F.lit(max_rows) / train.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).first()[0])
-    train = train.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("n_c")).collect()
-    if len(counts) < 2:
-        raise ValueError("fewer than two classes to learn")
-    n = sum(r["n_c"] for r in counts)
-    weight = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(
-        n / (len(counts) * r["n_c"]))) for r in counts])
-    marked, plain = accent_map()
-    fold = SQLTransformer(statement=(
-        "SELECT *, regexp_replace(translate(text, '" + marked + "', '" + plain
-        + "'), '\\\\p{Mn}', '') AS _plain FROM __THIS__"))
-    index = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc").fit(
-        train)
-    words = PipelineModel([
-        fold,
-        RegexTokenizer(inputCol="_plain", outputCol="_uni", pattern=r"(?U)\b\w\w+\b", gaps=False,
-                       toLowercase=True),
-        NGram(n=2, inputCol="_uni", outputCol="_bi"),
-        SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _grams FROM __THIS__"),
-    ])
-    count = CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=min_df,
-                            vocabSize=(1 << 31) - 1)
-    weigh = [SublinearTfIdf(inputCols=["_tf", "_scaled"], outputCol="_weighted"),
-             Normalizer(inputCol="_weighted", outputCol="_features", p=2.0)]
-    learn = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight",
-                               family="multinomial", regParam=1.0 / n, elasticNetParam=0.0,
-                               standardization=False, maxIter=max_iter, tol=tol,
-                               predictionCol="_prediction", probabilityCol="_probability",
-                               rawPredictionCol="_raw")
-    name = IndexToString(inputCol="_prediction", outputCol="pred", labels=index.labels)
-    # Three fits read the word lists, so those are kept; a lost block is computed again.
-    grams = words.transform(index.transform(train).withColumn("_weight", weight)).select(
-        "_label", "_weight", "_grams").persist()
-    try:
-        counter = count.fit(grams)
-        tf = counter.transform(grams)
-        idf = IDF(inputCol="_tf", outputCol="_scaled").fit(tf)
-        features = PipelineModel(weigh).transform(idf.transform(tf))
-        classifier = learn.fit(features.select("_label", "_weight", "_features"))
-    finally:
-        grams.unpersist()
-    return PipelineModel([*words.stages, counter, idf, *weigh, classifier, name])
-
-
-def classify_text(model: PipelineModel, items: DataFrame) -> DataFrame:
-    """M2: items with ``pred`` and its probability as ``confidence``."""
-    scored = model.transform(items)
-    return scored.select(*items.columns, "pred", F.array_max(
-        vector_to_array("_probability")).alias("confidence"))
-
-
 # ---- text vectors ---------------------------------------------------------------------
 
 def encode_text(items: DataFrame, encoder: Callable[[pd.Series], list], text: str = "text",

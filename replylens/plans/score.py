@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from replylens.operators import gramclassifier as gc
 from replylens.operators import joins as jn
 from replylens.operators import metrics as me
 from replylens.operators import retrieval as rt
@@ -74,19 +75,48 @@ def _labelled(spark, sf):
 @query("M2_text_classifier")
 def text_classifier(spark, sf):
     items = _labelled(spark, sf)
-    model = sc.fit_text_classifier(jn.of_split(items, "dev"), min_df=2.0, max_iter=50)
-    scored = sc.classify_text(model, jn.of_split(items, "test"))
+    model = gc.fit_text_classifier(jn.of_split(items, "dev"), min_df=2.0)
+    scored = gc.classify_text(model, jn.of_split(items, "test"))
     return scored.select("id", "label", "pred", F.round("confidence", 3).alias("confidence"))
 
 
+@query("M2_class_mass", f"""
+with {b.ANSWER_KEY}, dev as (select gold as label from answer_key where split = 'dev')
+select label, round(sum(count(*)) over () / count(*) over ()::double, 2) as mass from dev group by label""")
+def class_mass(spark, sf):
+    """At the best fit the probabilities of a class over the training rows, each row weighted as in
+    the fit, add up to the weight of the class itself, which is the same for all classes."""
+    dev = jn.of_split(_labelled(spark, sf), "dev")
+    model = gc.fit_text_classifier(dev, min_df=2.0, tol=1e-7)
+    names = F.array(*[F.lit(x) for x in model.about()["labels"]])
+    sizes = dev.groupBy("label").agg(F.count("*").alias("n"))
+    whole = sizes.agg((F.sum("n") / F.count("*")).alias("even")).scalar()
+    scored = gc.classify_text(model, dev).join(F.broadcast(sizes), "label")
+    each = F.explode(F.arrays_zip(names.alias("label"), F.col("probabilities").alias("p"))).alias("e")
+    return (scored.select((whole / F.col("n")).alias("weight"), each)
+            .groupBy(F.col("e.label").alias("label")).agg(F.round(F.sum(F.col("weight") * F.col("e.p")), 2).alias("mass")))
+
+
 @query("IO9_model_store")
-def _(spark, sf):
+def model_store(spark, sf):
+    items = _labelled(spark, sf)
+    path = scratch_path(spark, "model")
+    gc.load_or_fit_classifier(spark, path, lambda at: gc.fit_text_classifier(jn.of_split(items, "dev"), min_df=5.0, path=at))
+    model = gc.load_or_fit_classifier(spark, path, lambda at: None)
+    return gc.classify_text(model, jn.of_split(items, "test")).select("id", "label", "pred")
+
+
+@query("IO9_stored_idf", f"""
+with {b.ANSWER_KEY}, dev as (select id, text, count(*) over () as n from answer_key where split = 'dev'),
+w as (select distinct id, n, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{Nd}}_]{{2,}}')) as gram from dev)
+select gram, round(ln((1 + max(n)) / (1 + count(*))::double) + 1, 6) as idf from w group by gram having count(*) >= 5""")
+def stored_idf(spark, sf):
+    """The words of a stored model, read back, with their inverse document frequencies."""
     items = _labelled(spark, sf)
     path = scratch_path(spark, "model")
-    stores.load_or_fit(path, lambda: sc.fit_text_classifier(
-        jn.of_split(items, "dev"), min_df=5.0))
-    model = stores.load_or_fit(path, lambda: None)
-    return sc.classify_text(model, jn.of_split(items, "test")).select("id", "label", "pred")
+    gc.fit_text_classifier(jn.of_split(items, "dev"), min_df=5.0, path=path)
+    model = gc.load_or_fit_classifier(spark, path, lambda at: None)
+    return model.grams().filter("not contains(gram, ' ')").select("gram", F.round("idf", 6).alias("idf"))
 
 
 @query("M3_hashed_vectors")

@@ -1,9 +1,8 @@
-"""Writing: pairs, JSON lines, the result store, the vector index and fitted models."""
+"""Writing: pairs, JSON lines, the result store and the vector index."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -77,20 +76,3 @@ def write_index(index: DataFrame, path: str, vector: str = "vector") -> None:
 def read_index(spark: SparkSession, path: str, vector: str = "vector") -> DataFrame:
     """IO8: checked again on load."""
     return unit_checked(spark.read.parquet(path), vector)
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    """IO9."""
-    model.write().overwrite().save(path)
-
-
-def load_or_fit(path: str, fit) -> PipelineModel:
-    """IO9: the stored model, or a newly fitted and stored one."""
-    try:
-        return PipelineModel.load(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-    model = fit()
-    save_model(model, path)
-    return model

@@ -1,10 +1,12 @@
 import math
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from replylens.operators import gramclassifier as gc
 from replylens.operators import joins as jn
 from replylens.operators import metrics as me
 from replylens.operators import scoring as sc
@@ -54,10 +56,10 @@ def rows_of(spark, rows):
 def test_fitting_refuses_other_splits(spark):
     df = rows_of(spark, [("1", "a b", "x", "dev"), ("2", "c d", "y", "test")])
     with pytest.raises(Exception, match="expected only dev rows"):
-        sc.fit_text_classifier(df)
+        gc.fit_text_classifier(df)
     one = rows_of(spark, [("1", "a b", "x", "dev")])
     with pytest.raises(ValueError):
-        sc.fit_text_classifier(one)
+        gc.fit_text_classifier(one)
 
 
 def test_majority_reads_the_split_it_is_given(spark):
@@ -71,25 +73,81 @@ def test_classifier_features_and_predictions(spark):
     rows += [(f"b{i}", "the song skips again", "playback", "dev") for i in range(12)]
     rows += [("t1", "refund the chärge", "billing", "test"), ("t2", "song skips", "playback", "test")]
     df = rows_of(spark, rows)
-    model = sc.fit_text_classifier(jn.of_split(df, "dev"))
+    model = gc.fit_text_classifier(jn.of_split(df, "dev"))
     test = jn.of_split(df, "test")
-    got = {r["id"]: r for r in sc.classify_text(model, test).collect()}
+    got = {r["id"]: r for r in gc.classify_text(model, test).collect()}
     assert got["t1"]["pred"] == "billing" and got["t2"]["pred"] == "playback"
     assert got["t1"]["confidence"] > 0.5
     # Weight of "refund": once in 4 of 16 texts; of "the": once in all of them.
-    f = model.transform(test.filter("id = 't1'")).first()
-    vocabulary = model.stages[4].vocabulary
-    weight = {vocabulary[i]: v for i, v in zip(f["_weighted"].indices, f["_weighted"].values)}
-    assert weight["refund"] == pytest.approx(math.log(17 / 5) + 1)
-    assert weight["the charge"] == pytest.approx(math.log(17 / 5) + 1)
-    assert weight["the"] == pytest.approx(1.0)
-    assert "the" in vocabulary and "refund the" in vocabulary
+    idf = {r["gram"]: r["idf"] for r in model.grams().collect()}
+    assert idf["refund"] == idf["the charge"] == pytest.approx(math.log(17 / 5) + 1)
+    assert idf["the"] == pytest.approx(1.0) and "refund the" in idf and "refund charge" not in idf
 
-    path = scratch_path(spark, "model")
-    stores.load_or_fit(path, lambda: model)
-    again = stores.load_or_fit(path, lambda: pytest.fail("should be loaded"))
-    assert {r["id"]: r["pred"] for r in sc.classify_text(again, test).collect()} == \
+    again = gc.load_or_fit_classifier(spark, model.path, lambda at: pytest.fail("should be loaded"))
+    assert {r["id"]: r["pred"] for r in gc.classify_text(again, test).collect()} == \
         {k: r["pred"] for k, r in got.items()}
+    path = scratch_path(spark, "model")
+    assert gc.load_or_fit_classifier(spark, path, lambda at: gc.fit_text_classifier(jn.of_split(df, "dev"), path=at)).path == path
+
+
+def dense_fit(x, labels, weights, classes):
+    """The same objective by full Newton steps on dense weights and intercepts."""
+    n, d = x.shape
+    z = np.hstack([x, np.ones((n, 1))])
+    w, target, ridge = np.zeros((d + 1, classes)), np.eye(classes)[labels], np.r_[np.ones(d), 1e-9][:, None]
+    for _ in range(60):
+        m = z @ w
+        p = np.exp(m - m.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        g = z.T @ (weights[:, None] * (p - target)) + np.r_[np.ones(d), 0.0][:, None] * w
+        h = np.einsum("ni,nk,kl,nj->ikjl", z, weights[:, None] * p, np.eye(classes), z) - np.einsum(
+            "ni,nk,nl,nj->ikjl", z, weights[:, None] * p, p, z)
+        h = h.reshape((d + 1) * classes, -1) + np.diag(np.repeat(ridge[:, 0], classes))
+        w -= np.linalg.solve(h, g.ravel()).reshape(w.shape)
+    return w
+
+
+def test_newton_equals_a_dense_fit():
+    rng = np.random.default_rng(1)
+    for classes in (2, 3):
+        x = rng.standard_normal((40, 5))
+        x[3] = 0
+        labels, weights = rng.integers(0, classes, 40), rng.random(40) * 5
+        a, b, gradient, _ = gc.newton(lambda s: x @ (x.T @ s), labels, weights, classes, tol=1e-7)
+        want = dense_fit(x, labels, weights, classes)
+        assert gradient <= 1e-7 and np.allclose(x.T @ a, want[:-1], atol=1e-6)
+        assert np.allclose(b - b.mean(), want[-1] - want[-1].mean(), atol=1e-6)
+
+
+def test_repeated_texts_count_as_often_as_they_stand(spark):
+    rows = [(f"{i}", t, l, "dev") for i, (t, l) in enumerate(
+        [("good fine day", "x")] * 30 + [("bad grey day", "y")] * 3 + [("good grey day", "y")] * 2 + [(None, "x"), ("", "y")])]
+    df = rows_of(spark, rows)
+    model = gc.fit_text_classifier(df.repartition(5), tol=1e-7)
+    texts = sorted({(t or "", l) for _, t, l, _ in rows})
+    grams = {g["gram"]: g for g in model.grams().collect()}
+    assert grams["day"]["idf"] == pytest.approx(math.log(38 / 36) + 1)
+    names = sorted(grams)
+    x, labels, weights = [], [], []
+    for text, label in texts:
+        words = text.split()
+        v = np.zeros(len(names))
+        for g in words + [f"{p} {q}" for p, q in zip(words, words[1:])]:
+            v[names.index(g)] = grams[g]["idf"]
+        x.append(v / max(np.linalg.norm(v), 1e-300))
+        labels.append("xy".index(label))
+        n = sum(l == label for _, _, l, _ in rows)
+        weights.append(sum((t or "") == text and l == label for _, t, l, _ in rows) * len(rows) / (2 * n))
+    want = dense_fit(np.array(x), np.array(labels), np.array(weights), 2)
+    got = np.array([grams[g]["weights"] for g in names])
+    assert np.allclose(got, want[:-1], atol=1e-5) and model.about()["gradient"] <= 1e-7
+    assert gc.classify_text(model, df.limit(0)).count() == 0
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(f"{i}", f"text word{i}", "ab"[i % 2], "dev") for i in range(400)] + [("r", "the same", "a", "dev")] * 300
+    model = gc.fit_text_classifier(rows_of(spark, rows), max_rows=100)
+    assert 100 < model.grams().count() < 400
 
 
 def test_encoder_vectors_have_unit_length(spark):
