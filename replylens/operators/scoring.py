@@ -76,12 +76,14 @@ def score_batches(items: DataFrame, scorer: Scorer, fields: T.StructType | str,
 
 
 def score_remaining(items: DataFrame, path: str, config: str, run_ts: int, scorer: Scorer,
-                    fields: T.StructType | str) -> None:
+                    fields: T.StructType | str, halve: bool = True) -> None:
     """J3, M1, IO6: score what earlier runs of ``config`` have not finished, and store it.
 
     Only items without a stored result are scored, so a lost job or a failed row costs its
     own calls again and no others. A run repeated under its own number replaces itself:
-    its earlier attempts do not count as done.
+    its earlier attempts do not count as done. A row at which the scorer raises fails alone: its batch is
+    halved until the others have their results; without ``halve`` the batch would fail as one,
+    in every later run again.
     """
     spark = items.sparkSession
     kinds = T.StructType([*score_batches(items, scorer, fields).schema.fields,
@@ -89,7 +91,7 @@ def score_remaining(items: DataFrame, path: str, config: str, run_ts: int, score
                           T.StructField("run_ts", T.LongType())])
     others = stores.attempts(spark, path, kinds).filter(
         (F.col("config") == config) & (F.col("run_ts") != run_ts))
-    scored = score_batches(work_remaining(items, others), scorer, fields)
+    scored = score_batches(work_remaining(items, others), scorer, fields, halve)
     stores.append_results(scored.withColumn("config", F.lit(config)), path, run_ts)
 
 

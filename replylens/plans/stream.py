@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from replylens.functions import policy as po
 from replylens.operators import admission as ad
 from replylens.plans import bindings as b
-from replylens.plans.textual import SQL_REDACT
-from replylens.plans.registry import query, table
+from replylens.plans import decide  # noqa: F401  (its SQL is registered before it is used here)
+from replylens.plans.registry import SQL, query, table
 from replylens.session import scratch_path
 from replylens.streaming import triage as tg
+from replylens.streaming import turns as tn
 from replylens.streaming import usage as us
 
 
@@ -26,20 +26,34 @@ def _run(spark, df, name, **kw):
     return spark.read.schema(df.schema).parquet(path)
 
 
-@query("ST1_stream_triage", f"""
-with v as (select conv_id, turn, {SQL_REDACT.format("regexp_replace(text, '^[ ]+|[ ]+$', '', 'g')")} as clean
-  from conversations where role = 'user'),
-t as (select *, {b.sql_rule('rule', 0, 'clean')} from v)
-select conv_id, turn, md5(clean) as message_md5, rule,
-  case when rule is not null then 'human_review' else 'to_draft' end as routing from t""")
+def _arriving(spark, sf, parts=2):
+    """Conversations as they may arrive: turns in any order over several micro-batches, one a minute.
+
+    A last file holds the clock's word that time has passed, which is what releases the last turns.
+    """
+    turns = b.conversations(spark, sf).select("conv_id", "turn", "role", "text")
+    longest = (turns.agg(F.max("turn")).first()[0] or 0) + 1
+    path = scratch_path(spark, "arriving")
+    minute = lambda c: F.timestamp_seconds(c * 60 + 1_577_836_800)  # noqa: E731  from 2020 on
+    timed = turns.withColumn("at", minute(F.col("turn")))
+    for part in range(parts):
+        timed.filter(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(parts)) == part).write.mode("append").parquet(path)
+    most = -(-len(spark.read.parquet(path).inputFiles()) // parts)
+    clock = spark.range(1).select(F.lit(None).cast("long").alias("conv_id"), F.lit(0).cast(turns.schema["turn"].dataType).alias("turn"),
+                                  F.lit("clock").alias("role"), F.lit(None).cast("string").alias("text"),
+                                  minute(F.lit(2 * longest + 20 * 24 * 60)).alias("at"))
+    clock.write.mode("append").parquet(path)
+    source = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", most).parquet(path)
+    return tn.in_order(source, f"{longest} minutes").filter("conv_id is not null")
+
+
+@query("ST1_stream_triage", SQL["ST1_batch_triage"])
 def stream_triage(spark, sf):
-    turns = stream(spark, sf, "conversations").filter("role = 'user'").select(
-        "conv_id", "turn", F.col("text").alias("message"),
-        F.array().cast("array<struct<role:string,text:string>>").alias("history"),
-        F.lit(None).cast("string").alias("policy"))
-    done = tg.triage(turns, b.RULES, po.risk_signals).select(
-        "conv_id", "turn", F.md5("message").alias("message_md5"),
-        F.col("verdict.rule").alias("rule"), "routing")
+    """Requests with the four turns before them, which the stream's state carries: the rows of the batch."""
+    asked = _arriving(spark, sf).filter("role = 'user'").select(
+        "conv_id", "turn", F.col("text").alias("message"), "history", F.lit(None).cast("string").alias("policy"))
+    done = tg.triage(asked, b.RULES).select(
+        "conv_id", "turn", F.md5("message").alias("message_md5"), F.col("verdict.rule").alias("rule"), "routing")
     return _run(spark, done, "triage")
 
 
@@ -85,5 +99,5 @@ def stream_window_counts(spark, sf):
 select conv_id, turn, count(*) filter (where role = 'user') over (
   partition by conv_id order by turn rows between unbounded preceding and 1 preceding)
   as prior_messages from conversations""")
-def _(spark, sf):
-    return _run(spark, tg.running_prior_messages(stream(spark, sf, "conversations")), "prior")
+def stream_prior_messages(spark, sf):
+    return _run(spark, _arriving(spark, sf).select("conv_id", "turn", "prior_messages"), "prior")

@@ -209,3 +209,19 @@ def test_a_resumed_run_scores_only_what_is_left(spark, tmp_path):
         assert got == {i: (str(i), 2 if i % 4 == 0 else 1) for i in range(20)}
     sc.score_remaining(items, path, "other", 2, scorer("other", False), "pred string")
     assert scored("other") == list(range(20))
+
+
+def test_a_poison_row_fails_alone_in_a_resumed_run(spark):
+    def scorer(pdf):
+        if (pdf["id"] == 13).any():
+            raise RuntimeError("cannot read this one")
+        return pd.DataFrame({"pred": pdf["id"].map(str)})
+
+    path = scratch_path(spark, "poison")
+    items = spark.range(40).coalesce(1)
+    for run_ts in (1, 2):
+        sc.score_remaining(items, path, "c", run_ts, scorer, "pred string")
+        got = {r["id"]: r["run_ts"] for r in stores.read_results(spark, path).collect()}
+        assert got == {i: 1 for i in range(40) if i != 13}
+    failed = spark.read.parquet(path).filter("error is not null").collect()
+    assert [(r["id"], r["error"]) for r in failed] == [(13, "RuntimeError: cannot read this one")] * 2

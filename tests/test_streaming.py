@@ -7,6 +7,7 @@ from replylens.operators import admission as ad
 from replylens.operators import history
 from replylens.session import scratch_path
 from replylens.streaming import triage as tg
+from replylens.streaming import turns as tn
 from replylens.streaming import usage as us
 from test_admission import sequential
 
@@ -44,19 +45,48 @@ def test_admission_over_batches_equals_one_pass(spark, seed):
     assert {r["row"]: r["verdict"] for r in got.collect()} == sequential(rows, caps)
 
 
-def test_prior_messages_over_batches_equals_window(spark):
+TURNS = "conv_id long, turn long, role string, text string, at timestamp"
+
+
+def arrivals(spark, groups):
+    """Each list of (conv_id, turn, role, text, second) as a file of its own, in this order."""
+    path = scratch_path(spark, "arrivals")
+    for rows in groups:
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at long")
+        df.withColumn("at", F.timestamp_seconds(F.col("at") + 1_577_836_800)).coalesce(1).write.mode("append").parquet(path)
+    return stream_of(spark, path, TURNS)
+
+
+def test_turns_in_any_order_leave_in_order_and_state_ends(spark):
+    """Shuffled over four micro-batches: counts and histories of the batch operators, and no state afterwards."""
     rng = random.Random(4)
-    rows = [(c, t, rng.choice(["user", "assistant"]), "x", t // 4) for c in range(5) for t in range(12)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _part int")
-    path = files(spark, df, "turns", "turn", 3)
-    turns = df.drop("_part")
-    counted = tg.running_prior_messages(stream_of(spark, path, turns.schema))
-    out = scratch_path(spark, "prior")
-    tg.run_to_files(counted, out, scratch_path(spark, "ck"))
-    got = spark.read.parquet(out)
-    want = history.prior_messages(turns).select("conv_id", "turn", "prior_messages")
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice([None, f"t{t}"]), t * 60) for c in range(12) for t in range(12)]
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    source = arrivals(spark, [mixed[:40], mixed[40:90], mixed[90:], [(-1, 0, "clock", None, 30 * ad.DAY)]])
+    out, checkpoint = scratch_path(spark, "ordered"), scratch_path(spark, "ck")
+    tg.run_to_files(tn.in_order(source, "1 day"), out, checkpoint)
+    got = spark.read.parquet(out).filter("conv_id >= 0")
+    turns = spark.createDataFrame([r[:4] for r in rows], "conv_id long, turn long, role string, text string")
     assert got.count() == len(rows)
-    assert got.exceptAll(want).count() == 0
+    for want, column in ((history.prior_messages(turns), "prior_messages"), (history.recent_turns(turns, 4), "history")):
+        assert got.select("conv_id", "turn", column).exceptAll(want.select("conv_id", "turn", column)).count() == 0
+    # nothing is left but what the clock's own conversation holds
+    for name in ("sums", "waiting", "last"):
+        keys = tn.states(spark, checkpoint, name).select("key.conv_id").distinct().collect()
+        assert [r[0] for r in keys] in ([], [-1])
+
+
+def test_turns_wait_for_the_watermark_and_late_ones_are_dropped(spark):
+    source = arrivals(spark, [[(1, 2, "user", "c", 120), (1, 0, "user", "a", 0)], [(1, 1, "user", "b", 60)],
+                              [(1, 5, "user", "f", 7200)], [(1, 6, "user", "g", 7260)],
+                              [(1, 3, "user", "late", 180), (1, 7, "user", "h", 7320)]])
+    out, checkpoint = scratch_path(spark, "ordered"), scratch_path(spark, "ck")
+    tg.run_to_files(tn.in_order(source, "10 minutes"), out, checkpoint)
+    got = [(r["turn"], r["prior_messages"]) for r in spark.read.parquet(out).orderBy("turn").collect()]
+    assert got == [(0, 0), (1, 1), (2, 2)]
+    waiting = tn.states(spark, checkpoint, "waiting").select("list_element.turn").collect()
+    assert sorted(r[0] for r in waiting) == [5, 6, 7]
 
 
 def test_repeats_and_late_rows(spark):
