@@ -37,7 +37,7 @@ class OrderedTurns(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [tuple(r) for batch in rows for r in batch[["turn", "at", "role", "text"]].itertuples(index=False)]
         new = [(int(turn), int(at), *(None if pd.isna(x) else x for x in rest)) for turn, at, *rest in new]
-        said, latest = self.sums.get() if self.sums.exists() else (0, 0)
+        said, latest = self.sums.get() or (0, 0)
         self.waiting.appendList(new)
         self.sums.update((said, max(latest, *(at for _, at, _, _ in new))))
         self.handle.registerTimer(max(min(at for _, at, _, _ in new), timerValues.getCurrentWatermarkInMs() + 1))
@@ -45,11 +45,11 @@ class OrderedTurns(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(tuple(t) for t in self.waiting.get()) if self.waiting.exists() else []
+        waiting = sorted(tuple(t) for t in self.waiting.get())
         due, later = [t for t in waiting if t[1] <= now], [t for t in waiting if t[1] > now]
-        said, latest = self.sums.get() if self.sums.exists() else (0, 0)
+        said, latest = self.sums.get() or (0, 0)
         if due:
-            last = [tuple(t) for t in self.last.get()] if self.last.exists() else []
+            last = [tuple(t) for t in self.last.get()]
             out = []
             for turn, _, role, text in due:
                 out.append((key[0], turn, role, text, said, [{"role": r, "text": t} for r, t in last]))
