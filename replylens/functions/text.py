@@ -145,6 +145,21 @@ def signal_hits(body: Column, signals: dict[str, str] | None = None) -> Column:
         F.when(body.rlike(unicode_rx(rx)), F.lit(name)) for name, rx in signals.items()]))
 
 
+# How much each kind of awkwardness weighs, and the reason stated for it.
+HARDNESS = {
+    "injection": (5, "looks like prompt injection"),
+    "no_words": (4, "no words at all"),
+    "too_short": (3, "almost no content"),
+    "non_english": (3, "largely non-English or emoji"),
+    "multi_intent": (2, "signals for "),
+    "very_long": (2, "very long"),
+    "sarcasm": (2, "possible sarcasm"),
+}
+# Layout of past cases in a request, and what stands there if there are none.
+CASE_SCORE, CASE_ASKED, CASE_REPLIED = "] similarity ", "\n    customer: ", "\n    brand replied: "
+NO_CASES = "(no similar past cases found)"
+
+
 def add_hardness(df: DataFrame, text: str, name: str = "hardness",
                  signals: dict[str, str] | None = None) -> DataFrame:
     """T4: struct(score, kind, reason) saying how awkward a message is, and why.
@@ -154,19 +169,19 @@ def add_hardness(df: DataFrame, text: str, name: str = "hardness",
     body, n_words, hits = F.col("_body"), F.col("_n_words"), F.col("_hits")
     n_chars = F.length(body)
     foreign = n_chars - F.length(F.regexp_replace(body, r"[^\x00-\x7F]+", ""))
-    tests = [
-        ("injection", body.rlike(unicode_rx(INJECTION)), F.lit(5),
-         F.lit("looks like prompt injection")),
-        ("no_words", (body != "") & ~body.rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(4),
-         F.lit("no words at all")),
-        ("too_short", n_words <= 3, F.lit(3), F.lit("almost no content")),
-        ("non_english", (n_chars > 0) & (foreign / n_chars > 0.3), F.lit(3),
-         F.lit("largely non-English or emoji")),
-        ("multi_intent", F.size(hits) >= 2, F.when(F.size(hits) >= 3, 3).otherwise(2),
-         F.concat(F.lit("signals for "), F.array_join(hits, ", "))),
-        ("very_long", n_words > 55, F.lit(2), F.lit("very long")),
-        ("sarcasm", body.rlike(unicode_rx(SARCASM)), F.lit(2), F.lit("possible sarcasm")),
-    ]
+    weight = {kind: F.lit(w) for kind, (w, _) in HARDNESS.items()}
+    reason = {kind: F.lit(r) for kind, (_, r) in HARDNESS.items()}
+    # three kinds of signal weigh one more than two
+    weight["multi_intent"] = weight["multi_intent"] + (F.size(hits) >= 3).cast("int")
+    reason["multi_intent"] = F.concat(reason["multi_intent"], F.array_join(hits, ", "))
+    tests = [(kind, fires, weight[kind], reason[kind]) for kind, fires in (
+        ("injection", body.rlike(unicode_rx(INJECTION))),
+        ("no_words", (body != "") & ~body.rlike(r"[\p{L}\p{Nl}\p{No}]")),
+        ("too_short", n_words <= 3),
+        ("non_english", (n_chars > 0) & (foreign / n_chars > 0.3)),
+        ("multi_intent", F.size(hits) >= 2),
+        ("very_long", n_words > 55),
+        ("sarcasm", body.rlike(unicode_rx(SARCASM))))]
     # Heaviest first, test order on ties: the sort key is (-weight, position).
     fired = F.array_sort(F.array_compact(F.array(*[
         F.when(cond, F.struct((-weight).alias("neg"), F.lit(i).alias("ord"),
@@ -255,19 +270,20 @@ def day_bucket(ts: Column) -> Column:
 def render_evidence(items: Column) -> Column:
     """Numbered past cases, in array order, as one block of text."""
     block = F.array_join(F.transform(items, lambda e, i: F.concat(
-        F.lit("["), i.cast("string"), F.lit("] similarity "),
+        F.lit("["), i.cast("string"), F.lit(CASE_SCORE),
         F.when(e["similarity"].isNull(), F.lit("nan")).otherwise(
             F.format_string("%.2f", e["similarity"])),
-        F.lit("\n    customer: "), F.coalesce(e["customer_text"], F.lit("")),
-        F.lit("\n    brand replied: "), F.coalesce(e["brand_reply"], F.lit("")))), "\n\n")
+        F.lit(CASE_ASKED), F.coalesce(e["customer_text"], F.lit("")),
+        F.lit(CASE_REPLIED), F.coalesce(e["brand_reply"], F.lit("")))), "\n\n")
     return F.when(F.size(F.coalesce(items, F.array())) == 0,
-                  F.lit("(no similar past cases found)")).otherwise(block)
+                  F.lit(NO_CASES)).otherwise(block)
 
 
-def taxonomy_block(definitions: dict[str, str], rules: Sequence[str]) -> str:
+def taxonomy_block(definitions: dict[str, str], rules: Sequence[str], title: str = "Intent categories:",
+                   rules_title: str = "Boundary rules:") -> str:
     """Label definitions and boundary rules, as the fixed head of a request."""
-    head = ["Intent categories:"] + [f"- {k}: {v}" for k, v in definitions.items()]
-    return "\n".join(head + ["", "Boundary rules:"] + [f"- {r}" for r in rules])
+    head = [title] + [f"- {k}: {v}" for k, v in definitions.items()]
+    return "\n".join(head + ["", rules_title] + [f"- {r}" for r in rules])
 
 
 def request_text(head: str, message: Column, evidence: Column | None = None,

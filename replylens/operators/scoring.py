@@ -169,6 +169,7 @@ def baseline_runs(items: DataFrame, majority: DataFrame, canned: DataFrame,
                         confidence.alias("confidence"), similarity.alias("top_similarity"))
 
     one = F.lit(1.0)
+    # Names of the configs and of the sources of a decision.
     joined = items.join(retrieved, "id", "left").withColumns(
         {"_label": label, "_canned": answer})
     configs = F.array(
