@@ -130,6 +130,22 @@ def letters_only() -> LanguageModel:
     return LanguageModel(one, {"any": one})
 
 
+def smallest_draws(draws: DataFrame, per_language: int) -> DataFrame:
+    """The ``per_language`` smallest distinct draws of every language: (lang, draw).
+
+    Draws are counted by their first 16 bits, at most 65,536 counts a language; only those up to the
+    prefix where the number is reached are numbered, about ``per_language`` a language.
+    """
+    draws = draws.withColumn("prefix", F.shiftright("draw", 48))
+    counts = draws.groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("prefix")) - F.col("n")
+    reached = (counts.withColumn("before", before).filter(F.col("before") < per_language)
+               .groupBy("lang").agg(F.max("prefix").alias("last")))
+    order = Window.partitionBy("lang").orderBy("draw")
+    return (draws.join(F.broadcast(reached), "lang").filter(F.col("prefix") <= F.col("last"))    # one row a language
+            .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "draw"))
+
+
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   modulus: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE,
                   families: Mapping[str, str] = FAMILIES) -> LanguageModel:
@@ -144,9 +160,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = (rows.filter(F.col("lang").isNotNull() & (id_remainder("id", modulus) != held_out)
                         & F.col("text").rlike(r"\p{L}"))
             .withColumn("draw", F.xxhash64("id", "text")))
-    order = Window.partitionBy("lang").orderBy("draw")
-    picked = (rows.select("lang", "draw").distinct().withColumn("n", F.row_number().over(order))
-              .filter(F.col("n") <= per_language).select("lang", "draw"))
+    picked = smallest_draws(rows.select("lang", "draw").distinct(), per_language)
 
     def run(batches):
         for batch in batches:

@@ -32,6 +32,7 @@ from replylens.llm.common import id_remainder, pieces_of, stored
 END = ""                # no word is empty, so the empty string stands for the end
 SMOOTH = 0.1
 BLOCK_CHARS = 16_000_000
+BLOCK_ROWS = 200_000
 
 
 _TOKEN_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -124,19 +125,30 @@ def fit_pieces(counts: dict[int, float], ends: int, model_path: str) -> tuple[di
     return weights, spelled, math.log10((ends + SMOOTH) / total)
 
 
+def deal(docs: DataFrame, blocks: int) -> DataFrame:
+    """Every row with a block number, by its key and its place in the table."""
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    return placed.select(F.pmod(F.xxhash64("doc_id", "text", "_place"), F.lit(blocks)).alias("block"),
+                         "doc_id", "held_out", "text")
+
+
 def score_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                modulus: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                modulus: int = 10, block_chars: int = BLOCK_CHARS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Lattice and word-model log10 probabilities of every text, one row per input row.
 
     Learns from rows whose crc32(id as text) mod ``modulus`` is not 0. Columns: doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score. A null or empty text is
     its end alone. A null id counts as the empty text in the remainder. Repeated rows
     count as often as they stand. An empty table gives no rows.
+
+    Texts are scored in blocks of about ``block_chars`` characters and ``block_rows`` rows at most. Rows are
+    dealt to them by key and place, so that repeated rows spread like all others; a table read
+    again gives every row its former place.
     """
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     docs = docs.withColumn("held_out", id_remainder("doc_id", modulus) == 0)
-    size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_chars))
+    size = docs.agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    blocks = max(1, -(-(size["n"] or 0) // block_chars), -(-size["rows"] // block_rows))
 
     def count(batches):
         total: Counter = Counter()
@@ -164,8 +176,7 @@ def score_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     context = docs.sparkSession.sparkContext
     model = context.broadcast((weights, spelled))   # as large as the vocabulary file
 
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
-    dealt = docs.select(block, "doc_id", "held_out", "text").repartition(int(blocks), "block")
+    dealt = deal(docs, blocks).repartition(int(blocks), "block")
 
     def distinct(batches):
         found: dict[int, set] = {}

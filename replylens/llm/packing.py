@@ -157,80 +157,102 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
+class Steps:
+    """What the open bins would give out for a longer item: nothing, one item, or two.
+
+    One entry per bin and distinct total, in flat arrays, so that all partners of an item are weighed
+    in one pass. A bin that changes is entered anew at the end; its former entries no longer fit anything.
+    """
+
+    def __init__(self, bins: list[list[int]], fill: list[int], lengths: np.ndarray, size: int):
+        self.bins, self.fill, self.lengths, self.size = bins, fill, lengths, size
+        self.used, self.place = 0, {}
+        self.columns = np.zeros((6, 1024), np.int64)      # total out, room, fill, bin, item, other item
+        for b in range(len(bins)):
+            self.enter(b)
+
+    def _options(self, b: int) -> np.ndarray:
+        """(total out, item, other item) of a bin, each total once; -1 stands for no item."""
+        items = np.array(self.bins[b], np.int64)
+        own = self.lengths[items]
+        left, right = np.triu_indices(len(items), 1)
+        none = np.full(len(items), -1)
+        total = np.concatenate([[0], own, own[left] + own[right]])
+        first = np.concatenate([[-1], items, items[left]])
+        other = np.concatenate([[-1], none, items[right]])
+        totals, at = np.unique(total, return_index=True)    # the first of equals: fewer items move
+        return np.stack([totals, first[at], other[at]])
+
+    def enter(self, b: int) -> None:
+        """Enter bin ``b`` as it is now. Full and empty bins give nothing."""
+        old = self.place.pop(b, None)
+        if old:
+            self.columns[1, slice(*old)] = 0
+        room = self.size - self.fill[b]
+        if not self.bins[b] or not room:
+            return
+        options = self._options(b)
+        end = self.used + options.shape[1]
+        if end > self.columns.shape[1]:
+            live = self.columns[:, :self.used][:, self.columns[1, :self.used] > 0]
+            self.columns = np.zeros((6, 2 * (live.shape[1] + options.shape[1]) + 1024), np.int64)
+            self.columns[:, :live.shape[1]] = live
+            self.used, end = live.shape[1], live.shape[1] + options.shape[1]
+            owners = live[3]
+            cuts = np.flatnonzero(np.diff(owners, prepend=-1, append=-1))
+            self.place = {int(owners[lo]): (int(lo), int(hi)) for lo, hi in zip(cuts, cuts[1:])}
+        new = self.columns[:, self.used:end]
+        new[0], new[1], new[2], new[3], new[4], new[5] = options[0], room, self.fill[b], b, options[1], options[2]
+        self.place[b] = (self.used, end)
+        self.used = end
+
+    def best(self, donor: int) -> tuple[int, int, list[int], int] | None:
+        """The step that takes an item out of ``donor`` and raises the squared fill most:
+        (item, taker, items that come back, gain of the taker)."""
+        total, room, fill, owner = self.columns[:4, :self.used]
+        giving, found, most = self.fill[donor], None, 0
+        for item in sorted(self.bins[donor], key=lambda i: -self.lengths[i]):
+            gain = int(self.lengths[item]) - total
+            # (f + g)^2 + (d - g)^2 - f^2 - d^2, halved
+            raised = gain * (fill - giving + gain)
+            raised[(gain <= 0) | (gain > room) | (owner == donor)] = 0
+            at = int(raised.argmax()) if len(raised) else 0
+            if len(raised) and raised[at] > most:
+                most = int(raised[at])
+                out = [int(i) for i in self.columns[4:, at] if i >= 0]
+                found = item, int(owner[at]), out, int(gain[at])
+        return found
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Swap and move items between underfull bins until no step raises the squared fill.
 
-    A step takes a fuller bin A and an emptier bin B and makes A fuller still: by moving
-    an item of B into A, by exchanging one item of A for a longer one of B, or two items
-    of A for one of B that is longer than both together. Each step raises the sum of
-    squared fills (the receiving bin is the fuller one before or after), so the search
-    ends; bins that lose their last item are gone. Bins that are full take no part.
+    A step makes a bin A fuller from a bin B: by moving an item of B into A, by exchanging one item
+    of A for a longer one of B, or two items of A for one of B that is longer than both together.
+    The emptiest bins give first, each the step that raises the sum of squared fills most, as
+    long as there is one. Every step raises that sum, so the search ends; bins that lose their last
+    item are gone. Full bins take no part. An item is weighed against all open bins in one
+    pass over arrays of at most ``size`` totals a bin.
     """
     fill = [int(lengths[b].sum()) for b in bins]
-    open_bins = sorted((b for b in range(len(bins)) if fill[b] < size), key=lambda b: fill[b])
+    steps = Steps(bins, fill, lengths, size)
     changed = True
     while changed:
         changed = False
-        for donor in list(open_bins):           # the emptiest bins give
-            if not bins[donor] or fill[donor] == size:
-                continue
-            for taker in reversed(open_bins):   # the fullest bins take
-                if taker == donor or not bins[taker] or not bins[donor]:
-                    continue
-                while (step := best_step(bins[taker], bins[donor], fill[taker], fill[donor],
-                                         lengths, size)):
-                    out, into = step
-                    for i in out:
-                        bins[taker].remove(i)
-                        bins[donor].append(i)
-                    bins[donor].remove(into)
-                    bins[taker].append(into)
-                    gain = int(lengths[into]) - sum(int(lengths[i]) for i in out)
-                    fill[taker] += gain
-                    fill[donor] -= gain
-                    changed = True
-        open_bins = sorted((b for b in open_bins if bins[b] and fill[b] < size), key=lambda b: fill[b])
+        for donor in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < size), key=lambda b: fill[b]):
+            while bins[donor] and fill[donor] < size and (step := steps.best(donor)):
+                item, taker, out, gain = step
+                bins[donor].remove(item)
+                bins[donor].extend(out)
+                bins[taker] = [i for i in bins[taker] if i not in out] + [item]
+                fill[taker] += gain
+                fill[donor] -= gain
+                steps.enter(taker)
+                steps.enter(donor)
+                changed = True
     return [b for b in bins if b]
 
 
-def best_step(taker: list[int], donor: list[int], filled: int, giving: int, lengths: np.ndarray,
-              size: int) -> tuple[tuple[int, ...], int] | None:
-    """The step between two bins that raises the squared fill most: (items out, item in)."""
-    room = size - filled
-    if room <= 0:
-        return None
-    best, found = 0, None
-    own = sorted(taker, key=lambda i: lengths[i])
-    sizes = [int(lengths[i]) for i in own]
-    for item in donor:
-        n = int(lengths[item])
-        options: list[tuple[int, tuple[int, ...]]] = []
-        if n <= room:
-            options.append((n, ()))
-        # out must be less than n by at most the room: the smallest that suffices gains most
-        at = bisect_left(sizes, n - room)
-        if at < len(sizes) and sizes[at] < n:
-            options.append((n - sizes[at], (own[at],)))
-        low, high = 0, len(own) - 1             # two for one, by two pointers
-        pair = None
-        while low < high:
-            both = sizes[low] + sizes[high]
-            if both < n - room:
-                low += 1
-            else:
-                if both < n and (pair is None or both < pair[0]):
-                    pair = (both, (own[low], own[high]))
-                high -= 1
-        if pair:
-            options.append((n - pair[0], pair[1]))
-        for gain, out in options:
-            # (f + g)^2 + (d - g)^2 - f^2 - d^2
-            raised = 2 * gain * (filled - giving + gain)
-            if raised > best:
-                best, found = raised, (out, item)
-    return found
-
-
 def pack_group(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of every item."""
     where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)

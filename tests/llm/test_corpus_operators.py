@@ -1,6 +1,7 @@
 """Corpus operators against brute force, and on the awkward cases every one must take."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -119,6 +120,48 @@ def test_swaps_empty_a_bin():
     assert len(after) == 3
 
 
+def fewest_bins(lengths, size):
+    """The optimum by trying every assignment, for a handful of items."""
+    best = len(lengths)
+
+    def place(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(lengths):
+            best = len(rooms)
+            return
+        for b in range(len(rooms)):
+            if lengths[at] <= rooms[b]:
+                place(at + 1, [*rooms[:b], rooms[b] - lengths[at], *rooms[b + 1:]])
+        place(at + 1, [*rooms, size - lengths[at]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_small_cases_against_all_assignments(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(10, 60, 9)
+    after = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+    assert len(after) == fewest_bins(lengths.tolist(), 100)
+
+
+@pytest.mark.parametrize("low,high", [(1000, 2049), (5, 3000)])
+def test_search_ends_where_no_step_is_left(low, high):
+    lengths = np.random.default_rng(7).integers(low, high, 120)
+    bins = packing.local_search([[i] for i in range(120)], lengths, 4096)
+    fill = [int(lengths[b].sum()) for b in bins]
+    for a, taker in enumerate(bins):
+        outs = [(), *((i,) for i in taker), *itertools.combinations(taker, 2)]
+        for b, donor in enumerate(bins):
+            for item, out in itertools.product(donor if a != b else (), outs):
+                gain = int(lengths[item] - sum(lengths[i] for i in out))
+                raised = (fill[a] + gain) ** 2 + (fill[b] - gain) ** 2 - fill[a] ** 2 - fill[b] ** 2
+                assert not (0 < gain <= 4096 - fill[a] and raised > 0)
+
+
 def test_packing_is_whole(spark):
     d = common.table(spark, SF, "documents")
     got = packing.pack_documents(d, queries.vocabulary("word_bpe_49k.json")).toPandas()
@@ -239,6 +282,13 @@ def test_lattice_sums_all_segmentations():
     assert math.isfinite(model.word("a" * 20_000))
 
 
+def test_repeated_and_empty_rows_spread_over_blocks(spark):
+    rows = spark.range(20_000).select(F.lit(5).alias("doc_id"), F.lit("same words").alias("text"),
+                                      F.lit(False).alias("held_out"))
+    sizes = [r["count"] for r in lattice.deal(rows, 20).groupBy("block").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1_300
+
+
 def test_base_score_by_hand(spark):
     rows = [(i, t) for i, t in enumerate(["The cat", "the dog the", None, "A  cat\n", "zebra", "the", "cat dog",
                                           "x y z", "the the", "dog", "unseen words", "cat"])]
@@ -363,6 +413,16 @@ def test_plan_holds_where_vectors_share_a_direction():
 
 # ---- 7 language
 
+def test_sample_is_the_smallest_draws(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, "aa").when(F.col("id") % 300 == 0, "cc")
+                                      .otherwise("bb").alias("lang"), F.xxhash64("id").alias("draw"))
+    got = sorted(map(tuple, langid.smallest_draws(rows, 250).collect()))
+    by_lang: dict = {}
+    for lang, draw in rows.collect():
+        by_lang.setdefault(lang, []).append(draw)
+    assert got == sorted((lang, d) for lang, all_ in by_lang.items() for d in sorted(all_)[:250])
+
+
 def test_held_out_accuracy_and_lang_is_no_input(spark):
     d = common.table(spark, "/root/testdata/sf0.01", "documents")
     model = langid.fit_languages(d)
