@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from replylens.sources.arrays import read_json_array
 from replylens.sources.quoted import read_quoted_csv
 
 
@@ -98,9 +99,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
-    """IO11: a JSON array of passages, with their order in the file."""
-    rows = spark.read.schema(PASSAGES).option("multiLine", True).json(path)
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    """IO11: a JSON array of passages, with their order in the file, read in byte ranges."""
+    return read_json_array(spark, path, PASSAGES)
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
