@@ -219,8 +219,9 @@ with l as (
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line_no from documents),
 f as (
   select *, row_number() over (partition by doc_id order by line_no) - 1 as idx,
-    length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 as words
-  from l where trim(line) <> ''),
+    length(bare) - length(replace(bare, ' ', '')) + 1 as words
+  from (select *, trim(translate(line, '{_SPACES}', repeat(' ', {len(_SPACES)}))) as bare from l)
+  where trim(line) <> ''),
 c as (select *, sum(words) over (partition by doc_id order by idx) as upto from f),
 ahead as (
   select a.doc_id, a.idx as start, min(b.idx) as stop from c a join c b

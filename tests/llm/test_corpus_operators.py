@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -256,11 +257,16 @@ def test_repeated_rows_do_not_remove_each_other(spark):
     assert sorted(tuple(r) for r in kept) == [(1, len(line)), (1, len(line))]
 
 
-@pytest.mark.parametrize("blank", ["\t", "\xa0"])
-def test_words_parted_by_other_white_space(spark, blank):
+@pytest.mark.parametrize("blank", ["\t", "\xa0", "\u3000"])
+def test_words_parted_by_other_white_space(spark, blank, tmp_path):
     line = blank.join(f"w{i}" for i in range(60))
-    got = linedup.dedup_lines(texts_of(spark, [(1, "a\n" + line), (2, "b\n" + line)])).collect()
-    assert sorted(r["n_removed"] for r in got) == [0, 1]
+    d = texts_of(spark, [(1, "a\n" + line), (2, "b\n" + line), (3, f"c\n{blank}one two\nd"), (4, f"e\n{blank}one two\nf")])
+    got = linedup.dedup_lines(d).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 0, 0, 1]
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(spark, con, str(tmp_path), queries.op3_line_dedup, linedup.sql()) is None
 
 
 # ---- 4 lattice
