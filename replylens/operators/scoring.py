@@ -17,7 +17,7 @@ from replylens.functions import policy as po
 from replylens.functions import text as tx
 from replylens.functions import vectors as vx
 from replylens.operators.joins import work_remaining
-from replylens.sources import stores
+from replylens.sources import results
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 ERROR_CHARS = 300
@@ -89,10 +89,10 @@ def score_remaining(items: DataFrame, path: str, config: str, run_ts: int, score
     kinds = T.StructType([*score_batches(items, scorer, fields).schema.fields,
                           T.StructField("config", T.StringType()),
                           T.StructField("run_ts", T.LongType())])
-    others = stores.attempts(spark, path, kinds).filter(
+    others = results.attempts(spark, path, kinds).filter(
         (F.col("config") == config) & (F.col("run_ts") != run_ts))
     scored = score_batches(work_remaining(items, others), scorer, fields, halve)
-    stores.append_results(scored.withColumn("config", F.lit(config)), path, run_ts)
+    results.append_results(scored.withColumn("config", F.lit(config)), path, run_ts)
 
 
 def judged(scored: DataFrame) -> DataFrame:

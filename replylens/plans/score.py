@@ -11,7 +11,7 @@ from replylens.operators import scoring as sc
 from replylens.plans import bindings as b
 from replylens.plans.registry import query, table
 from replylens.session import materialise, scratch_path
-from replylens.sources import stores
+from replylens.sources import results
 
 
 def _mark_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -49,7 +49,7 @@ def resumed_run(spark, sf):
     items = b.documents(spark, sf).select(F.col("doc_id").alias("id"), "n_chars")
     for run_ts in (1, 2):
         sc.score_remaining(items, path, "lengths", run_ts, _length_scorer(run_ts == 1), "pred long")
-    return stores.read_results(spark, path).select("id", "pred", F.col("run_ts").cast("int"))
+    return results.read_results(spark, path).select("id", "pred", F.col("run_ts").cast("int"))
 
 
 def _judge_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,22 +207,36 @@ def config_comparison(spark, sf):
                     F.round(F.col("reply_rate") * F.col("n")).cast("long").alias("replies"))
 
 
-@query("IO6_result_store", f"""
+STORED_RUNS = f"""
 with {b.RUNS}, attempts as (
   select config, id, pred, error, 1 as run_ts from runs
   union all select config, id, pred || '+', case when id % 4 = 0 then 'again' end, 2 from runs
     where config = 'marks')
 select config, id, pred, run_ts from attempts where error is null
-qualify row_number() over (partition by config, id order by run_ts desc) = 1""")
-def result_store(spark, sf):
+qualify row_number() over (partition by config, id order by run_ts desc) = 1"""
+
+
+def _two_runs(spark, sf, between=lambda path: None):
     path = scratch_path(spark, "results")
     runs = b.runs(spark, sf).select("config", "id", "pred", "error")
-    stores.append_results(runs, path, 1)
+    results.append_results(runs, path, 1)
+    between(path)
     again = runs.filter("config = 'marks'").select(
         "config", "id", F.concat("pred", F.lit("+")).alias("pred"),
         F.when(F.col("id") % 4 == 0, "again").alias("error"))
-    stores.append_results(again, path, 2)
-    return stores.read_results(spark, path).select("config", "id", "pred", F.col("run_ts").cast("int"))
+    results.append_results(again, path, 2)
+    return results.read_results(spark, path).select("config", "id", "pred", F.col("run_ts").cast("int"))
+
+
+@query("IO6_result_store", STORED_RUNS)
+def result_store(spark, sf):
+    return _two_runs(spark, sf)
+
+
+@query("IO6_result_store_compacted", STORED_RUNS)
+def result_store_compacted(spark, sf):
+    """The first run is read from a base, the second beside it."""
+    return _two_runs(spark, sf, lambda path: results.compact_results(spark, path))
 
 
 @query("A3_training_classes", """

@@ -1,13 +1,10 @@
-"""Writing: pairs, JSON lines, the result store and the vector index."""
+"""Writing: pairs, JSON lines and the vector index."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from replylens.operators.joins import usable
 from replylens.operators.retrieval import unit_checked
 
 
@@ -33,41 +30,6 @@ def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
-def append_results(results: DataFrame, path: str, run_ts: int) -> None:
-    """IO6: add one attempt per (config, id); earlier attempts stay readable.
-
-    A run that is stored again replaces itself: each (config, run) is a folder of its own.
-    """
-    (results.withColumn("run_ts", F.lit(run_ts).cast("long"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("config", "run_ts").parquet(path))
-
-
-def attempts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """IO6: every stored attempt; none before the first run."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-    return spark.createDataFrame([], schema)
-
-
-def latest_results(results: DataFrame) -> DataFrame:
-    """IO6: the newest attempt without an error per (config, id).
-
-    A maximum, not a window, so an id retried very often combines on the map side.
-    """
-    rest = [c for c in results.columns if c not in ("config", "id")]
-    newest = F.max_by(F.struct(*rest), F.col("run_ts"))
-    return usable(results).groupBy("config", "id").agg(newest.alias("r")).select(
-        "config", "id", "r.*")
-
-
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return latest_results(spark.read.parquet(path))
-
-
 def write_index(index: DataFrame, path: str, vector: str = "vector") -> None:
     """IO8: only unit vectors are stored."""
     unit_checked(index, vector).write.parquet(path)

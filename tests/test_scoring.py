@@ -11,7 +11,7 @@ from replylens.operators import joins as jn
 from replylens.operators import metrics as me
 from replylens.operators import scoring as sc
 from replylens.session import scratch_path
-from replylens.sources import stores
+from replylens.sources import results
 
 
 def test_one_bad_row_does_not_stop_the_batch(spark):
@@ -205,7 +205,7 @@ def test_a_resumed_run_scores_only_what_is_left(spark, tmp_path):
     for calls in ("second", "again"):  # the same run twice leaves the same rows
         sc.score_remaining(items, path, "c", 2, scorer(calls, False), "pred string")
         assert scored(calls) == [0, 4, 8, 12, 16]
-        got = {r["id"]: (r["pred"], r["run_ts"]) for r in stores.read_results(spark, path).collect()}
+        got = {r["id"]: (r["pred"], r["run_ts"]) for r in results.read_results(spark, path).collect()}
         assert got == {i: (str(i), 2 if i % 4 == 0 else 1) for i in range(20)}
     sc.score_remaining(items, path, "other", 2, scorer("other", False), "pred string")
     assert scored("other") == list(range(20))
@@ -221,7 +221,7 @@ def test_a_poison_row_fails_alone_in_a_resumed_run(spark):
     items = spark.range(40).coalesce(1)
     for run_ts in (1, 2):
         sc.score_remaining(items, path, "c", run_ts, scorer, "pred string")
-        got = {r["id"]: r["run_ts"] for r in stores.read_results(spark, path).collect()}
+        got = {r["id"]: r["run_ts"] for r in results.read_results(spark, path).collect()}
         assert got == {i: 1 for i in range(40) if i != 13}
     failed = spark.read.parquet(path).filter("error is not null").collect()
     assert [(r["id"], r["error"]) for r in failed] == [(13, "RuntimeError: cannot read this one")] * 2

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from replylens.operators import joins as jn
 from replylens.sources import readers as rd
-from replylens.sources import stores
+from replylens.sources import results, stores
 
 
 def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
@@ -46,11 +46,11 @@ def test_jsonl(spark, tmp_path):
 def test_result_store_keeps_the_newest_good_attempt(spark, tmp_path):
     path = str(tmp_path / "r")
     schema = "config string, id string, pred string, error string"
-    stores.append_results(spark.createDataFrame([("c", "1", "a", None), ("c", "2", None, "limit"),
+    results.append_results(spark.createDataFrame([("c", "1", "a", None), ("c", "2", None, "limit"),
                                                  ("d", "1", "z", None)], schema), path, 1)
-    stores.append_results(spark.createDataFrame([("c", "1", None, "limit"), ("c", "2", "b", None)],
+    results.append_results(spark.createDataFrame([("c", "1", None, "limit"), ("c", "2", "b", None)],
                                                 schema), path, 2)
-    got = {(r["config"], r["id"]): r["pred"] for r in stores.read_results(spark, path).collect()}
+    got = {(r["config"], r["id"]): r["pred"] for r in results.read_results(spark, path).collect()}
     assert got == {("c", "1"): "a", ("c", "2"): "b", ("d", "1"): "z"}
     items = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
     done = spark.read.parquet(path).filter("config = 'c' and run_ts = 1")
