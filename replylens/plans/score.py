@@ -3,11 +3,13 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from replylens.operators import benchmark as bench
 from replylens.operators import gramclassifier as gc
 from replylens.operators import joins as jn
 from replylens.operators import metrics as me
 from replylens.operators import retrieval as rt
 from replylens.operators import scoring as sc
+from replylens.operators.sampling import SEED
 from replylens.plans import bindings as b
 from replylens.plans.registry import query, table
 from replylens.session import materialise, scratch_path
@@ -97,6 +99,48 @@ def class_mass(spark, sf):
             .groupBy(F.col("e.label").alias("label")).agg(F.round(F.sum(F.col("weight") * F.col("e.p")), 2).alias("mass")))
 
 
+def _letter_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Answers by the length of a text: at times outside the categories, at times not at all."""
+    size = pdf["text"].str.len()
+    names = pd.Series(["en", "de", "fr", "es", "none of these"])
+    return pd.DataFrame({"pred": names[size % 5].where((size % 11 != 0).to_numpy()).to_numpy(),
+                         "error": (size % 11 == 0).map({True: "TimeoutError: scorer", False: None}).to_numpy()})
+
+
+CHECKED = f"""
+with {b.ANSWER_KEY}, drawn as (
+  select gold, length(text) as size from answer_key where split = 'test'
+  qualify row_number() over (partition by gold order by md5('{SEED}:' || text), text) <= 40),
+scored as (select gold, ['en', 'de', 'fr', 'es', 'none of these'][size % 5 + 1] as pred, size % 11 = 0 as failed from drawn),
+graded as (select gold, pred from scored where not failed),
+labels as (select gold as label from graded union select pred from graded),
+f as (select label, count(*) filter (gold = label and pred = label) as tp, count(*) filter (gold = label or pred = label) as every
+  from labels, graded group by label),
+f1 as (select avg(2.0 * tp / (every + tp)) as macro_f1 from f)
+"""
+
+
+@query("IO10_external_check", CHECKED + """select 'lengths' as approach, count(*) as n,
+  (select count(*) from scored where failed) as errors,
+  count(*) filter (pred not in (select gold from scored)) as off_taxonomy, count(distinct gold) as classes,
+  count(*) filter (gold = pred) as correct, round(any_value(macro_f1), 6) as macro_f1 from graded, f1""")
+def external_sample(spark, sf):
+    """Forty texts of every language through a scorer that fails and answers off the list at times."""
+    test = jn.of_split(b.answer_key(spark, sf), "test").select("text", F.col("gold").alias("category"))
+    scored = bench.scored_sample(test, _letter_scorer, 40).withColumn("approach", F.lit("lengths"))
+    return bench.check_summary(materialise(scored, "scored")).select(
+        "approach", "n", "errors", "off_taxonomy", "classes", "correct", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("M2_external_check")
+def external_check(spark, sf):
+    """The classifier on all labelled texts it was not fitted on, beside the scorer's sample."""
+    rows = b.answer_key(spark, sf).select("text", F.col("gold").alias("category"), "split")
+    scored = bench.external_check(jn.of_split(rows, "dev"), jn.of_split(rows, "test"), {"lengths": _letter_scorer}, 40)
+    return bench.check_summary(scored).select(
+        "approach", "n", "errors", "off_taxonomy", "classes", "correct", "interval", F.round("macro_f1", 3).alias("macro_f1"))
+
+
 @query("IO9_model_store")
 def model_store(spark, sf):
     items = _labelled(spark, sf)

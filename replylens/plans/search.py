@@ -77,22 +77,41 @@ def ordered_lookup(spark, sf):
         .alias("evidence"))
 
 
-@query("T16_evidence_text", f"""
+CASES = f"""
 with {b.NEAREST}, lines as (
   select id, rank, concat('[', rank - 1, '] similarity ', printf('%.2f', similarity),
     chr(10), '    customer: label ', d.label, chr(10), '    brand replied: case ', d.vec_id) as line
-  from hits h join embeddings d on d.vec_id = h.neighbour_id)
-select id, string_agg(line, chr(10) || chr(10) order by rank) as evidence from lines group by id""")
-def _(spark, sf):
+  from hits h join embeddings d on d.vec_id = h.neighbour_id),
+cases as (select id, string_agg(line, chr(10) || chr(10) order by rank) as evidence from lines group by id)"""
+
+
+def _past_cases(spark, sf):
     v = b.vectors(spark, sf)
     hits = rt.nearest(v, v, 4, "id", "id")
     facts = v.select(F.col("id").alias("neighbour_id"),
                      F.concat(F.lit("label "), "label").alias("customer_text"),
                      F.concat(F.lit("case "), F.col("id").cast("string")).alias("brand_reply"))
     item = F.struct("rank", "similarity", "customer_text", "brand_reply")
-    built = hits.join(facts, "neighbour_id").groupBy("id").agg(
+    return hits.join(facts, "neighbour_id").groupBy("id").agg(
         F.sort_array(F.collect_list(item)).alias("items"))
-    return built.select("id", tx.render_evidence(F.col("items")).alias("evidence"))
+
+
+@query("T16_evidence_text", f"{CASES} select id, evidence from cases")
+def _(spark, sf):
+    return _past_cases(spark, sf).select("id", tx.render_evidence(F.col("items")).alias("evidence"))
+
+
+@query("T17_judge_request", f"""{CASES}
+select e.vec_id as id, concat('Judge the reply.', chr(10), chr(10), 'Customer message:', chr(10), 'label ', e.label,
+  chr(10), chr(10), 'Draft reply:', chr(10), 'case ', e.vec_id, chr(10), chr(10), 'Past cases:', chr(10),
+  coalesce(c.evidence, '(no similar past cases found)')) as request
+from embeddings e left join cases c on c.id = e.vec_id""")
+def _(spark, sf):
+    """What a judge is asked about a draft: the message, the draft, and the past cases it rests on."""
+    v, cases = b.vectors(spark, sf), _past_cases(spark, sf)
+    return v.join(cases, "id", "left").select("id", tx.request_text(
+        "Judge the reply.", F.concat(F.lit("label "), "label"), F.col("items"),
+        F.concat(F.lit("case "), F.col("id").cast("string"))).alias("request"))
 
 
 BM25 = f"""d as (select doc_id, {SQL_TOKENS.format('text')} as t from documents),
