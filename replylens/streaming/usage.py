@@ -13,22 +13,32 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from replylens.operators import admission as ad
 
+BUCKETS = 1024              # states that the keys of a stream of requests share
+
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     """Event time as a zoned timestamp: a watermark does not accept one without a zone."""
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def drop_repeats(requests: DataFrame, delay: str = "24 hours", guard: int = ad.DAY) -> DataFrame:
+def drop_repeats(requests: DataFrame, delay: str = "24 hours", guard: int = ad.DAY,
+                 buckets: int = BUCKETS) -> DataFrame:
     """ST2: a request is dropped if its (client, request_id) was kept within ``guard`` seconds.
 
-    State is the time of the last kept request of a key and goes when the watermark has
-    passed its guard. Rows of a micro-batch are taken in time order; rows behind the
+    Keys share ``buckets`` states, dealt by hash, so a micro-batch costs a call per bucket and not
+    one per key. A state holds the time of the last kept request of each of its keys; a key goes when the
+    watermark has passed its guard. Rows of a micro-batch are taken in time order; rows behind the
     watermark are dropped. Unlike ``admit_stream`` this also remembers requests that were
     refused later.
     """
-    timed = event_time(requests).withWatermark("ts", delay).withColumn("_at", F.unix_micros("ts"))
-    out = timed.drop("_at").schema
+    timed = event_time(requests).withWatermark("ts", delay)
+    out = timed.schema
+    # nulls have buckets of their own, so that a bucket's numbers stay whole numbers
+    bucket = F.pmod(F.xxhash64("client", "request_id"), F.lit(buckets))
+    for c in ("client", "request_id"):
+        bucket = bucket * 2 + F.col(c).isNull().cast("long")
+    timed = timed.withColumns({"_at": F.unix_micros("ts"), "_bucket": bucket,
+                               "_key": F.to_json(F.struct("client", "request_id"))})
 
     def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,22 +46,25 @@ def drop_repeats(requests: DataFrame, delay: str = "24 hours", guard: int = ad.D
             return
         rows = pd.concat(list(batches), ignore_index=True)
         rows = rows.sort_values([c for c in ("_at", "row") if c in rows])
-        last = state.get[0] if state.exists else None
+        held = dict(state.get[0]) if state.exists else {}
         kept = []
-        for i, at in enumerate(rows["_at"].tolist()):
+        for i, (own, at) in enumerate(zip(rows["_key"].tolist(), rows["_at"].tolist())):
+            last = held.get(own)
             if last is None or at >= last + guard * 1_000_000:
                 kept.append(i)
-                last = at
-        state.update((last,))
-        ends = last // 1000 + guard * 1000
-        if ends > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(ends)
-        else:
+                held[own] = at
+        # a key without a time is not remembered
+        past = state.getCurrentWatermarkMs() - guard * 1000
+        held = {own: int(at) for own, at in held.items() if at // 1000 > past}
+        if held:
+            state.update((held,))
+            state.setTimeoutTimestamp(max(held.values()) // 1000 + guard * 1000)
+        elif state.exists:
             state.remove()
         yield rows.iloc[kept][out.fieldNames()]
 
-    return timed.groupBy("client", "request_id").applyInPandasWithState(
-        keep, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("_bucket").applyInPandasWithState(
+        keep, out, "held map<string, bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def window_counts(requests: DataFrame, width: str, delay: str = "24 hours") -> DataFrame:

@@ -149,3 +149,23 @@ def test_counts_over_batches_equal_one_pass(spark):
         for r in us.current_counts(stored).collect():
             got[("client" if r["of_client"] else "all") + f"_{unit}", r["client"], r["start"] // seconds] = r["n"]
     assert got == want
+
+
+def test_repeats_of_keys_that_share_a_state(spark):
+    """Many keys, with nulls, over four batches: one state per bucket, the rows of a pass in time order."""
+    rng = random.Random(9)
+    start = 19_000 * ad.DAY
+    rows = sorted(((i, rng.choice([None, *"abcdefgh"]), rng.choice([None, *(f"k{j}" for j in range(9))]),
+                    start + rng.randrange(6 * ad.DAY)) for i in range(900)), key=lambda r: (r[3], r[0]))
+    df = spark.createDataFrame([(*r, i * 4 // len(rows)) for i, r in enumerate(rows)], SCHEMA + ", _part int").withColumn(
+        "ts", F.timestamp_seconds("ts"))
+    path = files(spark, df, "shared", "ts", 4)
+    out, checkpoint = scratch_path(spark, "kept"), scratch_path(spark, "ck")
+    tg.run_to_files(us.drop_repeats(stream_of(spark, path, df.drop("_part").schema), buckets=2), out, checkpoint)
+    last, want = {}, set()
+    for row, client, request_id, at in rows:
+        if at >= last.get((client, request_id), 0) + ad.DAY:
+            last[client, request_id] = at
+            want.add((row, client, request_id))
+    assert {(r["row"], r["client"], r["request_id"]) for r in spark.read.parquet(out).collect()} == want
+    assert 0 < spark.read.format("statestore").load(checkpoint).count() <= 8
