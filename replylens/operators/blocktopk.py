@@ -5,8 +5,9 @@ a small array inside the task and only the running best k per query leave it, so
 shuffle carries queries x k x tasks rows instead of queries x rows.
 
 A query side of at most ``BLOCK`` rows and ``VALUES`` numbers or terms (counted, not
-assumed) is broadcast and the index is read in place. Beyond that both sides are cut into hash blocks and every block pair is
-one bounded group. Both ways are exact.
+assumed) is broadcast and the index is read in place. Beyond that both sides are packed into bounded blocks,
+each stored once, and every block of queries meets every block of the index in a cross join, which
+shuffles neither. A task keeps the best k of its queries over all blocks it reads. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from replylens.session import materialise
+
 BLOCK = 4096
 INDEX_BLOCK = 65_536
 VALUES = 16_000_000
 CELLS = 4_000_000
+HELD = 4_000_000            # numbers of query blocks that a task has at hand, unless one block has more
 
 
 class RunningBest:
@@ -95,20 +99,99 @@ def _runner(k: int, prepare: Callable[[pa.Table], object], score: Scorer, schema
     return run
 
 
-def best_k_in_groups(left: DataFrame, right: DataFrame, group: Sequence[str], k: int,
-                     prepare: Callable[[pa.Table], object], score: Scorer, query_id: str,
-                     index_id: str) -> DataFrame:
-    """(query_id, index_id, score): best k per query inside each group of both sides.
+def in_blocks(df: DataFrame, size: int, rows: int, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df``, of ``rows`` rows, stored as (block, rows): up to ``size`` rows packed as one value.
+
+    Rows are dealt by their first column or by ``by``; then no block has rows of two keys.
+    """
+    arrow = to_arrow_schema(df.schema)
+    spark = df.sparkSession
+    parts = min(-(-rows // size), int(spark.conf.get("spark.sql.shuffle.partitions"))) or 1
+    keys = [arrow.get_field_index(c) for c in by]
+
+    def pack(batches):
+        from pyspark import TaskContext
+        block, held, n, last = TaskContext.get().partitionId() << 32, [], 0, None
+
+        def packed():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, arrow) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                              names=["block", "rows"])
 
-    The caller cuts the groups so that each side of one fits a task.
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, schema=arrow)
+            values = list(zip(*(batch.column(c).to_pylist() for c in keys))) or [()] * batch.num_rows
+            cuts = [i for i in range(1, len(values)) if values[i] != values[i - 1]]
+            for lo, hi in zip([0, *cuts], [*cuts, len(values)]):
+                while lo < hi:
+                    if held and (n == size or values[lo] != last):
+                        yield packed()
+                        block, held, n = block + 1, [], 0
+                    part = batch.slice(lo, min(hi - lo, size - n))
+                    held.append(part)
+                    n, lo, last = n + part.num_rows, lo + part.num_rows, values[lo]
+        if held:
+            yield packed()
+
+    dealt = df.repartition(parts, *(by or df.columns[:1]))
+    if by:
+        dealt = dealt.sortWithinPartitions(*by)
+    return materialise(dealt.mapInArrow(pack, "block long, rows binary"), name)
+
+
+def every_pair(left: DataFrame, right: DataFrame, fresh: Callable[[pa.Table], object],
+               add: Callable[[object, pa.Table], None], emit: Callable[[object], pa.RecordBatch],
+               out: T.StructType) -> DataFrame:
+    """Every block of ``left`` with every block of ``right``; neither is shuffled.
+
+    ``fresh`` makes what a task holds of a left block, ``add`` folds a right block into it and ``emit``
+    gives its rows. Blocks of one task that meet its right blocks in turn are held side by side, up
+    to ``HELD`` numbers.
     """
-    out = _output(left, right, query_id, index_id)
-    run = _runner(k, prepare, score, to_arrow_schema(out))
+    pairs = left.select(F.col("block").alias("own"), F.col("rows").alias("asked")).crossJoin(
+        right.select(F.col("block").alias("other"), F.col("rows").alias("known")))
+
+    def table(value) -> pa.Table:
+        return pa.ipc.open_stream(value.as_buffer()).read_all()
+
+    def run(batches):
+        held, size = {}, 0
+        at, known = None, None
+        for batch in batches:
+            for i, (own, other) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if own not in held:
+                    rows = table(batch.column(1)[i])
+                    values = rows.nbytes // 4
+                    if held and size + values > HELD:
+                        yield from map(emit, held.values())
+                        held, size = {}, 0
+                    held[own], size = fresh(rows), size + values
+                if other != at or known is None:
+                    at, known = other, table(batch.column(3)[i])
+                add(held[own], known)
+            at, known = None, None      # it lies in the batch
+        yield from map(emit, held.values())
+
+    return pairs.mapInArrow(run, out)
+
+
+class _Asked:
+    """A block of queries in a task: what ``prepare`` made of it, and the best so far."""
+
+    def __init__(self, block: pa.Table, k: int, prepare: Callable[[pa.Table], object]):
+        self.keys, self.ready, self.best = block.select([0]), prepare(block), RunningBest(k, block.num_rows)
 
-    def pair(q_rows: pa.Table, i_rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([run(q_rows, [i_rows])])
 
-    return (left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(pair, out))
+def best_k_of_pairs(left: DataFrame, right: DataFrame, k: int, prepare: Callable[[pa.Table], object],
+                    score: Scorer, out: T.StructType) -> DataFrame:
+    """``out``: the best k per query and task, over blocks made by ``in_blocks``."""
+    schema = to_arrow_schema(out)
+    return every_pair(left, right, lambda block: _Asked(block, k, prepare),
+                      lambda own, known: score(own.ready, known, own.best),
+                      lambda own: _emit(own.keys, own.best, schema), out)
 
 
 def best_k(queries: DataFrame, index: DataFrame, k: int, prepare: Callable[[pa.Table], object],
@@ -132,15 +215,8 @@ def best_k(queries: DataFrame, index: DataFrame, k: int, prepare: Callable[[pa.T
         found = index.mapInArrow(scan, out)
     else:
         n_q = max(-(-rows // block), -(-values // VALUES))
-        n_i = max(1, -(-index.count() // index_block))
-        q_first, i_first = queries.columns[0], index.columns[0]
-        left = queries.withColumns({
-            "_qb": F.pmod(F.xxhash64(q_first), F.lit(n_q)).cast("int"),
-            "_ib": F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)))})
-        right = index.withColumns({
-            "_ib": F.pmod(F.xxhash64(i_first), F.lit(n_i)).cast("int"),
-            "_qb": F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))})
-        found = best_k_in_groups(left, right, ["_qb", "_ib"], k, prepare, score, query_id,
-                                 index_id)
+        left = in_blocks(queries, -(-rows // n_q), rows, "asked")
+        right = in_blocks(index, index_block, index.count(), "known")
+        found = best_k_of_pairs(left, right, k, prepare, score, _output(queries, index, query_id, index_id))
     rank = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(index_id))
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)

@@ -37,13 +37,18 @@ def _prepare(exclude_self: bool):
     return ready
 
 
-def _score(ready, batch, best: bt.RunningBest) -> None:
+def _score(ready, batch, best: bt.RunningBest, among: np.ndarray | None = None) -> None:
     """One matrix product per slice, then exact rescoring of whatever may be in the best k.
 
     The product can differ in the last bit between equal vectors, so everything within a
-    hair of the k-th score is summed again in a fixed order before ties go to the id.
+    hair of the k-th score is summed again in a fixed order before ties go to the id. ``among`` are the
+    places of the queries that ask, if not all do.
     """
-    q_ids, order, q = ready
+    q_ids, order, whole = ready
+    q = whole if among is None else whole[among]
+    place = np.arange(len(whole)) if among is None else np.full(len(whole), -1)
+    if among is not None:
+        place[among] = np.arange(len(among))
     all_ids, all_d = bt.as_numpy(batch.column(0)), _matrix(batch.column(1))
     step = max(1, bt.CELLS // len(q))
     for start in range(0, len(all_d), step):
@@ -51,16 +56,18 @@ def _score(ready, batch, best: bt.RunningBest) -> None:
         approx = q @ d.T
         if order is not None:
             at = np.minimum(np.searchsorted(q_ids, ids, sorter=order), len(q_ids) - 1)
-            same = np.flatnonzero(q_ids[order[at]] == ids)
-            approx[order[at[same]], same] = -np.inf
-        floor = best.floor
-        if len(d) >= best.k:
-            floor = np.maximum(floor, np.partition(approx, len(d) - best.k, axis=1)[:, -best.k])
+            own = place[order[at]]
+            same = np.flatnonzero((q_ids[order[at]] == ids) & (own >= 0))
+            approx[own[same], same] = -np.inf
+        floor = best.floor.copy() if among is None else best.floor[among]
+        new = np.flatnonzero(np.isneginf(floor))
+        if len(d) >= best.k and len(new):
+            floor[new] = np.partition(approx[new], len(d) - best.k, axis=1)[:, -best.k]
         floor = np.maximum(floor - _TIE, np.finfo(float).min)
         rows, cols = np.nonzero(approx >= floor[:, None])
         for at in range(0, len(rows), 200_000):
             r, c = rows[at:at + 200_000], cols[at:at + 200_000]
-            best.add(r, (q[r] * d[c]).sum(axis=1), ids[c])
+            best.add(r if among is None else among[r], (q[r] * d[c]).sum(axis=1), ids[c])
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int = TOP_K, query_id: str = "id",
@@ -138,8 +145,9 @@ def nearest_approx(queries: DataFrame, index: DataFrame, k: int = TOP_K, query_i
     ``cells`` is the square root of the number of index rows unless given. How many of them a
     query looks into is measured: ``SAMPLE`` queries are searched exactly, and as many cells
     are taken as held the share ``recall`` of what they found. Vectors without any structure
-    need most cells. A cell may hold most of the data, so it is cut into blocks on both sides
-    and every block pair is a bounded group that returns its best k. A query whose cells hold
+    need most cells. A cell may hold most of the data, so it is cut into blocks. Every block of queries meets
+    every block of the index, and of it the queries score that look into its cell; neither is shuffled, and
+    a task returns the best k of its queries. A query whose cells hold
     fewer than k other rows is searched exactly. Null vectors are neither searched nor found.
     """
     asked = queries.select(F.col(query_id), F.col(vector)).filter(F.col(vector).isNotNull())
@@ -150,22 +158,26 @@ def nearest_approx(queries: DataFrame, index: DataFrame, k: int = TOP_K, query_i
         return nearest(asked, known, k, query_id, "_hit", vector)
     centres = _fit_centres(known, "_hit", vector, rows, cells or max(2, round(rows ** 0.5)), seed)
     probes = _probes_for(asked, known, k, query_id, vector, centres, recall)
-    q, d = _near_cells(asked, vector, centres, probes), _near_cells(known, vector, centres, 1)
-
-    def parts(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-
-    cuts = parts(q, block, "n_q").join(parts(d, index_block, "n_i"), "cell")
-    left = (q.join(cuts, "cell")
-            .withColumn("_qb", F.pmod(F.xxhash64(query_id), F.col("n_q")).cast("int"))
-            .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1))))
-    right = (d.join(cuts, "cell")
-             .withColumn("_ib", F.pmod(F.xxhash64("_hit"), F.col("n_i")).cast("int"))
-             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))))
-    group = ["cell", "_qb", "_ib"]
-    found = bt.best_k_in_groups(
-        left.select(query_id, vector, *group), right.select("_hit", vector, *group), group, k,
-        _prepare(True), _score, query_id, "_hit")
+    q_rows, values = bt.size_of(asked, F.size(vector))
+    left = bt.in_blocks(asked, -(-q_rows // (max(-(-q_rows // block), -(-values // bt.VALUES)) or 1)) or 1, q_rows, "asked")
+    right = bt.in_blocks(_near_cells(known, vector, centres, 1), index_block, rows, "known", by=["cell"])
+    shared = asked.sparkSession.sparkContext.broadcast(centres)
+    prepare = _prepare(True)
+
+    def ready(part: pa.Table):
+        own = prepare(part)
+        far = -_closeness(own[2], shared.value)
+        near = np.zeros(far.shape, bool)
+        np.put_along_axis(near, np.argpartition(far, probes - 1, axis=1)[:, :probes], True, axis=1)
+        return own, near
+
+    def score(own, part: pa.Table, best: bt.RunningBest) -> None:
+        among = np.flatnonzero(own[1][:, part.column("cell")[0].as_py()])
+        if len(among):
+            _score(own[0], part, best, among)
+
+    found = bt.best_k_of_pairs(left, right, k, ready, score, T.StructType([
+        asked.schema[query_id], known.schema["_hit"], T.StructField("score", T.DoubleType())]))
     # An index row has one cell, so a pair is found once.
     rank = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc("_hit"))
     best = materialise(

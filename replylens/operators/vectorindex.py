@@ -91,57 +91,95 @@ def build_vector_index(vectors: DataFrame, path: str | None = None, row_id: str
 
 
 class _Bounds:
-    """Queries and, for each, the rows seen whose upper bound reaches the k-th lower bound."""
+    """Queries and, for each, the rows seen whose upper bound reaches the k-th lower bound.
+
+    Everything is held for queries of length one, and a product with the last component added gives the upper
+    bound itself.
+    """
 
     def __init__(self, block: pa.Table, k: int, exclude_self: bool):
         self.keys, self.k = block.column(0), k
         self.own = np.argsort(bt.as_numpy(self.keys), kind="stable") if exclude_self else None
         self.sorted = bt.as_numpy(self.keys)[self.own] if exclude_self else None
-        self.q = _matrix(block.column(1))
-        self.norm = np.linalg.norm(self.q, axis=1)
-        self.q = self.q.astype(np.float32)
-        # single precision of the query itself
-        self.blur = self.norm * 2.0 ** -22
-        self.floor = np.full(len(self.q), -np.inf)
-        self.lows = np.full((len(self.q), k), -np.inf)
-        self.rows, self.high, self.low, self.ids = np.empty(0, np.int64), np.empty(0), np.empty(0), None
+        q = _matrix(block.column(1))
+        self.norm = np.linalg.norm(q, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            q = q / np.where(self.norm > 0, self.norm, 1)[:, None]
+        # nothing is known of products with an infinite query
+        far = np.isinf(self.norm)
+        q[far] = 0
+        self.q = np.c_[q, np.where(far, np.inf, 1)].astype(np.float32)
+        self.lows = np.full((len(self.q), k), -np.inf, np.float32)
+        self.floor = self.lows.min(axis=1)
+        self.rows, self.ids = np.empty(0, np.int64), None
+        self.high, self.low = np.empty(0, np.float32), np.empty(0, np.float32)
 
     def add(self, batch) -> None:
         ids = bt.as_numpy(batch.column("id"))
         data = batch.column("code")
         data = data.combine_chunks() if isinstance(data, pa.ChunkedArray) else data
         codes = np.frombuffer(b"".join(data.to_pylist()), np.int8).reshape(len(ids), -1)
-        scale, error = (bt.as_numpy(batch.column(c)).astype(float) for c in ("scale", "error"))
+        scale, error = (bt.as_numpy(batch.column(c)) for c in ("scale", "error"))
+        # single precision of the query itself, and of the sums that hold the reach
+        size = codes.shape[1]
+        reach = (error.astype(float) + 2.0 ** -22 * 127 * scale * np.sqrt(size)) * (1 + (size + 4) * 2.0 ** -21)
+        reach = np.nextafter(reach.astype(np.float32), np.float32(np.inf))
         step = max(1, bt.CELLS // len(self.q))
         for at in range(0, len(ids), step):
             part = slice(at, at + step)
-            self._add(ids[part], codes[part], scale[part], error[part])
+            near = codes[part].astype(np.float32) * scale[part, None]
+            self._add(ids[part], np.c_[near, reach[part]], reach[part])
 
-    def _add(self, ids, codes, scale, error) -> None:
-        product = (self.q @ codes.T.astype(np.float32)).astype(float) * scale
-        reach = self.norm[:, None] * error[None, :] + self.blur[:, None] * (127 * scale * np.sqrt(codes.shape[1]))[None, :]
-        low, high = product - reach, product + reach
+    def _add(self, ids, near, reach) -> None:
+        with np.errstate(invalid="ignore", over="ignore"):
+            high = self.q @ near.T
         if self.own is not None:
             at = np.minimum(np.searchsorted(self.sorted, ids), len(self.sorted) - 1)
             same = np.flatnonzero(self.sorted[at] == ids)
-            low[self.own[at[same]], same] = high[self.own[at[same]], same] = -np.inf
-        top = min(self.k, low.shape[1])
-        best = np.partition(low, low.shape[1] - top, axis=1)[:, low.shape[1] - top:]
-        self.lows = np.partition(np.hstack([self.lows, best]), top, axis=1)[:, top:]
+            high[self.own[at[same]], same] = -np.inf
+        # a floor for queries that have none yet; the others are only compared
+        new = np.flatnonzero(np.isneginf(self.floor))
+        floor = self.floor.copy()
+        if len(new):
+            top = min(self.k, len(ids))
+            low = self._low(high[new], reach[None, :])
+            best = np.partition(low, len(ids) - top, axis=1)[:, len(ids) - top:]
+            floor[new] = np.partition(np.hstack([self.lows[new], best]), top, axis=1)[:, top:].min(axis=1)
+        rows, cols = np.nonzero((high >= floor[:, None]) & (high > -np.inf))
+        if not len(rows):
+            return
+        up = high[rows, cols]
+        down = self._low(up, reach[cols])
+        # what can raise a floor is among the rows found
+        hit = np.unique(rows)
+        owner = np.r_[np.repeat(hit, self.k), rows]
+        value = np.r_[self.lows[hit].ravel(), down]
+        order = np.lexsort((-value, owner))
+        place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        self.lows[hit] = value[order][place < self.k].reshape(len(hit), self.k)
         self.floor = self.lows.min(axis=1)
-        rows, cols = np.nonzero((high >= self.floor[:, None]) & (high > -np.inf))
-        old = self.high >= self.floor[self.rows]
-        self.ids = ids[cols] if self.ids is None else np.concatenate([self.ids[old], ids[cols]])
-        self.rows = np.concatenate([self.rows[old], rows])
-        self.low = np.concatenate([self.low[old], low[rows, cols]])
-        self.high = np.concatenate([self.high[old], high[rows, cols]])
+        old, now = self.high >= self.floor[self.rows], up >= self.floor[rows]
+        ids = ids[cols[now]]
+        self.ids = ids if self.ids is None else np.concatenate([self.ids[old], ids])
+        self.rows = np.concatenate([self.rows[old], rows[now]])
+        self.low = np.concatenate([self.low[old], down[now]])
+        self.high = np.concatenate([self.high[old], up[now]])
+
+    @staticmethod
+    def _low(high: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """The lower bounds that belong to the upper ones, rounded down; none without a number."""
+        with np.errstate(invalid="ignore"):
+            low = high - 2 * reach
+            low = low - (np.abs(high) + 2 * reach) * np.float32(2.0 ** -22)
+        return np.where(np.isinf(high), np.float32(-np.inf), low)
 
     def emit(self, schema: pa.Schema) -> pa.RecordBatch:
         if self.ids is None:
             return pa.RecordBatch.from_pylist([], schema=schema)
         return pa.RecordBatch.from_arrays(
             [self.keys.combine_chunks().take(pa.array(self.rows)), pa.array(self.ids).cast(schema.field(1).type),
-             pa.array(self.low), pa.array(self.high)], schema=schema)
+             *(pa.array(np.where(np.isinf(c), c, c * np.where(np.isinf(self.norm), 1, self.norm)[self.rows]).astype(float))
+               for c in (self.low, self.high))], schema=schema)
 
 
 def candidates(queries: DataFrame, index: VectorIndex, k: int, query_id: str, vector: str = "vector",
@@ -149,7 +187,7 @@ def candidates(queries: DataFrame, index: VectorIndex, k: int, query_id: str, ve
     """(query_id, hit, low, high): rows that may be among the best k of a query, by bounds alone.
 
     Up to ``block`` queries are held by every task and the codes are scanned in place. Beyond, blocks of
-    queries meet blocks of codes, and it is codes that move, not vectors.
+    queries meet blocks of codes in a cross join that shuffles neither; a task keeps its bounds over all its blocks.
     """
     asked = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
     codes = index.table("codes")
@@ -171,19 +209,9 @@ def candidates(queries: DataFrame, index: VectorIndex, k: int, query_id: str, ve
         found = codes.mapInArrow(scan, out)
     else:
         n_q = max(-(-rows // block), -(-values // bt.VALUES))
-        n_i = max(1, -(-codes.count() // index_block))
-        number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = asked.withColumns({"_q": number(query_id, n_q), "_i": every(n_i)})
-        right = codes.withColumns({"_i": number("id", n_i), "_q": every(n_q)})
-
-        def pair(own: pa.Table, other: pa.Table) -> pa.Table:
-            found = _Bounds(own, k, exclude_self) if own.num_rows else None
-            if found is not None and other.num_rows:
-                found.add(other)
-            return pa.Table.from_batches([found.emit(arrow)] if found else [], schema=arrow)
-
-        found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInArrow(pair, out)
+        found = bt.every_pair(
+            bt.in_blocks(asked, -(-rows // n_q), rows, "asked"), bt.in_blocks(codes, index_block, codes.count(), "codes"),
+            lambda part: _Bounds(part, k, exclude_self), lambda own, part: own.add(part), lambda own: own.emit(arrow), out)
     # what is left by the k-th lower bound over all tasks
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("low")))
     found = materialise(found, "candidates")

@@ -1,9 +1,12 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from replylens.operators import blocktopk as bt
 from replylens.operators import vectorindex as vi
 
 
@@ -108,3 +111,36 @@ def test_little_is_read(spark, tmp_path):
         score = rows @ rows[i]
         score[i] = -np.inf
         assert [h for h, _ in hits] == np.argsort(-score)[:4].tolist()
+
+
+def test_blocks_hold_every_row_once_and_every_pair_meets_without_a_shuffle(spark):
+    """Blocks are bounded, also when all rows have one key; the cross join moves neither side."""
+    rows = spark.range(500).select("id", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 3).cast("int").alias("cell"))
+    for by in ((), ("cell",)):
+        blocks = bt.in_blocks(rows, 64, 500, "blocks", by)
+        tables = [pa.ipc.open_stream(r["rows"]).read_all() for r in blocks.collect()]
+        assert sorted(i for t in tables for i in t.column("id").to_pylist()) == list(range(500))
+        assert max(t.num_rows for t in tables) <= 64
+        if by:
+            assert all(len(set(t.column("cell").to_pylist())) == 1 for t in tables)
+    out = T.StructType([T.StructField("own", T.LongType()), T.StructField("met", T.LongType())])
+    met = bt.every_pair(blocks, blocks, lambda t: [t.num_rows, 0], lambda own, t: own.__setitem__(1, own[1] + t.num_rows),
+                        lambda own: pa.RecordBatch.from_pydict({"own": [own[0]], "met": [own[1] * own[0]]}), out)
+    assert met.agg(F.sum("met")).first()[0] == 500 * 500
+    assert "Exchange hashpartitioning" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounds_hold_queries_of_any_length(spark):
+    """Long, tiny, zero and infinite queries in blocks find what all products say; a missing number finds nothing."""
+    rng = np.random.default_rng(3)
+    index = rng.normal(size=(300, 6))
+    asked = np.r_[rng.normal(size=(40, 6)) * 10.0 ** rng.integers(-20, 20, (40, 1)), np.zeros((1, 6)), np.full((1, 6), np.nan)]
+    at = vi.build_vector_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(index)], "tweet_id long, vector array<double>"))
+    queries = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(asked)], "id long, vector array<double>")
+    got = {}
+    for r in vi.nearest_quantised(queries, at, 3, block=16, index_block=50).collect():
+        got.setdefault(r["id"] - 1000, {})[r["rank"]] = r["neighbour_id"]
+    for i, q in enumerate(asked[:41]):
+        want = sorted(range(300), key=lambda j: (-(q @ index[j]), j))[:3]
+        assert [got[i][r] for r in (1, 2, 3)] == want
+    assert 41 not in got
