@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from replylens.functions import text as tx
 
@@ -55,30 +63,67 @@ def own_policy_evidence(requests: DataFrame, message: str = "message", policy: s
                         k: int = TOP, limit: int | None = None) -> DataFrame:
     """T9 with T8: each request searched against the passages of its own policy text.
 
-    Everything happens inside the row; a live request passes ``text.LIVE_SECTIONS`` as the
+    Everything happens inside the row, and texts are parted once; a live request passes ``text.LIVE_SECTIONS`` as the
     limit. Adds
     ``evidence``, array<struct<id, score>>.
     """
     cut = F.transform(tx.passages(F.col(policy), limit=limit), lambda p: F.struct(
         p["id"].alias("id"), tx.tokens(F.concat_ws(" ", p["title"], p["text"])).alias("t")))
-    lengths = F.aggregate("_passages", F.lit(0), lambda a, p: a + F.size(p["t"]))
-    df = F.transform("_terms", lambda w: F.struct(w.alias("w"), F.size(F.filter(
-        "_passages", lambda p: F.array_contains(p["t"], w))).alias("df")))
-
-    def score(p: Column) -> Column:
-        def gain(w: Column) -> Column:
-            tf = F.size(F.filter(p["t"], lambda x: x == w["w"]))
-            return F.when(tf > 0, idf(F.size("_passages"), w["df"]) * term_weight(
-                tf, F.size(p["t"]), F.col("_average"))).otherwise(0.0)
-        return F.round(F.aggregate("_terms", F.lit(0.0), lambda a, w: a + gain(w)), 3)
-
-    ranked = F.array_sort(F.filter(F.transform("_passages", lambda p, i: F.struct(
-        (-score(p)).alias("neg"), i.alias("ord"), p["id"].alias("id"))),
+    out = T.StructType([*requests.schema.fields, T.StructField("_scores", T.ArrayType(T.StructType([
+        T.StructField("ord", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType())])))])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        for batch in batches:
+            found = [_passage_scores(p or [], w or []) for p, w in zip(
+                batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], pa.array(found, arrow.field("_scores").type)], schema=arrow)
+
+    ranked = F.array_sort(F.filter(F.transform("_scores", lambda p: F.struct(
+        (-F.round(p["score"], 3)).alias("neg"), p["ord"].alias("ord"), p["id"].alias("id"))),
         lambda x: x["neg"] < 0))
-    return (requests
-            .withColumns({"_passages": cut, "_terms": F.array_distinct(tx.tokens(F.col(message)))})
-            .withColumns({"_terms": F.filter(df, lambda w: w["df"] > 0),
-                          "_average": lengths / F.size("_passages")})
+    return (requests.withColumns({"_passages": cut, "_terms": F.array_distinct(tx.tokens(F.col(message)))})
+            .mapInArrow(run, out)
             .withColumn("evidence", F.transform(F.slice(ranked, 1, k), lambda x: F.struct(
                 x["id"].alias("id"), (-x["neg"]).alias("score"))))
-            .drop("_passages", "_terms", "_average"))
+            .drop("_scores"))
+
+
+def _passage_scores(passages: list[dict], terms: list[str]) -> list[dict]:
+    """The passages of one policy that hold a term: their places, ids and scores, terms added in order."""
+    counts = [Counter(p["t"]) for p in passages]
+    n, average = len(passages), sum(len(p["t"]) for p in passages) / max(1, len(passages))
+    weights = [(w, math.log(1 + (n - df + 0.5) / (df + 0.5)))
+               for w in terms if (df := sum(w in c for c in counts))]
+    found = []
+    for i, (p, c) in enumerate(zip(passages, counts)):
+        shape = K1 * (1 - B + B * len(p["t"]) / average) if average else 0.0
+        score = sum((weight * (c[w] * (K1 + 1) / (c[w] + shape)) for w, weight in weights if w in c), 0.0)
+        if score:
+            found.append({"ord": i, "id": p["id"], "score": score})
+    return found
+
+
+def counted_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, length, terms): every passage's number of tokens and its distinct ones as (term, tf)."""
+    out = T.StructType([docs.schema[doc_id], T.StructField("length", T.IntegerType()), T.StructField(
+        "terms", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])))])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = pc.dictionary_encode(lists.flatten())
+            size = max(1, len(words.dictionary))
+            pair, tf = np.unique(np.repeat(np.arange(len(lens)), lens) * size
+                                 + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, code = np.divmod(pair, size)
+            items = pa.StructArray.from_arrays([words.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(tf)], ["term", "tf"])
+            ends = np.searchsorted(row, np.arange(len(lens) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lens.astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(ends), items).cast(arrow.field("terms").type)], schema=arrow)
+
+    return docs.select(doc_id, tx.tokens(F.col(text)).alias("t")).mapInArrow(run, out)
