@@ -99,10 +99,12 @@ def _runner(k: int, prepare: Callable[[pa.Table], object], score: Scorer, schema
     return run
 
 
-def in_blocks(df: DataFrame, size: int, rows: int, name: str, by: Sequence[str] = ()) -> DataFrame:
+def in_blocks(df: DataFrame, size: int, rows: int, name: str, by: Sequence[str] = (),
+              together: bool = False) -> DataFrame:
     """``df``, of ``rows`` rows, stored as (block, rows): up to ``size`` rows packed as one value.
 
-    Rows are dealt by their first column or by ``by``; then no block has rows of two keys.
+    Rows are dealt by their first column or by ``by``; then no block has rows of two keys. With ``together``
+    rows of one id share a block, which may be larger for it.
     """
     arrow = to_arrow_schema(df.schema)
     spark = df.sparkSession
@@ -111,7 +113,7 @@ def in_blocks(df: DataFrame, size: int, rows: int, name: str, by: Sequence[str]
 
     def pack(batches):
         from pyspark import TaskContext
-        block, held, n, last = TaskContext.get().partitionId() << 32, [], 0, None
+        block, held, n, last, own = TaskContext.get().partitionId() << 32, [], 0, None, None
 
         def packed():
             sink = pa.BufferOutputStream()
@@ -124,21 +126,25 @@ def in_blocks(df: DataFrame, size: int, rows: int, name: str, by: Sequence[str]
         for batch in batches:
             batch = pa.RecordBatch.from_arrays(batch.columns, schema=arrow)
             values = list(zip(*(batch.column(c).to_pylist() for c in keys))) or [()] * batch.num_rows
+            ids = batch.column(0).to_pylist() if together else []
             cuts = [i for i in range(1, len(values)) if values[i] != values[i - 1]]
             for lo, hi in zip([0, *cuts], [*cuts, len(values)]):
                 while lo < hi:
-                    if held and (n == size or values[lo] != last):
+                    if held and (values[lo] != last or n >= size and not (together and ids[lo] == own)):
                         yield packed()
                         block, held, n = block + 1, [], 0
-                    part = batch.slice(lo, min(hi - lo, size - n))
-                    held.append(part)
-                    n, lo, last = n + part.num_rows, lo + part.num_rows, values[lo]
+                    end = min(hi, lo + max(1, size - n))
+                    while together and end < hi and ids[end] == ids[end - 1]:
+                        end += 1
+                    held.append(batch.slice(lo, end - lo))
+                    n, last, own = n + end - lo, values[lo], ids[end - 1] if together else None
+                    lo = end
         if held:
             yield packed()
 
     dealt = df.repartition(parts, *(by or df.columns[:1]))
-    if by:
-        dealt = dealt.sortWithinPartitions(*by)
+    if by or together:
+        dealt = dealt.sortWithinPartitions(*(by or df.columns[:1]))
     return materialise(dealt.mapInArrow(pack, "block long, rows binary"), name)
 
 
@@ -215,7 +221,7 @@ def best_k(queries: DataFrame, index: DataFrame, k: int, prepare: Callable[[pa.T
         found = index.mapInArrow(scan, out)
     else:
         n_q = max(-(-rows // block), -(-values // VALUES))
-        left = in_blocks(queries, -(-rows // n_q), rows, "asked")
+        left = in_blocks(queries, -(-rows // n_q), rows, "asked", together=True)
         right = in_blocks(index, index_block, index.count(), "known")
         found = best_k_of_pairs(left, right, k, prepare, score, _output(queries, index, query_id, index_id))
     rank = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(index_id))

@@ -159,7 +159,8 @@ def nearest_approx(queries: DataFrame, index: DataFrame, k: int = TOP_K, query_i
     centres = _fit_centres(known, "_hit", vector, rows, cells or max(2, round(rows ** 0.5)), seed)
     probes = _probes_for(asked, known, k, query_id, vector, centres, recall)
     q_rows, values = bt.size_of(asked, F.size(vector))
-    left = bt.in_blocks(asked, -(-q_rows // (max(-(-q_rows // block), -(-values // bt.VALUES)) or 1)) or 1, q_rows, "asked")
+    left = bt.in_blocks(asked, -(-q_rows // (max(-(-q_rows // block), -(-values // bt.VALUES)) or 1)) or 1, q_rows, "asked",
+                        together=True)
     right = bt.in_blocks(_near_cells(known, vector, centres, 1), index_block, rows, "known", by=["cell"])
     shared = asked.sparkSession.sparkContext.broadcast(centres)
     prepare = _prepare(True)

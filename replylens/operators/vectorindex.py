@@ -210,7 +210,8 @@ def candidates(queries: DataFrame, index: VectorIndex, k: int, query_id: str, ve
     else:
         n_q = max(-(-rows // block), -(-values // bt.VALUES))
         found = bt.every_pair(
-            bt.in_blocks(asked, -(-rows // n_q), rows, "asked"), bt.in_blocks(codes, index_block, codes.count(), "codes"),
+            bt.in_blocks(asked, -(-rows // n_q), rows, "asked", together=True),
+            bt.in_blocks(codes, index_block, codes.count(), "codes"),
             lambda part: _Bounds(part, k, exclude_self), lambda own, part: own.add(part), lambda own: own.emit(arrow), out)
     # what is left by the k-th lower bound over all tasks
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("low")))

@@ -144,3 +144,11 @@ def test_bounds_hold_queries_of_any_length(spark):
         want = sorted(range(300), key=lambda j: (-(q @ index[j]), j))[:3]
         assert [got[i][r] for r in (1, 2, 3)] == want
     assert 41 not in got
+
+
+def test_rows_of_one_id_share_a_block(spark):
+    """Ids that stand once, twice and a hundred times: no block of queries parts the rows of one."""
+    rows = spark.createDataFrame([(i,) for i in range(60) for _ in range(100 if i == 7 else 1 + i % 2)], "id long").repartition(5)
+    blocks = [set(pa.ipc.open_stream(r["rows"]).read_all().column("id").to_pylist())
+              for r in bt.in_blocks(rows, 8, rows.count(), "blocks", together=True).collect()]
+    assert sorted(i for b in blocks for i in b) == list(range(60))
