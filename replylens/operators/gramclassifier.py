@@ -29,6 +29,7 @@ from replylens.session import materialise, scratch_path
 
 MAX_ROWS = 20_000           # distinct labelled texts that are learned from, about
 BLOCKS = 16
+WORDS = 500_000             # words that are looked at at a time, unless one text has more
 
 
 @lru_cache(maxsize=1)
@@ -61,6 +62,42 @@ def _grams(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays([flat.cast(pa.string()), pairs.cast(pa.string())]), np.r_[row, row[:-1][row[1:] == row[:-1]]]
 
 
+def _parts(batch: pa.RecordBatch, column: str, most: int):
+    """Runs of rows of a batch whose lists of words have ``most`` words together, one row at least."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    reach, lo = np.cumsum(sizes), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(reach, reach[lo] - sizes[lo] + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+class _Lookup:
+    """Places of grams in a list of them, found by numbers: words have codes, and pairs a key of two codes."""
+
+    def __init__(self, grams: pa.Array):
+        parts = pc.split_pattern(grams, " ", max_splits=1)
+        words = pc.dictionary_encode(parts.flatten())
+        self.words, code = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        last = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False)) - 1
+        two = np.diff(np.r_[-1, last]) == 2
+        keys = code[last]
+        keys[two] += (1 + code[last[two] - 1]) * len(self.words)
+        order = np.argsort(keys)
+        self.keys, self.place = keys[order], order.astype(np.int32)
+
+    def of(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, row) of every known word and pair of neighbours."""
+        code = pc.fill_null(pc.index_in(words.flatten(), self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        one = np.flatnonzero(code >= 0)
+        two = one[:-1][(np.diff(one) == 1) & (row[one[1:]] == row[one[:-1]])]
+        keys = np.r_[code[one], (1 + code[two]) * len(self.words) + code[two + 1]]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys if len(self.keys) else np.zeros(0, bool)
+        return self.place[at[hit]].astype(np.int64), np.r_[row[one], row[two]][hit]
+
+
 def _counted(code: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gram, row, 1 + ln occurrences), sorted by gram, then row."""
     pair, tf = np.unique(code * rows + row, return_counts=True)
@@ -80,16 +117,19 @@ def gram_blocks(train: DataFrame, rows: np.ndarray, repeats: np.ndarray, min_df:
 
     def spread(batches):
         for batch in batches:
-            grams, at = _grams(batch.column("words"))
-            yield pa.RecordBatch.from_arrays([grams, batch.column("row").take(pa.array(at))], names=["gram", "row"])
+            for part in _parts(batch, "words", WORDS):
+                grams, at = _grams(part.column("words"))
+                yield pa.RecordBatch.from_arrays([grams, part.column("row").take(pa.array(at))], names=["gram", "row"])
 
     def build(batches):
-        held = [pa.table(b).set_column(0, "gram", pc.dictionary_encode(b.column("gram"))) for b in batches]
+        # copies, four bytes each: a column of a batch would keep the batch and its texts
+        held = [(pc.dictionary_encode(b.column("gram")), np.searchsorted(rows, b.column("row").to_numpy()).astype(np.int32))
+                for b in batches]
         if not held:
             return
-        table = pa.concat_tables(held).unify_dictionaries().combine_chunks()
-        gram = table.column("gram").chunk(0)
-        at = np.searchsorted(rows, table.column("row").to_numpy())
+        gram = pa.chunked_array([g for g, _ in held]).unify_dictionaries().combine_chunks()
+        at = np.concatenate([a for _, a in held]).astype(np.int64)
+        held.clear()
         code, at, tf = _counted(gram.indices.to_numpy().astype(np.int64), at, len(rows))
         df = np.bincount(code, repeats[at], len(gram.dictionary))
         known = df >= min_df
@@ -282,13 +322,14 @@ def load_or_fit_classifier(spark: SparkSession, path: str, fit) -> GramModel:
 def classify_text(model: GramModel, items: DataFrame, text: str = "text") -> DataFrame:
     """M2: items with ``pred``, its probability as ``confidence``, and ``probabilities`` by class.
 
-    The model is as large as its sample's grams and is held by every task. A text without a known gram
+    The model is as large as its sample's grams and is held by every task, which keeps two numbers for a gram
+    instead of its text. A task looks at ``WORDS`` words at a time. A text without a known gram
     is judged by the intercepts.
     """
     about = model.about()
     table = model.grams().toArrow().combine_chunks()
     shared = items.sparkSession.sparkContext.broadcast((
-        table.column("gram").combine_chunks(), table.column("idf").to_numpy(),
+        _Lookup(table.column("gram").combine_chunks()), table.column("idf").to_numpy(),
         np.array(table.column("weights").combine_chunks().flatten()).reshape(table.num_rows, -1),
         np.array(about["intercepts"]), pa.array(about["labels"])))
     out = T.StructType([*items.schema.fields, T.StructField("pred", T.StringType()), T.StructField("confidence", T.DoubleType()),
@@ -297,12 +338,9 @@ def classify_text(model: GramModel, items: DataFrame, text: str = "text") -> Dat
 
     def run(batches):
         grams, idf, weights, intercepts, names = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, "_words", WORDS)):
             n = batch.num_rows
-            found, row = _grams(batch.column(batch.num_columns - 1))
-            code = pc.index_in(found, grams)
-            row = row[code.is_valid().to_numpy(zero_copy_only=False)]
-            code, row, tf = _counted(row=row, code=code.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), rows=n)
+            code, row, tf = _counted(*grams.of(batch.column(batch.num_columns - 1)), n)
             value = tf * idf[code]
             size = np.sqrt(np.bincount(row, value * value, n))
             value = value / size[row]
