@@ -25,6 +25,7 @@ from replylens.session import materialise
 
 BLOCK = 4096
 INDEX_BLOCK = 65_536
+INDEX_VALUES = 1_000_000    # numbers or terms of a block of the index, unless one row has more
 VALUES = 16_000_000
 CELLS = 4_000_000
 HELD = 4_000_000            # numbers of query blocks that a task has at hand, unless one block has more
@@ -222,7 +223,8 @@ def best_k(queries: DataFrame, index: DataFrame, k: int, prepare: Callable[[pa.T
     else:
         n_q = max(-(-rows // block), -(-values // VALUES))
         left = in_blocks(queries, -(-rows // n_q), rows, "asked", together=True)
-        right = in_blocks(index, index_block, index.count(), "known")
+        known = max(1, min(index_block, INDEX_VALUES // max(1, -(-values // rows))))
+        right = in_blocks(index, known, index.count(), "known")
         found = best_k_of_pairs(left, right, k, prepare, score, _output(queries, index, query_id, index_id))
     rank = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(index_id))
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)

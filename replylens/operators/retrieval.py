@@ -20,6 +20,8 @@ TOP_K = 4
 _TIE = 1e-9
 # Bounds of the samples the approximate index is fitted and measured on.
 ROWS_PER_CELL, SAMPLE = 64, 256
+# Queries whose scores are copied, and numbers that are multiplied again, at a time.
+PARTED, RESCORED = 512, 2_000_000
 
 
 def _matrix(column) -> np.ndarray:
@@ -49,10 +51,10 @@ def _score(ready, batch, best: bt.RunningBest, among: np.ndarray | None = None)
     place = np.arange(len(whole)) if among is None else np.full(len(whole), -1)
     if among is not None:
         place[among] = np.arange(len(among))
-    all_ids, all_d = bt.as_numpy(batch.column(0)), _matrix(batch.column(1))
+    all_ids, vectors = bt.as_numpy(batch.column(0)), batch.column(1)
     step = max(1, bt.CELLS // len(q))
-    for start in range(0, len(all_d), step):
-        ids, d = all_ids[start:start + step], all_d[start:start + step]
+    for start in range(0, len(all_ids), step):
+        ids, d = all_ids[start:start + step], _matrix(vectors.slice(start, step))
         approx = q @ d.T
         if order is not None:
             at = np.minimum(np.searchsorted(q_ids, ids, sorter=order), len(q_ids) - 1)
@@ -62,11 +64,13 @@ def _score(ready, batch, best: bt.RunningBest, among: np.ndarray | None = None)
         floor = best.floor.copy() if among is None else best.floor[among]
         new = np.flatnonzero(np.isneginf(floor))
         if len(d) >= best.k and len(new):
-            floor[new] = np.partition(approx[new], len(d) - best.k, axis=1)[:, -best.k]
+            for part in np.array_split(new, -(-len(new) // PARTED)):
+                floor[part] = np.partition(approx[part], len(d) - best.k, axis=1)[:, -best.k]
         floor = np.maximum(floor - _TIE, np.finfo(float).min)
         rows, cols = np.nonzero(approx >= floor[:, None])
-        for at in range(0, len(rows), 200_000):
-            r, c = rows[at:at + 200_000], cols[at:at + 200_000]
+        most = max(1, RESCORED // d.shape[1]) if d.shape[1] else len(rows) or 1
+        for at in range(0, len(rows), most):
+            r, c = rows[at:at + most], cols[at:at + most]
             best.add(r if among is None else among[r], (q[r] * d[c]).sum(axis=1), ids[c])
 
 
