@@ -54,19 +54,21 @@ def fit_svm(rows: np.ndarray, signs: np.ndarray, cost: float = 10.0, rounds: int
     The last weight is the bias. Rows of the rarer class weigh more, so that both classes
     count alike.
     """
-    rows = np.hstack([rows, np.ones((len(rows), 1), np.float32)]).astype(np.float64)
+    # rows stay in single precision; one at a time is widened
+    rows = np.hstack([rows, np.ones((len(rows), 1), np.float32)])
     share = np.where(signs > 0, (signs > 0).sum(), (signs < 0).sum())
     slack = share * 2.0 / (len(signs) * 2 * cost)
-    norms = (rows * rows).sum(axis=1) + slack
+    norms = np.array([(wide * wide).sum() for wide in (row.astype(np.float64) for row in rows)]) + slack
     alpha, weights = np.zeros(len(rows)), np.zeros(rows.shape[1])
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         largest = 0.0
         for i in rng.permutation(len(rows)):
-            slope = signs[i] * (weights @ rows[i]) - 1 + slack[i] * alpha[i]
+            row = rows[i].astype(np.float64)
+            slope = signs[i] * (weights @ row) - 1 + slack[i] * alpha[i]
             after = max(alpha[i] - slope / norms[i], 0.0)
             if after != alpha[i]:
-                weights += (after - alpha[i]) * signs[i] * rows[i]
+                weights += (after - alpha[i]) * signs[i] * row
                 largest = max(largest, abs(after - alpha[i]))
                 alpha[i] = after
         if largest < 1e-3:
@@ -178,9 +180,10 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not sample.num_rows:
         return LanguageModel(None, {})
     labels = np.array(sample.column("lang").to_pylist(), dtype=object)
-    data = np.stack([np.frombuffer(b, np.float32) for b in sample.column("row").to_pylist()])
-    order = np.lexsort((data[:, 0], labels.astype(str)))        # the same model whatever the order of rows
-    labels, data = labels[order], data[order]
+    rows = [np.frombuffer(b.as_buffer(), np.float32) for b in sample.column("row")]
+    order = np.lexsort((np.array([r[0] for r in rows]), labels.astype(str)))    # the same model whatever the order of rows
+    labels, data = labels[order], np.stack([rows[i] for i in order])
+    del sample, rows        # the fit makes copies of its own
     family = np.array([families.get(x, x) for x in labels], dtype=object)
     names = sorted(set(family))
     within = {f: Votes.fit(sorted(set(labels[family == f])), data[family == f], labels[family == f]) for f in names}
