@@ -32,7 +32,8 @@ def _arriving(spark, sf, parts=2):
     A last file holds the clock's word that time has passed, which is what releases the last turns.
     """
     turns = b.conversations(spark, sf).select("conv_id", "turn", "role", "text")
-    longest = (turns.agg(F.max("turn")).first()[0] or 0) + 1
+    longest, count = turns.agg(F.max("turn"), F.count(F.lit(1))).first()
+    longest = (longest or 0) + 1
     path = scratch_path(spark, "arriving")
     minute = lambda c: F.timestamp_seconds(c * 60 + 1_577_836_800)  # noqa: E731  from 2020 on
     timed = turns.withColumn("at", minute(F.col("turn")))
@@ -44,7 +45,9 @@ def _arriving(spark, sf, parts=2):
                                   minute(F.lit(2 * longest + 20 * 24 * 60)).alias("at"))
     clock.write.mode("append").parquet(path)
     source = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", most).parquet(path)
-    return tn.in_order(source, f"{longest} minutes").filter("conv_id is not null")
+    # about 4,000 turns a state where there are very many
+    found = tn.in_order(source, f"{longest} minutes", buckets=max(tn.BUCKETS, count >> 12))
+    return found.filter("conv_id is not null")
 
 
 @query("ST1_stream_triage", SQL["ST1_batch_triage"])
